@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.llm.bpe import encoded
 from driftloom.llm.common import table
 from driftloom.llm.dedup_exact import exact_dedup
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).drop("text")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_byte_bpe": op4_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
