@@ -209,6 +209,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    kept = docs.columns
     names = [f"{prefix}{n}" for n in ("n_tokens", "ids_sha256", "decoded_sha256")]
     if clash := {*map(str.lower, names)} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} exist already; give another prefix")
@@ -225,7 +226,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
                 counts.append(len(each))
                 ids.append(hashlib.sha256(joined).hexdigest())
                 back.append(hashlib.sha256(encoder.decode(map(int, each))).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*docs.columns, *names])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*kept, *names])
 
     types = [f"`{c}` {t}" for c, t in docs.dtypes]
     return rows.mapInArrow(run, ", ".join([*types, f"`{names[0]}` long", f"`{names[1]}` string", f"`{names[2]}` string"]))

@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.bpe import encoded
-from driftloom.llm.common import table
+from driftloom.llm.common import held_out, learnable, table
 from driftloom.llm.dedup_exact import exact_dedup
+from driftloom.llm.langid import fit as fit_languages
+from driftloom.llm.langid import identified
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs, learnable("doc_id", 4, 2))
+    found = identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +45,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
 }
