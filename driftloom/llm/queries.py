@@ -11,6 +11,8 @@ from driftloom.llm.common import held_out, learnable, table
 from driftloom.llm.dedup_exact import exact_dedup
 from driftloom.llm.langid import fit as fit_languages
 from driftloom.llm.langid import identified
+from driftloom.llm.mixing import mixed
+from driftloom.llm.ngram_join import near_groups
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +29,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).drop("text")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), seed=17, temperature=0.5)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,12 +54,63 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS set
+  FROM w
+), e AS (
+  SELECT doc_id, len(set) AS n, unnest(set) AS x FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM s
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT s.doc_id, len(set)::BIGINT AS n_shingles, min(reach.b) AS component_id
+FROM s JOIN reach ON reach.a = s.doc_id
+GROUP BY s.doc_id, set
+"""
+
+OP6_SQL = """
+WITH RECURSIVE c AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), r AS (
+  SELECT source, sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () * sum(n) OVER () / n AS rate FROM c
+), p AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS cdf FROM r
+  UNION ALL
+  SELECT source, rate, k + 1, term * rate / (k + 1), cdf + term * rate / (k + 1) FROM p
+  WHERE k < ceil(rate + 10 * sqrt(rate) + 30)
+), u AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), n AS (
+  SELECT u.doc_id, u.source, u.text, count(*) AS n
+  FROM u JOIN p ON u.source IS NOT DISTINCT FROM p.source AND p.cdf <= u.u
+  GROUP BY ALL
+), x AS (
+  SELECT doc_id, source, text, unnest(range(n))::INTEGER AS copy FROM n
+)
+SELECT *, ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS order_key FROM x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op5_ngram_join": OP5_SQL,
+    "op6_mixing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
