@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftloom.llm.bpe import encoded
 from driftloom.llm.common import held_out, learnable, table
@@ -12,6 +13,7 @@ from driftloom.llm.dedup_exact import exact_dedup
 from driftloom.llm.langid import fit as fit_languages
 from driftloom.llm.langid import identified
 from driftloom.llm.mixing import mixed
+from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
 
 
@@ -41,6 +43,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -101,16 +107,32 @@ WITH RECURSIVE c AS (
 SELECT *, ('0x' || substr(md5('18:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 15))::BIGINT AS order_key FROM x
 """
 
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), r AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM r
+)
+SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_nearest": op8_nearest,
 }
 
 SQL: dict[str, str] = {
     "op5_ngram_join": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_nearest": OP8_SQL,
 }
