@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import as_bytes
+from driftloom.llm.common import as_bytes, remembered
 
-#: Encoded pieces that a task remembers; a full memory is emptied. Longer pieces are not remembered.
-MEMORY, LONGEST = 300_000, 64
+#: Encoded pieces that a Python worker remembers; a full memory is emptied. Longer pieces are not remembered.
+MEMORY, LONGEST = 700_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,14 +40,48 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        #: Lengths of tokens by their last two bytes, longest first: the few suffixes worth looking up.
-        lengths: dict[bytes, set[int]] = {}
-        for t in ranks:
-            lengths.setdefault(t[-2:], set()).add(len(t))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.length = {i: len(t) for t, i in ranks.items()}
+        self.build()
+        self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
+    def build(self) -> None:
+        """The tokens' automaton: what all prefixes of tokens lead to, byte by byte, and the tokens that end there."""
+        step: dict[int, int] = {}  # node * 256 + byte -> node
+        ends = [-1]
+        for t, i in self.ranks.items():
+            node = 0
+            for byte in t:
+                following = step.get(node << 8 | byte)
+                if following is None:
+                    following = step[node << 8 | byte] = len(ends)
+                    ends.append(-1)
+                node = following
+            ends[node] = i
+        fail, longest, shorter = [0] * len(ends), [-1] * len(ends), {}
+        made = sorted((node, key) for key, node in step.items())
+        level = {0: 0}
+        for node, key in made:
+            level[node] = level[key >> 8] + 1
+        for node, key in sorted(made, key=lambda x: level[x[0]]):
+            up, byte = fail[key >> 8], key & 255
+            while up and (up << 8 | byte) not in step:
+                up = fail[up]
+            target = step.get(up << 8 | byte, 0)
+            fail[node] = target if target != node else 0
+            if ends[node] >= 0:
+                shorter[ends[node]] = longest[fail[node]]
+                longest[node] = ends[node]
+            else:
+                longest[node] = longest[fail[node]]
+        self.step, self.fail, self.ending, self.shorter = step, fail, longest, shorter
+
+    def move(self, node: int, byte: int) -> int:
+        """The automaton's next node: the longest prefix of a token that ends with this byte."""
+        while (following := self.step.get(node << 8 | byte)) is None and node:
+            node = self.fail[node]
+        return following or 0
+
     def merge(self, data: bytes) -> list[bytes]:
         """Plain BPE of a few bytes: joins the neighbours whose union has the lowest rank, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -66,11 +100,11 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the bytes of both tokens together encode to just these two."""
-        if (known := self.fits.get((left, right))) is None:
-            if len(self.fits) > 2_000_000:
+        if (known := self.fits.get(left << 20 | right)) is None:
+            if len(self.fits) > 1_000_000:
                 self.fits.clear()
             a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.fits[left, right] = self.merge(a + b) == [a, b]
+            known = self.fits[left << 20 | right] = self.merge(a + b) == [a, b]
         return known
 
 
@@ -78,41 +112,47 @@ class PrefixTable:
     """The encoding of one piece that grows: ``last[i]`` is the last token of its first i + 1 bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b"") -> None:
-        self.vocabulary, self.data, self.last = vocabulary, bytearray(), []
+        self.vocabulary, self.data, self.last, self.node = vocabulary, bytearray(), [], 0
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Exact: no entry changes, one is added for each byte."""
-        v, data, last = self.vocabulary, self.data, self.last
-        start = len(data)
-        data += more
-        ranks, held = v.ranks, bytes(data)
-        for end in range(start + 1, len(held) + 1):
-            lengths = v.lengths.get(held[max(0, end - 2) : end], ())
-            found = None
-            for n in lengths:
-                if n > end:
-                    continue
-                token = ranks.get(held[end - n : end])
-                if token is not None and (v.stands(token) if n == end else v.follows(last[end - n - 1], token) and v.stands(token)):
-                    found = token
-                    break
-            if found is None:
-                token = ranks[held[end - 1 : end]]  # KeyError: a byte without a token
-                if end > 1 and not v.follows(last[end - 2], token):
-                    raise AssertionError("no token ends here; the ranks aren't a BPE vocabulary")
-                found = token
-            last.append(found)
+        v, last, node = self.vocabulary, self.last, self.node
+        step, ending, shorter, length, fits = v.step, v.ending, v.shorter, v.length, v.fits
+        end = len(self.data)
+        self.data += more
+        for byte in more:
+            end += 1
+            node = step.get(node << 8 | byte) or v.move(node, byte)
+            token = ending[node]
+            while token >= 0:
+                n = length[token]
+                if n == end:
+                    if v.stands(token):
+                        break
+                else:
+                    before = last[end - n - 1]
+                    known = fits.get(before << 20 | token)
+                    if v.follows(before, token) if known is None else known:
+                        break
+                token = shorter[token]
+            if token < 0:
+                raise KeyError(f"no token ends with byte {byte} here; the ranks aren't a whole BPE vocabulary")
+            last.append(token)
+        self.node = node
 
     def cut(self, length: int) -> None:
         """Forgets all but the first bytes: what an edit at ``length`` leaves valid."""
         del self.data[length:], self.last[length:]
+        self.node = 0
+        for byte in self.data[-self.vocabulary.longest :]:
+            self.node = self.vocabulary.move(self.node, byte)
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.data)
         while at:
             out.append(token := self.last[at - 1])
-            at -= len(self.vocabulary.bytes_of[token])
+            at -= self.vocabulary.length[token]
         return out[::-1]
 
 
@@ -124,6 +164,7 @@ class Encoder:
 
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
         self.memory: dict[str, bytes] = {}
+        self.by_name = {b"%d" % i: t for i, t in vocabulary.bytes_of.items()}
 
     def piece(self, piece: str) -> bytes:
         """The ids of a piece, decimal, each followed by a comma."""
@@ -148,6 +189,10 @@ class Encoder:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
 
+    def decode_joined(self, ids: list[bytes]) -> bytes:
+        """Of decimal ids."""
+        return b"".join(map(self.by_name.__getitem__, ids))
+
 
 class EditableText:
     """A text with its encoding, kept exact through appends and edits by re-encoding near them only."""
@@ -217,7 +262,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     at = len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(ranks.value), pattern)
+        encoder = remembered((ranks_path, len(ranks.value), pattern), lambda: Encoder(Vocabulary(ranks.value), pattern))
         for b in batches:
             counts, ids, back = [], [], []
             for t in as_bytes(b.column(at)):
@@ -225,7 +270,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
                 each = joined.split(b",") if joined else []
                 counts.append(len(each))
                 ids.append(hashlib.sha256(joined).hexdigest())
-                back.append(hashlib.sha256(encoder.decode(map(int, each))).hexdigest())
+                back.append(hashlib.sha256(encoder.decode_joined(each)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*kept, *names])
 
     types = [f"`{c}` {t}" for c, t in docs.dtypes]

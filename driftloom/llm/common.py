@@ -6,9 +6,11 @@ the hash of every word, or of any prefix of it, without a Python loop over words
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +71,14 @@ def numbers(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(1, each)))
 
 
+def remembered(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` returns, kept for later tasks of the same Python worker: tables that are costly to build, of bounded size."""
+    held = sys.modules.setdefault("_driftloom_worker", types.ModuleType("_driftloom_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
