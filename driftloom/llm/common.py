@@ -66,6 +66,17 @@ def learnable(doc_id: str, n: int, left: int) -> Column:
     return F.coalesce(fold(doc_id, n) != left, F.lit(False))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, bound: int, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs with _label (0 or 1), of at most about ``bound`` labelled rows that may teach, chosen by a hash of the id.
+
+    The labels of the sample, which are of bounded size, are broadcast; no text is shuffled.
+    """
+    known = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_label"))
+    share = min(1.0, bound / max(1, known.count()))
+    few = known.where(F.pmod(F.xxhash64(F.col("_of").cast("string"), F.lit(3)), F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["_of"])
+    return docs.join(F.broadcast(few), F.col(id_col) == F.col("_of")).drop("_of")
+
+
 def numbers(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions for so many rows, at the given rows each, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // max(1, each)))
@@ -110,10 +121,12 @@ class Hasher:
 
     BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse mod 2**64
 
-    def __init__(self) -> None:
+    def __init__(self, gaps: np.ndarray | None = None) -> None:
+        """gaps: which of the 256 bytes separate words, SPACES unless given."""
         self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.space = np.zeros(256, bool)
         self.space[list(SPACES)] = True
+        self.space = self.space if gaps is None else gaps
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def powers(self, n: int) -> None:

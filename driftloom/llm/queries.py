@@ -15,6 +15,17 @@ from driftloom.llm.langid import identified
 from driftloom.llm.mixing import mixed
 from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
+from driftloom.llm.quality import fit as fit_quality
+from driftloom.llm.quality import scored
+from driftloom.llm.toxicity import fit as fit_toxicity
+from driftloom.llm.toxicity import scored as toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = fit_toxicity(docs, table(spark, sf_dir, "labels"), learnable("doc_id", 5, 0))
+    found = toxicity(docs, score)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +58,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"), learnable("doc_id", 5, 0))
+    found = scored(docs, machine)
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -122,12 +140,14 @@ SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_nearest": op8_nearest,
+    "op9_quality": op9_quality,
 }
 
 SQL: dict[str, str] = {
