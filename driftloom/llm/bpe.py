@@ -17,14 +17,17 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import as_bytes, remembered
+from driftloom.llm.common import chunks, remembered
 
 #: Encoded pieces that a Python worker remembers; a full memory is emptied. Longer pieces are not remembered.
 MEMORY, LONGEST = 700_000, 64
+#: Characters of texts that are encoded together.
+GROUP = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -108,6 +111,113 @@ class Vocabulary:
         return known
 
 
+class IntMap:
+    """int64 -> int32 for whole arrays, by open addressing; -1 where a key is absent."""
+
+    def __init__(self, bits: int = 16) -> None:
+        self.size, self.bits = 0, bits
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), -1, np.int32)
+        at, left, mask = self.places(keys), np.arange(len(keys)), len(self.keys) - 1
+        while len(left):
+            held = self.keys[at]
+            same = held == keys[left]
+            out[left[same]] = self.values[at[same]]
+            on = ~same & (held >= 0)
+            left, at = left[on], (at[on] + 1) & mask
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are absent."""
+        self.size += len(keys)
+        if 2 * self.size > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.r_[self.keys[old], keys], np.r_[self.values[old], values]
+            self.bits = max(self.bits + 1, (4 * self.size).bit_length())
+            self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at, left, mask = self.places(keys), np.arange(len(keys)), len(self.keys) - 1
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            mine = free & (self.keys[at] == keys[left])
+            self.values[at[mine]] = values[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & mask
+
+
+class Together:
+    """The same prefix tables for many pieces at once: one numpy step for each byte position and candidate."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.step, self.fits = IntMap(), IntMap()
+        self.step.put(np.array(list(vocabulary.step), np.int64), np.array(list(vocabulary.step.values()), np.int32))
+        self.fail, self.ending = np.array(vocabulary.fail, np.int32), np.array(vocabulary.ending, np.int32)
+        most = max(vocabulary.length, default=0) + 1
+        self.length, self.shorter = np.zeros(most, np.int32), np.full(most, -1, np.int32)
+        for token, n in vocabulary.length.items():
+            self.length[token], self.shorter[token] = n, vocabulary.shorter[token]
+        self.stands = np.array([vocabulary.stands(t) if t in vocabulary.bytes_of else False for t in range(most)])
+
+    def moves(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        out = self.step.get(node.astype(np.int64) << 8 | byte)
+        left = np.flatnonzero((out < 0) & (node > 0))
+        while len(left):
+            node = node.copy()
+            node[left] = self.fail[node[left]]
+            out[left] = self.step.get(node[left].astype(np.int64) << 8 | byte[left])
+            left = left[(out[left] < 0) & (node[left] > 0)]
+        return np.maximum(out, 0)
+
+    def follow(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        keys = before.astype(np.int64) << 20 | token
+        known = self.fits.get(keys)
+        if (known < 0).any():
+            fresh = np.unique(keys[known < 0])
+            if self.fits.size > 2_000_000:
+                self.fits = IntMap()
+            self.fits.put(fresh, np.array([self.vocabulary.follows(k >> 20, k & (1 << 20) - 1) for k in fresh.tolist()], np.int32))
+            self.vocabulary.fits.clear()
+            known = self.fits.get(keys)
+        return known > 0
+
+    def tokens(self, pieces: list[bytes]) -> list[list[int]]:
+        """The encoding of each piece (none is empty)."""
+        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+        size = np.array([len(pieces[k]) for k in order])
+        data = np.zeros((len(pieces), size[0]), np.uint8)
+        for row, k in enumerate(order):
+            data[row, : size[row]] = np.frombuffer(pieces[k], np.uint8)
+        last = np.full(data.shape, -1, np.int32)
+        node = np.zeros(len(pieces), np.int32)
+        for end in range(size[0]):
+            rows = np.arange(np.searchsorted(-size, -end))  # the longer ones come first
+            node = self.moves(node[: len(rows)], data[: len(rows), end].astype(np.int64))
+            token = self.ending[node]
+            while len(rows):
+                if (token < 0).any():
+                    raise KeyError("a byte has no token; the ranks aren't a whole BPE vocabulary")
+                before = end - self.length[token]
+                ok = self.stands[token] & (before < 0)
+                inner = np.flatnonzero(before >= 0)
+                ok[inner] = self.follow(last[rows[inner], before[inner]], token[inner])
+                last[rows[ok], end] = token[ok]
+                rows, token = rows[~ok], self.shorter[token[~ok]]
+        out: list[list[int]] = [[] for _ in pieces]
+        at, rows = size.copy(), np.arange(len(pieces))
+        while len(rows):
+            token = last[rows, at[rows] - 1]
+            for row, t in zip(rows.tolist(), token.tolist(), strict=True):
+                out[order[row]].append(t)
+            at[rows] -= self.length[token]
+            rows = rows[at[rows] > 0]
+        return [x[::-1] for x in out]
+
+
 class PrefixTable:
     """The encoding of one piece that grows: ``last[i]`` is the last token of its first i + 1 bytes."""
 
@@ -164,6 +274,7 @@ class Encoder:
 
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
         self.memory: dict[str, bytes] = {}
+        self.together: Together | None = None
         self.by_name = {b"%d" % i: t for i, t in vocabulary.bytes_of.items()}
 
     def piece(self, piece: str) -> bytes:
@@ -171,19 +282,45 @@ class Encoder:
         data = piece.encode()
         token = self.vocabulary.ranks.get(data)
         ids = [token] if token is not None else PrefixTable(self.vocabulary, data).tokens()  # as the library does, a piece that is a token is that token
-        out = b"".join(b"%d," % i for i in ids)
-        if len(piece) <= LONGEST:
-            if len(self.memory) >= MEMORY:
+        return b"".join([b"%d," % i for i in ids])
+
+    def learn(self, pieces: set[str]) -> list[str]:
+        """Puts pieces into the memory, all at once; returns those that are too long to stay there."""
+        if len(self.memory) + len(pieces) > MEMORY:
+            self.memory.clear()
+        if self.together is None:
+            self.together = Together(self.vocabulary)
+        long = [p for p in pieces if len(p) > LONGEST]
+        for p in long:
+            self.memory[p] = self.piece(p)
+        short = [p for p in pieces if len(p) <= LONGEST]
+        datas = [p.encode() for p in short]
+        whole = [self.vocabulary.ranks.get(d) for d in datas]
+        rest = [k for k, token in enumerate(whole) if token is None]
+        for k, token in enumerate(whole):
+            if token is not None:
+                self.memory[short[k]] = b"%d," % token
+        for k, ids in zip(rest, self.together.tokens([datas[k] for k in rest]) if rest else (), strict=True):
+            self.memory[short[k]] = b"".join([b"%d," % i for i in ids])
+        return long
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """Decimal ids of each text, joined by commas."""
+        for first, last in chunks(texts, GROUP):
+            pieces = [self.split(t) for t in texts[first:last]]
+            fresh = set().union(*pieces)
+            fresh.difference_update(self.memory)
+            if len(self.memory) + len(fresh) > MEMORY:
                 self.memory.clear()
-            self.memory[piece] = out
-        return out
-
-    def encode_joined(self, text: str) -> bytes:
-        memory, piece = self.memory, self.piece
-        return b"".join([memory.get(p) or piece(p) for p in self.split(text)])[:-1]
+                fresh = set().union(*pieces)
+            long = self.learn(fresh)
+            for each in pieces:
+                yield b"".join(map(self.memory.__getitem__, each))[:-1]
+            for p in long:
+                del self.memory[p]
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_joined(text)
+        joined = next(self.encode_many([text]))
         return [int(x) for x in joined.split(b",")] if joined else []
 
     def decode(self, ids: Iterable[int]) -> bytes:
@@ -265,8 +402,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
         encoder = remembered((ranks_path, len(ranks.value), pattern), lambda: Encoder(Vocabulary(ranks.value), pattern))
         for b in batches:
             counts, ids, back = [], [], []
-            for t in as_bytes(b.column(at)):
-                joined = encoder.encode_joined(t.decode("utf-8", "replace"))
+            for joined in encoder.encode_many([t or "" for t in b.column(at).to_pylist()]):
                 each = joined.split(b",") if joined else []
                 counts.append(len(each))
                 ids.append(hashlib.sha256(joined).hexdigest())

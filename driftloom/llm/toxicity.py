@@ -38,7 +38,7 @@ from driftloom.llm.common import CHUNK, Hasher, Words, as_bytes, chunks, labelle
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SEPARATORS = " .-_*"
 #: log-probabilities of the channel: a sign for a letter, a sign for itself, a repeated letter dropped or kept, a separator dropped.
-SIGN, ITSELF, DROPPED, KEPT, CLOSED = log(0.3), log(0.02), log(0.5), log(0.2), log(0.5)
+SIGN, ITSELF, DROPPED, KEPT, CLOSED = log(0.3), log(0.002), log(0.5), log(0.2), log(0.5)
 SYMBOLS = 64  # of the character model: 0 the gap, a-z, other letters by hash
 SAMPLE, SURE, SUPPORT = 20_000, 3.5, 3  # labelled rows, standard errors, fewest toxic texts with a feature
 LENGTHS = (4, 5, 6, 7, 8, 10)  # bytes of a word's beginning that are features
