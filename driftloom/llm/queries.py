@@ -17,6 +17,7 @@ from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
 from driftloom.llm.quality import fit as fit_quality
 from driftloom.llm.quality import scored
+from driftloom.llm.recurrent import likelihoods
 from driftloom.llm.toxicity import fit as fit_toxicity
 from driftloom.llm.toxicity import scored as toxicity
 
@@ -65,6 +66,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = likelihoods(table(spark, sf_dir, "documents").select("doc_id", "text"), learnable("_id", 7, 2))
+    return found.select(F.col("_id").alias("doc_id"), held_out("_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -148,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
+    "op10_language_model": op10_language_model,
 }
 
 SQL: dict[str, str] = {
