@@ -15,8 +15,8 @@ their Jaccard similarity reaches the threshold, and components of links are the
 
 List entries are filtered by size, by position and by a 512-bit parity sketch (its Hamming distance
 never exceeds the symmetric difference). Survivors are verified on whole sets. Long lists would hold
-all pairs of a group of near copies; they are read in blocks of bounded size, and each block first
-passes on only a spanning forest of its surviving pairs, likeliest first. When those are verified and
+all pairs of a group of near copies; they are read in blocks of bounded size, and each block or batch of
+lists first passes on only a spanning forest of its surviving pairs, likeliest first. When those are verified and
 connected, a second reading passes on every surviving pair whose ends are still in different
 components. So no link that matters is lost and pairs inside a component are never expanded.
 
@@ -45,10 +45,10 @@ from driftloom.llm.components import components
 
 #: Hashed counters for rarity (bounded: one byte for each is broadcast), and slabs in which they are summed.
 COUNTERS, SLABS = 1 << 20, 64
-#: Largest set that may be light; rows of a block of a list; lists up to this length pass on all survivors.
+#: Largest set that may be light; rows of a block of a list; lists up to this length are read many at a time.
 LIGHTEST, BLOCK, SHORT = 64, 1500, 12
-#: Bits of a parity sketch.
-BITS = 512
+#: Bits of a parity sketch; of the filter that spares texts without a candidate pair a shuffle (fixed: when it is full, more texts travel).
+BITS, FILTER = 512, 1 << 24
 
 
 class Join:
@@ -185,8 +185,29 @@ def subsets(join: Join):
     return run
 
 
+def forest_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges, taken in this order, join two trees."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = np.arange(len(nodes)).tolist()
+    left, kept = len(nodes) - 1, []
+    for e, (x, y) in enumerate(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), strict=True)):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        while up[y] != y:
+            up[y] = up[up[y]]
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(e)
+            left -= 1
+            if not left:
+                break
+    return np.array(kept, int)
+
+
 class Lists:
-    """Reads sorted list entries as a stream and passes on pairs. forest: long lists pass on a spanning forest only."""
+    """Reads sorted list entries as a stream and passes on pairs; forest: only a spanning forest of the survivors."""
 
     def __init__(self, join: Join, light: int, forest: bool) -> None:
         self.join, self.light, self.forest = join, light, forest
@@ -207,7 +228,7 @@ class Lists:
         ok = apart <= most
         return i[ok], j[ok], apart[ok]
 
-    def block(self, d: dict, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    def block(self, d: dict, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Survivors of one block of a long list; sides 0 and 1 are different blocks of it, else all pairs count."""
         side = d["_side"][first:last]
         left = np.flatnonzero(side == 0) + first
@@ -220,27 +241,11 @@ class Lists:
                 i, j = i[i < j], j[i < j]
             found.append(self.survive(d, i, j))
         i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
-        if not self.forest or not len(i):
-            return i, j
-        order = np.lexsort((d["_rep"][j], d["_rep"][i], apart))
-        up = np.arange(last - first)
-
-        def root(x: int) -> int:
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        kept, left_over = [], last - first - 1
-        for e in order:
-            a, b = root(i[e] - first), root(j[e] - first)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                kept.append(e)
-                left_over -= 1
-                if not left_over:
-                    break
-        return i[kept], j[kept]
+        if self.forest and len(i):
+            order = np.lexsort((d["_rep"][j], d["_rep"][i], apart))
+            order = order[forest_of(i[order], j[order])]
+            i, j, apart = i[order], j[order], apart[order]
+        return i, j, apart
 
     def pairs(self, t: pa.Table) -> pa.RecordBatch:
         d = {c: t.column(c).to_numpy() for c in t.column_names if c != "_bits"}
@@ -255,12 +260,14 @@ class Lists:
         nth = np.where(np.repeat(short, sizes), nth, 0)
         j = np.repeat(np.arange(len(ids)), nth)
         i = j - 1 - (np.arange(len(j)) - np.repeat(np.cumsum(nth) - nth, nth))
-        out.append(self.survive(d, i, j)[:2])
+        out.append(self.survive(d, i, j))
         for k in np.flatnonzero(~short):
             out.append(self.block(d, starts[k], starts[k] + sizes[k]))
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+        i, j, apart = (np.concatenate(x) for x in zip(*out, strict=True))
         a, b = np.minimum(d["_rep"][i], d["_rep"][j]), np.maximum(d["_rep"][i], d["_rep"][j])
-        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        both = np.unique(np.stack([apart, a, b], axis=1), axis=0)[:, 1:] if len(a) else np.zeros((0, 2), np.int64)
+        if self.forest and len(both):
+            both = both[forest_of(both[:, 0], both[:, 1])]
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["_a", "_b"])
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +296,32 @@ def dealt(lists: DataFrame, partitions: int) -> DataFrame:
     return named.select(cols).repartition(partitions, "_list").sortWithinPartitions("_list")
 
 
+def places(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
+
+
 def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
     """The pairs (_a, _b) whose whole sets reach the threshold. rows: _id, _text."""
-    ids = pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct()
+    ids = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
+    spark = rows.sparkSession
+
+    def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER // 8, np.uint8)
+        for b in batches:
+            at = places(b.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["_bits"])
+
+    some = np.zeros(FILTER // 8, np.uint8)
+    for r in ids.coalesce(4).mapInArrow(marked, "_bits binary").toLocalIterator():
+        some |= np.frombuffer(zlib.decompress(r._bits), np.uint8)
+    shared = spark.sparkContext.broadcast(some)
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column("_id").is_valid())
+            at = places(b.column("_id").to_numpy())
+            yield b.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1, pa.bool_()))
 
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -311,7 +341,8 @@ def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
                 keep.append(common * join.den >= join.num * (len(both) - common))
             yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(rows.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_text").mapInArrow(whole, "_id long, _set binary"))
+    mine = rows.mapInArrow(likely, "_id long, _text string")
+    sets = written(mine.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_text").mapInArrow(whole, "_id long, _set binary"))
     held = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
     return held.select("_a", "_b", "_x", "_y").mapInArrow(check, "_a long, _b long")
 
@@ -347,7 +378,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
     first = written(dealt(lists, wide).mapInArrow(Lists(join, light, True), "_a long, _b long").distinct())
     links = written(verified(first, rows, join))
     roots = written(components(links))
-    rest = lists.where(F.col("_len") > SHORT).join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
+    rest = lists.join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     mixed = rest.groupBy("_key", "_light").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_key", "_light")
     second = dealt(rest.join(mixed, ["_key", "_light"], "left_semi"), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
     second = written(second.join(first, ["_a", "_b"], "left_anti"))
