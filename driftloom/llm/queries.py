@@ -12,6 +12,7 @@ from driftloom.llm.common import held_out, learnable, table
 from driftloom.llm.dedup_exact import exact_dedup
 from driftloom.llm.langid import fit as fit_languages
 from driftloom.llm.langid import identified
+from driftloom.llm.line_dedup import line_report
 from driftloom.llm.mixing import mixed
 from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
@@ -36,6 +37,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -84,6 +89,31 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP3_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), s AS (
+  SELECT doc_id, no, line, row_number() OVER (ORDER BY doc_id, no) AS place, list_distinct(list_filter(string_split(line, ' '), lambda w: w <> '')) AS set
+  FROM l
+), f AS (
+  SELECT line, set, min(place) AS first FROM s WHERE len(set) > 0 GROUP BY line, set
+), e AS (
+  SELECT first, len(set) AS n, unnest(set) AS w FROM f
+), near AS (
+  SELECT DISTINCT first FROM (
+    SELECT b.first FROM e a JOIN e b ON a.w = b.w AND a.first < b.first AND least(a.n, b.n) * 10 >= greatest(a.n, b.n) * 8
+    GROUP BY a.first, b.first, a.n, b.n
+    HAVING count(*) * 10 >= 8 * (a.n + b.n - count(*)))
+), gone AS (
+  SELECT s.doc_id, s.no FROM s JOIN f ON s.line = f.line WHERE s.place > f.first OR f.first IN (SELECT first FROM near)
+), g AS (
+  SELECT doc_id, count(*) AS n_removed, string_agg(no::VARCHAR, ',' ORDER BY no) AS removed FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
 OP5_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
@@ -148,6 +178,7 @@ SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_ngram_join": op5_ngram_join,
     "op6_mixing": op6_mixing,
@@ -158,6 +189,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op5_ngram_join": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
