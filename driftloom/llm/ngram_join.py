@@ -15,10 +15,11 @@ their Jaccard similarity reaches the threshold, and components of links are the
 
 List entries are filtered by size, by position and by a 512-bit parity sketch (its Hamming distance
 never exceeds the symmetric difference). Survivors are verified on whole sets. Long lists would hold
-all pairs of a group of near copies; they are read in blocks of bounded size, and each block or batch of
-lists first passes on only a spanning forest of its surviving pairs, likeliest first. When those are verified and
-connected, a second reading passes on every surviving pair whose ends are still in different
-components. So no link that matters is lost and pairs inside a component are never expanded.
+all pairs of a group of near copies; they are read in blocks of bounded size, and each block
+first passes on only a spanning forest of its surviving pairs, likeliest first. When those are verified and
+connected, a second reading of the long lists passes on every surviving pair whose ends are still in
+different components. Candidate pairs first compare parity sketches of about as many bits as they have
+shingles; only what these can't tell apart is sent whole sets. So no link that matters is lost and pairs inside a component are never expanded.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits. Null and empty texts, and texts without a
 word, have an empty set and link with nothing. A text with fewer words than a shingle has its whole
@@ -207,7 +208,7 @@ def forest_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """Reads sorted list entries as a stream and passes on pairs; forest: only a spanning forest of the survivors."""
+    """Reads sorted list entries as a stream and passes on pairs; forest: only a spanning forest of each long list's block."""
 
     def __init__(self, join: Join, light: int, forest: bool) -> None:
         self.join, self.light, self.forest = join, light, forest
@@ -263,11 +264,9 @@ class Lists:
         out.append(self.survive(d, i, j))
         for k in np.flatnonzero(~short):
             out.append(self.block(d, starts[k], starts[k] + sizes[k]))
-        i, j, apart = (np.concatenate(x) for x in zip(*out, strict=True))
+        i, j, _ = (np.concatenate(x) for x in zip(*out, strict=True))
         a, b = np.minimum(d["_rep"][i], d["_rep"][j]), np.maximum(d["_rep"][i], d["_rep"][j])
-        both = np.unique(np.stack([apart, a, b], axis=1), axis=0)[:, 1:] if len(a) else np.zeros((0, 2), np.int64)
-        if self.forest and len(both):
-            both = both[forest_of(both[:, 0], both[:, 1])]
+        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["_a", "_b"])
 
     def __call__(self, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +295,12 @@ def dealt(lists: DataFrame, partitions: int) -> DataFrame:
     return named.select(cols).repartition(partitions, "_list").sortWithinPartitions("_list")
 
 
+def parity(shingles_: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set with a power of two of bits, at least as many as shingles; halves of a longer one add up to a shorter one."""
+    bits = max(512, 1 << max(0, len(shingles_) - 1).bit_length())
+    return np.packbits(np.bincount((shingles_ % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
 def places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
 
@@ -328,9 +333,19 @@ def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
         for b in batches:
             at = 0
             for sets in sets_of(b.column("_text"), join.words, hasher):
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "_set"])
+                yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "_n", "_sketch", "_set"])
                 at += len(sets)
 
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("_x", "_y", "_xn", "_yn")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * join.need(n, m))
+            yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -342,8 +357,10 @@ def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
             yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
     mine = rows.mapInArrow(likely, "_id long, _text string")
-    sets = written(mine.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_text").mapInArrow(whole, "_id long, _set binary"))
-    held = pairs.join(sets.select(F.col("_id").alias("_a"), F.col("_set").alias("_x")), "_a").join(sets.select(F.col("_id").alias("_b"), F.col("_set").alias("_y")), "_b")
+    sets = written(mine.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_text").mapInArrow(whole, "_id long, _n int, _sketch binary, _set binary"))
+    side = lambda c, a, x: sets.select(F.col("_id").alias(a), F.col(c).alias(x), F.col("_n").alias(f"{x}n"))
+    pairs = written(pairs.join(side("_sketch", "_a", "_x"), "_a").join(side("_sketch", "_b", "_y"), "_b").select("_a", "_b", "_x", "_y", "_xn", "_yn").mapInArrow(near, "_a long, _b long"))
+    held = pairs.join(side("_set", "_a", "_x"), "_a").join(side("_set", "_b", "_y"), "_b")
     return held.select("_a", "_b", "_x", "_y").mapInArrow(check, "_a long, _b long")
 
 
@@ -373,14 +390,15 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
         heavy.where(F.col("_n") * den >= num * (light + 1)).select("_key", "_len", "_rep", "_n", "_pos", F.lit(False).alias("_light"))
         .unionByName(small.join(twice, "_key").select("_key", "_len", "_rep", "_n", F.lit(0).alias("_pos"), F.lit(True).alias("_light")))
     )
-    lists = written(lists.join(reps.select("_rep", "_bits"), "_rep"))
+    lists = written(lists)
+    sketched = lambda df: df.join(reps.select("_rep", "_bits"), "_rep")
 
-    first = written(dealt(lists, wide).mapInArrow(Lists(join, light, True), "_a long, _b long").distinct())
+    first = written(dealt(sketched(lists), wide).mapInArrow(Lists(join, light, True), "_a long, _b long").distinct())
     links = written(verified(first, rows, join))
     roots = written(components(links))
-    rest = lists.join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
+    rest = lists.where(F.col("_len") > SHORT).join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     mixed = rest.groupBy("_key", "_light").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_key", "_light")
-    second = dealt(rest.join(mixed, ["_key", "_light"], "left_semi"), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
+    second = dealt(sketched(rest.join(mixed, ["_key", "_light"], "left_semi")), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
     second = written(second.join(first, ["_a", "_b"], "left_anti"))
     if not second.isEmpty():
         links = links.unionByName(verified(second, rows, join))
