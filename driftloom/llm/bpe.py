@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import chunks, remembered
+from driftloom.llm.common import Hasher, chunks, mix, remembered
 
-#: Encoded pieces that a Python worker remembers; a full memory is emptied. Longer pieces are not remembered.
-MEMORY, LONGEST = 700_000, 64
+#: Ids of encoded pieces that a Python worker remembers (a full memory is emptied); bytes of pieces that are encoded together.
+MEMORY, LONGEST = 6_000_000, 64
 #: Characters of texts that are encoded together.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -266,69 +266,189 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder:
-    """Whole texts: each match of the pattern is a piece of its own."""
+#: Fixed value: the pattern whose pieces ``Splitter`` finds with numpy. Other patterns are split by the regex library.
+KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+LETTER, NUMBER, SPACE, OTHER, NEW = range(5)
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
+
+class Splitter:
+    """Piece boundaries of many texts at once. With the known pattern, pieces are runs of one class (letters, numbers,
+    spaces, others); a run takes one blank before it; a run of spaces before something else ends one character
+    early; and an apostrophe without a blank before it takes a known ending from the letters after it."""
+
+    def __init__(self, pattern: str) -> None:
         import regex
 
-        self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.memory: dict[str, bytes] = {}
-        self.together: Together | None = None
-        self.by_name = {b"%d" % i: t for i, t in vocabulary.bytes_of.items()}
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece, decimal, each followed by a comma."""
-        data = piece.encode()
-        token = self.vocabulary.ranks.get(data)
-        ids = [token] if token is not None else PrefixTable(self.vocabulary, data).tokens()  # as the library does, a piece that is a token is that token
-        return b"".join([b"%d," % i for i in ids])
-
-    def learn(self, pieces: set[str]) -> list[str]:
-        """Puts pieces into the memory, all at once; returns those that are too long to stay there."""
-        if len(self.memory) + len(pieces) > MEMORY:
-            self.memory.clear()
-        if self.together is None:
-            self.together = Together(self.vocabulary)
-        long = [p for p in pieces if len(p) > LONGEST]
-        for p in long:
-            self.memory[p] = self.piece(p)
-        short = [p for p in pieces if len(p) <= LONGEST]
-        datas = [p.encode() for p in short]
-        whole = [self.vocabulary.ranks.get(d) for d in datas]
-        rest = [k for k, token in enumerate(whole) if token is None]
-        for k, token in enumerate(whole):
-            if token is not None:
-                self.memory[short[k]] = b"%d," % token
-        for k, ids in zip(rest, self.together.tokens([datas[k] for k in rest]) if rest else (), strict=True):
-            self.memory[short[k]] = b"".join([b"%d," % i for i in ids])
-        return long
-
-    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
-        """Decimal ids of each text, joined by commas."""
+        self.pattern = regex.compile(pattern)
+        self.known = pattern == KNOWN
+        self.kinds = [regex.compile(x) for x in (r"\p{L}", r"\p{N}", r"\s")]
+        self.kind = np.full(0x110000, NEW, np.uint8)
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        kind = self.kind[codes]
+        if (kind == NEW).any():
+            for c in np.unique(codes[kind == NEW]).tolist():
+                self.kind[c] = next((k for k, x in enumerate(self.kinds) if x.match(chr(c))), OTHER)
+            kind = self.kind[codes]
+        return kind
+
+    def starts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """(byte offsets of all pieces' starts in the joined texts, byte offsets of the texts and their end, joined UTF-8)."""
+        joined = "".join(texts)
+        data = joined.encode()
+        ends = np.cumsum([0, *map(len, texts)])
+        if not self.known:
+            at = [m.start() + first for t, first in zip(texts, ends[:-1].tolist(), strict=True) for m in self.pattern.finditer(t)]
+            marks = np.zeros(len(joined) + 1, bool)
+            marks[at] = True
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        if self.known:
+            marks = self.marks(codes, ends)
+        width = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).astype(np.int64)
+        byte = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(width, out=byte[1:])
+        return byte[np.flatnonzero(marks[:-1])], byte[ends], data
+
+    def marks(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which code points begin a piece (one more at the end)."""
+        n = len(codes)
+        marks = np.zeros(n + 1, bool)
+        if not n:
+            return marks
+        kind = self.classes(codes)
+        first = np.zeros(n + 1, bool)
+        first[ends] = True
+        marks[1:n] = kind[1:] != kind[:-1]
+        marks |= first
+        run = np.flatnonzero(marks[:n])
+        end = np.r_[run[1:], n]
+        before = (kind[run] == SPACE) & ~first[end]  # spaces before something else of the same text
+        last = end[before] - 1
+        blank = codes[last] == 32
+        marks[last[blank] + 1] = False  # the blank goes with what follows
+        marks[last] = True
+        quote = (kind[run] == OTHER) & (end - run == 1) & (codes[run] == 39) & ~first[end]
+        quote &= first[run] | (codes[np.maximum(run - 1, 0)] != 32)
+        for r, e in zip(run[quote].tolist(), end[quote].tolist(), strict=True):
+            if kind[e] == LETTER:
+                for x in ENDINGS:
+                    k = len(x)
+                    if e + k <= n and not first[e + 1 : e + k].any() and all(codes[e + i] == ord(c) for i, c in enumerate(x)):
+                        marks[e], marks[e + k] = False, True
+                        break
+        return marks
+
+
+class Encoder:
+    """Whole texts: each match of the pattern is a piece of its own. Pieces seen are kept, by a 63-bit hash, with their ids."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
+        self.vocabulary, self.splitter = vocabulary, Splitter(pattern)
+        self.split = self.splitter.pattern.findall
+        self.together, self.hasher = Together(vocabulary), Hasher()
+        tokens = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of, default=0) + 1)]
+        self.texts = Slices(tokens)
+        self.names = Slices([b"%d," % i for i in range(len(tokens))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.places = IntMap()
+        self.ids = Grown(np.int32)
+        self.offsets = Grown(np.int64)
+        self.offsets.add(np.zeros(1, np.int64))
+
+    def piece(self, data: bytes) -> list[int]:
+        token = self.vocabulary.ranks.get(data)  # as the library does, a piece that is a token is that token
+        return [token] if token is not None else PrefixTable(self.vocabulary, data).tokens()
+
+    def learn(self, datas: list[bytes], hashes: np.ndarray) -> None:
+        short = [k for k, d in enumerate(datas) if len(d) <= LONGEST and d not in self.vocabulary.ranks]
+        found: list[list[int]] = [[] for _ in datas]
+        for k, ids in zip(short, self.together.tokens([datas[k] for k in short]) if short else (), strict=True):
+            found[k] = ids
+        for k, d in enumerate(datas):
+            found[k] = found[k] or self.piece(d)
+        self.places.put(hashes, np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(datas), dtype=np.int32))
+        self.ids.add(np.fromiter((i for x in found for i in x), np.int32))
+        self.offsets.add(len(self.ids) - sum(map(len, found)) + np.cumsum([len(x) for x in found]))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids begin and the last end)."""
+        starts, bounds, data = self.splitter.starts(texts)
+        ends = np.r_[starts[1:], len(data)][: len(starts)].astype(np.int64)
+        self.hasher.powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.hasher.values[np.frombuffer(data, np.uint8)] * self.hasher.up[: len(data)], out=sums[1:])
+        hashes = (mix((sums[ends] - sums[starts]) * self.hasher.down[starts] + (ends - starts).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        if len(self.ids) > MEMORY:
+            self.forget()
+        at = self.places.get(hashes)
+        if (at < 0).any():
+            missing = np.flatnonzero(at < 0)
+            fresh, one = np.unique(hashes[missing], return_index=True)
+            rows = missing[one]
+            self.learn([data[a:z] for a, z in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)], fresh)
+            at = self.places.get(hashes)
+        offsets = self.offsets.view()
+        ids, counts = gathered(self.ids.view(), offsets[at], offsets[at + 1] - offsets[at])
+        total = np.r_[0, np.cumsum(counts)]
+        return ids, total[np.searchsorted(starts, bounds)]
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
         for first, last in chunks(texts, GROUP):
-            pieces = [self.split(t) for t in texts[first:last]]
-            fresh = set().union(*pieces)
-            fresh.difference_update(self.memory)
-            if len(self.memory) + len(fresh) > MEMORY:
-                self.memory.clear()
-                fresh = set().union(*pieces)
-            long = self.learn(fresh)
-            for each in pieces:
-                yield b"".join(map(self.memory.__getitem__, each))[:-1]
-            for p in long:
-                del self.memory[p]
+            ids, bounds = self.encode_all(texts[first:last])
+            for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[a:z]
 
     def encode(self, text: str) -> list[int]:
-        joined = next(self.encode_many([text]))
-        return [int(x) for x in joined.split(b",")] if joined else []
+        return next(self.encode_many([text])).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
+        return self.texts.join(np.fromiter(ids, np.int64))[0].tobytes()
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices of ``flat`` one after another, and their sizes."""
+    total = int(sizes.sum())
+    first = np.cumsum(sizes) - sizes
+    return flat[np.repeat(starts - first, sizes) + np.arange(total)], sizes
 
-    def decode_joined(self, ids: list[bytes]) -> bytes:
-        """Of decimal ids."""
-        return b"".join(map(self.by_name.__getitem__, ids))
+
+class Slices:
+    """Byte strings in one array."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def join(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the strings at these places, one after another; where each begins and the last ends)."""
+        out, sizes = gathered(self.flat, self.start[at], self.size[at])
+        return out, np.r_[0, np.cumsum(sizes)]
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind) -> None:
+        self.data, self.used = np.zeros(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.used
+
+    def add(self, more: np.ndarray) -> None:
+        if self.used + len(more) > len(self.data):
+            data = np.zeros(max(2 * len(self.data), self.used + len(more)), self.data.dtype)
+            data[: self.used] = self.data[: self.used]
+            self.data = data
+        self.data[self.used : self.used + len(more)] = more
+        self.used += len(more)
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.used]
 
 
 class EditableText:
@@ -365,9 +485,7 @@ class EditableText:
                 bounds[len(tail) - pos] = k
             pos += len(p)
         out, pos, met = [], 0, 0
-        import regex
-
-        for m in regex.compile(self.encoder.split.__self__.pattern).finditer(fresh):
+        for m in self.encoder.splitter.pattern.finditer(fresh):
             if pos > at - begin + len(inserted) and len(fresh) - pos in bounds:
                 met += 1
                 if met == 2:
@@ -380,7 +498,7 @@ class EditableText:
         self.pieces[first:] = out
 
     def ids(self) -> list[int]:
-        return [int(x) for p in self.pieces for x in self.encoder.piece(p).split(b",")[:-1]]
+        return [x for p in self.pieces for x in self.encoder.piece(p.encode())]
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -402,11 +520,15 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
         encoder = remembered((ranks_path, len(ranks.value), pattern), lambda: Encoder(Vocabulary(ranks.value), pattern))
         for b in batches:
             counts, ids, back = [], [], []
-            for joined in encoder.encode_many([t or "" for t in b.column(at).to_pylist()]):
-                each = joined.split(b",") if joined else []
-                counts.append(len(each))
-                ids.append(hashlib.sha256(joined).hexdigest())
-                back.append(hashlib.sha256(encoder.decode_joined(each)).hexdigest())
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for first, last in chunks(texts, GROUP):
+                found, bounds = encoder.encode_all(texts[first:last])
+                written, name_at = encoder.names.join(found)
+                plain, plain_at = encoder.texts.join(found)
+                for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+                    counts.append(z - a)
+                    ids.append(hashlib.sha256(written[name_at[a] : max(name_at[a], name_at[z] - 1)]).hexdigest())
+                    back.append(hashlib.sha256(plain[plain_at[a] : plain_at[z]]).hexdigest())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*kept, *names])
 
     types = [f"`{c}` {t}" for c, t in docs.dtypes]

@@ -74,3 +74,28 @@ def test_frame(spark, tools):
     assert encoded(df.limit(0), RANKS, P.PATTERN).count() == 0
     with pytest.raises(ValueError):
         encoded(df.withColumnRenamed("lang", "N_Tokens"), RANKS, P.PATTERN)
+
+
+def test_numpy_pieces_equal_the_patterns(tools):
+    encoder, library = tools
+    r = random.Random(5)
+    odd = ["'s", "'", "''", "'re", "'r", "'ll", "'d", " '", "\n'", "x", "e", "1", "²", "́", " ", "  ", "\n", "\t ", " \n", " ", "'S", "''s", " ", "ve", "ll", "!", "'t's", "\x1c", "\x85"]
+    for _ in range(300):
+        texts = ["".join(r.choice(odd) for _ in range(r.randrange(0, 14))) for _ in range(r.randrange(1, 9))]
+        starts, bounds, data = encoder.splitter.starts(texts)
+        cut = [data[a:z].decode() for a, z in zip(starts, [*starts[1:], len(data)], strict=False)]
+        assert cut == [p for t in texts for p in encoder.split(t)], texts
+        assert [x.tolist() for x in encoder.encode_many(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_other_patterns_and_full_memory(tools, monkeypatch):
+    from driftloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "MEMORY", 50)
+    pattern = r"\w+|\W"
+    ranks = read_ranks(RANKS)
+    mine, library = Encoder(Vocabulary(ranks), pattern), tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(6)
+    for _ in range(40):
+        t = "".join(r.choice(["the ", "thhe", "x1!", "é", "  "]) for _ in range(20))
+        assert mine.encode(t) == library.encode_ordinary(t)
