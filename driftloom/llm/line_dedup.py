@@ -7,11 +7,13 @@ similarity of at least 0.8 with it; lines without a word stay.
 Equal lines are met by grouping. For the others, words are ordered by rarity, rarest first: by the
 log2 class of a hashed counter over all words of all texts (a table of fixed size), then by hash, so that
 every line uses one order. Lines that match have their first common word among the first
-n - ceil(0.8 n) + 1 words of both (prefix filter); pairs that meet there must pass the length filter and
-the positional filter, and are verified on their whole word sets. A line that occurs very often posts
-its words once: the most frequent lines, of bounded number, are found beforehand and broadcast. A word's
-list isn't read pair by pair at first: each line is compared with the earliest line of its lists,
-and only lines that match none of these go on to all earlier lines of their lists.
+n - ceil(0.8 n) + 1 words of both (prefix filter); pairs that meet there must pass the length filter, the
+positional filter and a 128-bit parity sketch, whose Hamming distance never exceeds the symmetric
+difference. A first self-join over narrow rows keeps the lines that have any such partner; a second one,
+over the first occurrences of these few lines, carries the word sets and verifies them. Both are semi
+joins: a line leaves them once for each of its words at most, however many copies it has. A line that
+occurs very often posts its words once: the most frequent lines, of bounded number, are found beforehand
+and broadcast.
 
 Words are compared by 64-bit hashes (57 bits and the class), lines by 128 bits. Null and empty texts
 have no line that could go. Lines of rows with a null id stay and remove nothing. Repeated rows are the
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.common import written
 
-#: Hashed counters and buckets of the filter of texts (fixed sizes); most lines that are broadcast as frequent ones.
-COUNTERS, HOT = 1 << 16, 10_000
+#: Hashed counters; most words of 32 bits in the filter of lines (beyond, more lines travel); most lines that are broadcast as frequent ones.
+COUNTERS, FILTER, HOT = 1 << 17, 1 << 18, 10_000
 
 
 def words_of(line: Column) -> Column:
@@ -48,7 +50,7 @@ def table_literal(values: list[int]) -> Column:
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
     """log2 classes of the hashed counters, over all words."""
-    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "[ \n]")).alias("_w")).where("_w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")), " ")).alias("_w")).where("_w <> ''")
     counts = words.groupBy(F.pmod(F.xxhash64("_w"), F.lit(COUNTERS)).cast("int").alias("_at")).agg(F.count("*").alias("_n"))
     classes = [0] * COUNTERS
     for r in counts.collect():
@@ -61,40 +63,42 @@ def ordered(line: Column, classes: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(words_of(line)), lambda h: F.shiftleft(F.element_at(classes, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
-def need(a: str, b: str) -> Column:
+def need(a: Column, b: Column) -> Column:
     """Smallest overlap of sets of these sizes at Jaccard 0.8: ceil(8 (a + b) / 18)."""
-    return F.expr(f"(8 * ({a} + {b}) + 17) div 18")
+    return F.floor((8 * (a + b) + 17) / 18).cast("int")
 
 
-def filters() -> Column:
-    """Length and positional filters of an earlier line e and a later line l that share a word."""
-    near = (F.least("_ln", "_en") * 10 >= F.greatest("_ln", "_en") * 8) & (F.least(F.col("_ln") - F.col("_lpos"), F.col("_en") - F.col("_epos")) >= need("_ln", "_en"))
-    return near & (F.col("_efirst") < F.col("_lfirst"))
+def sketch(words: Column, half: int) -> Column:
+    """64 of the 128 bits: the parity of the words that fall on each."""
+    mine = F.filter(words, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
+    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def side(lists: DataFrame, x: str) -> DataFrame:
-    return lists.select("_key", *[F.col(f"_{c}").alias(f"_{x}{c}") for c in ("h1", "h2", "first", "n", "pos")])
+def posted(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
+    """_key, _n, _pos, _s1, _s2 and the carried columns: a row for each of a line's rarest words."""
+    sets = lines.withColumn("_set", ordered(F.col("_line"), classes)).withColumn("_n", F.size("_set")).withColumn("_s1", sketch(F.col("_set"), 0)).withColumn("_s2", sketch(F.col("_set"), 1))
+    return sets.select("_n", "_s1", "_s2", *carried, F.posexplode(F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)")).alias("_pos", "_key"))
 
 
-NAMES = ["_lh1", "_lh2", "_eh1", "_eh2"]
+def near() -> Column:
+    """The filters of two lines l and e that share a word, cheapest first."""
+    n, m = F.col("l._n"), F.col("e._n")
+    least = need(n, m)
+    apart = F.bit_count(F.col("l._s1").bitwiseXOR(F.col("e._s1"))) + F.bit_count(F.col("l._s2").bitwiseXOR(F.col("e._s2")))
+    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= least) & (apart <= n + m - 2 * least)
 
 
-def matched(pairs: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Names (_lh1, _lh2) of later lines of which a pair is verified on whole word sets."""
-    names = pairs.select(F.explode(F.array(F.struct(F.col("_lh1").alias("_h1"), F.col("_lh2").alias("_h2")), F.struct(F.col("_eh1").alias("_h1"), F.col("_eh2").alias("_h2")))).alias("_x")).select("_x.*").distinct()
-    wanted = written(first.join(names, ["_h1", "_h2"], "left_semi").select("_first", F.floor(F.col("_first") / F.lit(1 << 32)).cast("long").alias("_of")))
-    flags = [0] * COUNTERS
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(COUNTERS)).cast("int")
-    for r in wanted.select(bucket(F.col("_of")).alias("_at")).distinct().collect():
-        flags[r._at] = 1
-    likely = docs.where(F.element_at(table_literal(flags), bucket(F.col(id_col).cast("long")) + 1) == 1)
-    mine = lines_of(likely, id_col, text_col).join(wanted.select(F.col("_first").alias("_place")), "_place", "left_semi")
-    sets = written(mine.dropDuplicates(["_place"]).select("_h1", "_h2", F.array_distinct(words_of(F.col("_line"))).alias("_set")))
-    x = sets.select(F.col("_h1").alias("_lh1"), F.col("_h2").alias("_lh2"), F.col("_set").alias("_x"))
-    y = sets.select(F.col("_h1").alias("_eh1"), F.col("_h2").alias("_eh2"), F.col("_set").alias("_y"))
-    both = pairs.join(x, ["_lh1", "_lh2"]).join(y, ["_eh1", "_eh2"])
-    common = F.size(F.array_intersect("_x", "_y"))
-    return both.where(common * 10 >= 8 * (F.size("_x") + F.size("_y") - common)).select("_lh1", "_lh2").distinct()
+def filter_of(places: DataFrame) -> Column:
+    """A test of _place that all of these pass: two bits of a table that grows with them up to a fixed size."""
+    words = min(FILTER, max(64, 1 << places.count().bit_length()))
+    at = lambda seed: F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(words)).cast("int")
+    bit = lambda seed: F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64("_place", F.lit(seed + 10)), F.lit(31)).cast("int"))
+    flags = [0] * words
+    marks = places.select(F.explode(F.array(*[F.struct(at(s).alias("_at"), bit(s).alias("_bit")) for s in (1, 2)])).alias("_x"))
+    for r in marks.groupBy("_x._at").agg(F.bit_or("_x._bit").alias("_bits")).collect():
+        flags[r[0]] = r._bits
+    table = table_literal(flags)
+    return (F.element_at(table, at(1) + 1).bitwiseAND(bit(1)) != 0) & (F.element_at(table, at(2) + 1).bitwiseAND(bit(2)) != 0)
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,25 +110,18 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     classes = rarity(docs, text_col)
     once = lines.join(hot, ["_h1", "_h2"], "left").where("_only IS NULL OR _place = _only")
-    sets = once.select("_h1", "_h2", ordered(F.col("_line"), classes).alias("_set")).withColumn("_n", F.size("_set"))
-    posted = sets.select("_h1", "_h2", "_n", F.posexplode(F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)")).alias("_pos", "_key"))
-    lists = posted.repartition("_key").dropDuplicates(["_key", "_h1", "_h2"])
-    shared = lists.groupBy("_key").agg(F.count("*").alias("_many")).where("_many > 1").select("_key")
-    kept = written(lists.join(shared.hint("shuffle_hash"), "_key"))
-    lists = written(kept.join(first.select("_h1", "_h2", "_first"), ["_h1", "_h2"]))
-
-    earliest = lists.groupBy("_key").agg(F.min("_first").alias("_first"))
-    leads = lists.join(earliest, ["_key", "_first"])
-    stars = written(side(lists, "l").join(side(leads, "e"), "_key").where(filters()).select(NAMES).distinct())
-    found = written(matched(stars, first, docs, id_col, text_col))
-    open_ = lists.join(found.select(F.col("_lh1").alias("_h1"), F.col("_lh2").alias("_h2")), ["_h1", "_h2"], "left_anti")
-    rest = side(open_, "l").join(side(lists, "e"), "_key").where(filters()).select(NAMES).distinct().join(stars, NAMES, "left_anti")
-    more = matched(written(rest), first, docs, id_col, text_col)
-
-    near = found.unionByName(more).distinct().select(F.col("_lh1").alias("_h1"), F.col("_lh2").alias("_h2"))
-    near = first.join(near, ["_h1", "_h2"], "left_semi").select(F.floor(F.col("_first") / F.lit(1 << 32)).cast("long").alias("_id"), F.pmod("_first", F.lit(1 << 32)).cast("int").alias("_no"))
+    rows = posted(once, classes, "_h1")
+    some = rows.alias("l").join(rows.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near(), "left_semi").select("_h1").distinct()
+    wanted = written(first.join(written(some), "_h1", "left_semi").select(F.col("_first").alias("_place")))
+    few = lines.where(filter_of(wanted)).join(wanted, "_place", "left_semi").dropDuplicates(["_place"])
+
+    full = posted(few, classes, "_place", "_set")
+    common = F.size(F.array_intersect("l._set", "e._set"))
+    match = common * 10 >= 8 * (F.col("l._n") + F.col("e._n") - common)
+    found = full.alias("l").join(full.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("e._place") < F.col("l._place")) & near() & match, "left_semi").select("_place").distinct()
+    near_lines = found.select(F.floor(F.col("_place") / F.lit(1 << 32)).cast("long").alias("_id"), F.pmod("_place", F.lit(1 << 32)).cast("int").alias("_no"))
     later = lines.select("_id", "_no", "_h1", "_h2", "_place").join(first.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where("_place > _first").select("_id", "_no")
-    return near.unionByName(later).groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_gone"))
+    return near_lines.unionByName(later).groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_gone"))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
