@@ -71,7 +71,7 @@ class Features:
         last = w.last - 1
         tripled = (w.last - w.first >= 3) & (w.data[last] == w.data[last - 1]) & (w.data[last] == w.data[last - 2]) & (self.kinds[w.data[last]] == 4)
         ends = np.flatnonzero(w.data == 10)
-        lines = np.maximum(np.searchsorted(bounds + 1, ends[1:], side="left") - 1, 0)
+        lines = np.searchsorted(bounds + 1, ends[1:], side="right") - 1
         line = (w.sums[ends[1:]] - w.sums[ends[:-1] + 1]) * w.down[ends[:-1] + 1]
         line_key = np.unique((lines.astype(np.uint64) << np.uint64(40)) | (line >> np.uint64(24)))
         distinct_lines = np.bincount((line_key >> np.uint64(40)).astype(np.int64), minlength=n)[:n].astype(float)
