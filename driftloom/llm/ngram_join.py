@@ -48,6 +48,8 @@ from driftloom.llm.components import components
 COUNTERS, SLABS = 1 << 20, 64
 #: Largest set that may be light; rows of a block of a list; lists up to this length are read many at a time.
 LIGHTEST, BLOCK, SHORT = 64, 1500, 12
+#: Texts of a block of a large group whose whole sets meet in one task.
+CELL = 200
 #: Bits of a parity sketch; of the filter that spares texts without a candidate pair a shuffle (fixed: when it is full, more texts travel).
 BITS, FILTER = 512, 1 << 24
 
@@ -305,10 +307,8 @@ def places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
-    """The pairs (_a, _b) whose whole sets reach the threshold. rows: _id, _text."""
-    ids = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
-    spark = rows.sparkSession
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose _id is among ids, and few more: ids are marked in a filter of fixed size, so that no text is shuffled."""
 
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER // 8, np.uint8)
@@ -320,23 +320,27 @@ def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
     some = np.zeros(FILTER // 8, np.uint8)
     for r in ids.coalesce(4).mapInArrow(marked, "_bits binary").toLocalIterator():
         some |= np.frombuffer(zlib.decompress(r._bits), np.uint8)
-    shared = spark.sparkContext.broadcast(some)
+    shared = rows.sparkSession.sparkContext.broadcast(some)
 
-    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(b.column("_id").is_valid())
             at = places(b.column("_id").to_numpy())
             yield b.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1, pa.bool_()))
 
-    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.mapInArrow(run, "_id long, _text string")
+
+
+def near(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """The pairs (_a, _b) that parity sketches of about as many bits as there are shingles can't tell apart."""
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            at = 0
-            for sets in sets_of(b.column("_text"), join.words, hasher):
-                yield pa.RecordBatch.from_arrays([b.column("_id").slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["_id", "_n", "_sketch", "_set"])
-                at += len(sets)
+            sets = [s for part in sets_of(b.column("_text"), join.words, hasher) for s in part]
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], ["_id", "_n", "_sketch"])
 
-    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("_x", "_y", "_xn", "_yn")), strict=True):
@@ -346,22 +350,54 @@ def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
                 keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * join.need(n, m))
             yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
 
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
+    sketches = written(likely(rows, ids).mapInArrow(sketch, "_id long, _n int, _sketch binary").dropDuplicates(["_id"]))
+    side = lambda a, x: sketches.select(F.col("_id").alias(a), F.col("_sketch").alias(x), F.col("_n").alias(f"{x}n"))
+    return pairs.join(side("_a", "_x"), "_a").join(side("_b", "_y"), "_b").select("_a", "_b", "_x", "_y", "_xn", "_yn").mapInArrow(run, "_a long, _b long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """The pairs (_a, _b) whose whole sets reach the threshold. rows: _id, _text.
+
+    Pairs are dealt by connected group, large groups by pairs of blocks, so that a text travels once for
+    each cell that it has pairs in: once, in a small group, however many pairs those are.
+    """
+    group = written(components(pairs))
+    sizes = group.groupBy("_root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_blocks"))
+    block = F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("int")
+    of = written(group.join(sizes, "_root").select("_node", "_root", block.alias("_block")))
+    both = pairs.join(of.select(F.col("_node").alias("_a"), "_root", F.col("_block").alias("_p")), "_a").join(of.select(F.col("_node").alias("_b"), F.col("_block").alias("_q")), "_b")
+    cell = F.xxhash64("_root", F.least("_p", "_q"), F.greatest("_p", "_q"))
+    placed = written(both.select(cell.alias("_cell"), "_a", "_b"))
+    wanted = written(placed.select("_cell", F.explode(F.array("_a", "_b")).alias("_id")).distinct())
+    texts = likely(rows, wanted.select("_id").distinct()).join(wanted, "_id").dropDuplicates(["_cell", "_id"]).select("_cell", "_id", "_text")
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("_x").to_pylist(), b.column("_y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common * join.den >= join.num * (len(both) - common))
-            yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
+            sets = [s.tobytes() for part in sets_of(b.column("_text"), join.words, hasher) for s in part]
+            yield pa.RecordBatch.from_arrays([b.column("_cell"), b.column("_id"), pa.nulls(b.num_rows, pa.int64()), pa.array(sets, pa.binary())], ["_cell", "_a", "_b", "_set"])
 
-    mine = rows.mapInArrow(likely, "_id long, _text string")
-    sets = written(mine.join(ids, "_id", "left_semi").dropDuplicates(["_id"]).select("_id", "_text").mapInArrow(whole, "_id long, _n int, _sketch binary, _set binary"))
-    side = lambda c, a, x: sets.select(F.col("_id").alias(a), F.col(c).alias(x), F.col("_n").alias(f"{x}n"))
-    pairs = written(pairs.join(side("_sketch", "_a", "_x"), "_a").join(side("_sketch", "_b", "_y"), "_b").select("_a", "_b", "_x", "_y", "_xn", "_yn").mapInArrow(near, "_a long, _b long"))
-    held = pairs.join(side("_set", "_a", "_x"), "_a").join(side("_set", "_b", "_y"), "_b")
-    return held.select("_a", "_b", "_x", "_y").mapInArrow(check, "_a long, _b long")
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sets = None, {}
+        for batch in batches:
+            out = []
+            for c, a, b, s in zip(*(batch.column(k).to_pylist() for k in ("_cell", "_a", "_b", "_set")), strict=True):
+                if c != cell:
+                    cell, sets = c, {}
+                if b is None:
+                    sets[a] = np.frombuffer(s, np.uint64)
+                    continue
+                all_ = np.sort(np.concatenate([sets[a], sets[b]]), kind="stable")
+                common = int((all_[1:] == all_[:-1]).sum())
+                if common * join.den >= join.num * (len(all_) - common):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["_a", "_b"])
+
+    shape = "_cell long, _a long, _b long, _set binary"
+    sets = texts.mapInArrow(whole, shape)
+    cells = sets.unionByName(placed.withColumn("_set", F.lit(None).cast("binary")))
+    return cells.repartition("_cell").sortWithinPartitions("_cell", F.col("_b").asc_nulls_first()).mapInArrow(check, "_a long, _b long")
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,13 +409,14 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
     wide = numbers(spark, table.count(), 20_000)
 
     some = table.where("_n > 0 AND _id IS NOT NULL")
-    name = F.struct("_high", "_low")
     classes_of = written(some.groupBy("_high", "_low").agg(F.min("_id").alias("_rep")))
     reps = written(some.select("_id", "_n", "_bits", "_prefix", "_all").join(classes_of.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "_rep"))
 
     entries = reps.select("_rep", "_n", F.posexplode("_prefix").alias("_pos", "_key"))
-    shared = entries.groupBy("_key").agg(F.count("*").alias("_len")).where("_len > 1")
-    heavy = written(entries.join(shared, "_key"))
+    n, m = F.col("l._n"), F.col("e._n")
+    fits = (F.least(n, m) * den >= F.greatest(n, m) * num) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= F.ceil((num * (n + m)) / (num + den)))
+    met = written(entries.alias("l").join(entries.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("l._rep") != F.col("e._rep")) & fits, "left_semi"))
+    heavy = written(met.join(met.groupBy("_key").agg(F.count("*").alias("_len")), "_key"))
     sizes = {r._n: (r.sets, r.posted) for r in reps.where(F.col("_n") <= LIGHTEST).groupBy("_n").agg(F.count("*").alias("sets"), F.sum(F.size("_prefix")).alias("posted")).collect()}
     read = {r._n: r.read for r in heavy.where(F.col("_n") <= LIGHTEST).groupBy("_n").agg(F.sum("_len").alias("read")).collect()}
     light = boundary(join, {n: s for n, (s, _) in sizes.items()}, {n: p + read.get(n, 0) for n, (_, p) in sizes.items()})
@@ -394,14 +431,14 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
     sketched = lambda df: df.join(reps.select("_rep", "_bits"), "_rep")
 
     first = written(dealt(sketched(lists), wide).mapInArrow(Lists(join, light, True), "_a long, _b long").distinct())
-    links = written(verified(first, rows, join))
+    links = written(verified(written(near(first, rows, join)), rows, join))
     roots = written(components(links))
     rest = lists.where(F.col("_len") > SHORT).join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     mixed = rest.groupBy("_key", "_light").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_key", "_light")
     second = dealt(sketched(rest.join(mixed, ["_key", "_light"], "left_semi")), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
     second = written(second.join(first, ["_a", "_b"], "left_anti"))
     if not second.isEmpty():
-        links = links.unionByName(verified(second, rows, join))
+        links = links.unionByName(written(verified(written(near(second, rows, join)), rows, join)))
         roots = written(components(links))
 
     found = classes_of.join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").select("_high", "_low", F.coalesce("_root", "_rep").alias("_group"))
