@@ -310,16 +310,25 @@ def places(ids: np.ndarray) -> np.ndarray:
 def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose _id is among ids, and few more: ids are marked in a filter of fixed size, so that no text is shuffled."""
 
+    each = FILTER // 8 // SLABS
+
     def marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER // 8, np.uint8)
         for b in batches:
             at = places(b.column(0).to_numpy())
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["_bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLABS), pa.int32()), pa.array([zlib.compress(bits[k * each : (k + 1) * each].tobytes(), 1) for k in range(SLABS)], pa.binary())], ["_slab", "_bits"])
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slabs: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                slabs[k] = slabs.get(k, np.zeros(each, np.uint8)) | np.frombuffer(zlib.decompress(packed), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(slabs), pa.int32()), pa.array([x.tobytes() for x in slabs.values()], pa.binary())], ["_slab", "_bits"])
 
     some = np.zeros(FILTER // 8, np.uint8)
-    for r in ids.coalesce(4).mapInArrow(marked, "_bits binary").toLocalIterator():
-        some |= np.frombuffer(zlib.decompress(r._bits), np.uint8)
+    for r in ids.mapInArrow(marked, "_slab int, _bits binary").repartition("_slab").mapInArrow(joined, "_slab int, _bits binary").collect():
+        some[r._slab * each : (r._slab + 1) * each] = np.frombuffer(r._bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(some)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
