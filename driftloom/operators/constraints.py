@@ -53,3 +53,25 @@ def over_quota(usage: DataFrame, limits: dict[str, int]) -> DataFrame:
     """resource, observed, quota, exceeded of a one-row frame of usage figures, each with a quota."""
     pairs = F.array(*[F.struct(F.lit(k).alias("resource"), F.col(k).cast("long").alias("observed"), F.lit(v).cast("long").alias("quota")) for k, v in limits.items()])
     return usage.select(F.explode(pairs).alias("_x")).select("_x.*").withColumn("exceeded", F.col("observed") > F.col("quota"))
+
+
+def field_faults(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """item_id, field, fault of items (item_id, kind, fields array<string>) against rules (kind, field, presence: required or forbidden)."""
+    met = items.join(rules, "kind").withColumn("_there", F.array_contains("fields", F.col("field")))
+    fault = F.when((F.col("presence") == "required") & ~F.col("_there"), "missing_field").when((F.col("presence") == "forbidden") & F.col("_there"), "forbidden_field")
+    return met.select("item_id", "field", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def seed_faults(seeds: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Seeds (snippet_id, signature_type, contract_file, document_index, path, code) with the first thing that disagrees with their sketch."""
+    facts = ("signature_type", "contract_file", "document_index", "path")
+    known = sketches.select("snippet_id", F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in facts])
+    joined = seeds.join(known, "snippet_id", "left")
+    rules = [("unknown_sketch", F.col("_there").isNull()), *[(c, ~F.col(c).eqNullSafe(F.col(f"_{c}"))) for c in facts], ("empty_code", F.size("code") == 0)]
+    return joined.select("snippet_id", first_fault(*rules).alias("fault")).where("fault IS NOT NULL")
+
+
+def mode_conflicts(documents: DataFrame) -> DataFrame:
+    """Crates that documents (contract_file, document_index, crate_id, mode, profile, root) describe in different ways, and how many ways."""
+    ways = documents.groupBy("crate_id").agg(F.countDistinct(F.struct("mode", "profile", "root")).alias("ways"))
+    return ways.where("ways > 1")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import contents, paths
-from driftloom.operators import constraints, graph, inventory, matching, reconcile, snippets
+from driftloom.operators import constraints, graph, inventory, links, matching, positions, reconcile, snippets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -420,3 +420,52 @@ SELECT path FROM w WHERE EXISTS (SELECT 1 FROM need WHERE need.path = w.path OR
 def wanted_module_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     walk = graph.closure(*hierarchy(spark, sf_dir))
     return graph.wanted(walk.select("path"), walk.where(F.col("node").isin("n3", "s7")).select("path"))
+
+
+# --- positions, lookups and rules --------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)
+SELECT path, line::BIGINT AS line, (sum(strlen(x) + 1) OVER (PARTITION BY path ORDER BY line) - strlen(x) - 1)::BIGINT AS first, strlen(x)::BIGINT AS bytes FROM l""")
+def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), contents.text_of(F.encode("text", "UTF-8")).alias("text"))
+    return positions.line_offsets(docs)
+
+
+@query("""WITH s AS (SELECT user_id AS path, event_id AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS document_index FROM events WHERE event_type = 'click'),
+l AS (SELECT user_id AS path, event_id AS line FROM events WHERE event_type <> 'click')
+SELECT l.path, l.line, max(s.document_index)::BIGINT AS document_index FROM l LEFT JOIN s ON s.path = l.path AND s.start <= l.line GROUP BY ALL""")
+def document_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events")
+    starts = matching.numbered(events.where("event_type = 'click'"), ["user_id"], ["event_id"]).select(F.col("user_id").alias("path"), F.col("event_id").alias("start"), (F.col("occurrence") - 1).alias("document_index"))
+    return positions.document_of(events.where("event_type <> 'click'").select(F.col("user_id").alias("path"), F.col("event_id").alias("line")), starts)
+
+
+@query("""SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey AS link_id, l_orderkey AS item_id, CASE WHEN o_orderkey IS NULL THEN 'missing_item' WHEN o_orderstatus <> l_linestatus THEN 'file_mismatch' END AS fault
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 6 <> 0) ON o_orderkey = l_orderkey""")
+def linked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey").alias("link_id"), F.col("l_orderkey").alias("item_id"), F.col("l_linestatus").alias("file"))
+    orders = load(spark, sf_dir, "orders").where("o_orderkey % 6 <> 0").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("file"))
+    return links.linked(lines, orders).select("link_id", "item_id", "fault")
+
+
+@query("""WITH i AS (SELECT p_partkey AS item_id, p_type AS kind, list_filter(['name', CASE WHEN p_size % 2 = 0 THEN 'size' END, CASE WHEN p_partkey % 3 = 0 THEN 'price' END], lambda x: x IS NOT NULL) AS fields FROM part),
+r AS (SELECT * FROM (VALUES ('ECONOMY', 'size', 'required'), ('ECONOMY', 'price', 'forbidden'), ('STANDARD', 'price', 'required'), ('PROMO', 'name', 'forbidden')) t(kind, field, presence))
+SELECT item_id, field, CASE WHEN presence = 'required' THEN 'missing_field' ELSE 'forbidden_field' END AS fault FROM i JOIN r USING (kind) WHERE (presence = 'required') <> list_contains(fields, field)""")
+def field_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.array_compact(F.array(F.lit("name"), F.when(F.col("p_size") % 2 == 0, "size"), F.when(F.col("p_partkey") % 3 == 0, "price")))
+    rules = spark.createDataFrame([("ECONOMY", "size", "required"), ("ECONOMY", "price", "forbidden"), ("STANDARD", "price", "required"), ("PROMO", "name", "forbidden")], "kind string, field string, presence string")
+    return constraints.field_faults(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("kind"), fields.alias("fields")), rules)
+
+
+@query(f"""WITH {SNIPPETS}, s AS (SELECT snippet_id, CASE WHEN snippet_id % 5 = 0 THEN path + 1 ELSE path END AS path, CASE WHEN snippet_id % 9 = 0 THEN [] ELSE code END AS code FROM k WHERE snippet_id % 3 <> 1
+UNION ALL SELECT -1, 0, ['x'])
+SELECT s.snippet_id, CASE WHEN k.snippet_id IS NULL THEN 'unknown_sketch' WHEN s.path <> k.path THEN 'path' ELSE 'empty_code' END AS fault FROM s LEFT JOIN k USING (snippet_id) WHERE k.snippet_id IS NULL OR s.path <> k.path OR len(s.code) = 0""")
+def seed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lambda df: df.withColumns({"signature_type": F.lit("fn"), "contract_file": F.lit("main.yml"), "document_index": F.lit(0)})
+    sketches = placed(cut_snippets(spark, sf_dir))
+    i = F.col("snippet_id")
+    seeds = sketches.where(i % 3 != 1).withColumn("path", F.when(i % 5 == 0, F.col("path") + 1).otherwise(F.col("path"))).withColumn("code", F.when(i % 9 == 0, F.array().cast("array<string>")).otherwise(F.col("code")))
+    stray = placed(spark.range(1).select(F.lit(-1).cast("long").alias("snippet_id"), F.lit(0).cast("long").alias("path"), F.array(F.lit("x")).alias("code")))
+    cols = ["snippet_id", "signature_type", "contract_file", "document_index", "path", "code"]
+    return constraints.seed_faults(seeds.select(cols).unionByName(stray.select(cols)), sketches)

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import constraints, generate, graph, inventory, items, matching, reconcile, snippets
+from driftloom.operators import constraints, generate, graph, inventory, items, links, matching, positions, reconcile, snippets
 
 
 def test_windows_both_ways_equal_plain_python(spark):
@@ -124,3 +124,26 @@ def test_constraints(spark):
     targets = spark.createDataFrame([("x",), ("y",)], "id string")
     assert {r.id: r.times for r in constraints.reference_counts(targets, links, "id").collect()} == {"x": 2, "y": 0}
     assert [r.id for r in constraints.dangling(links, targets, "id").collect()] == ["z"]
+
+
+def test_names_through_imports(spark):
+    declared = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "Z")], "module string, name string")
+    imports = spark.createDataFrame([("m", "X", "a", "X"), ("n", "Y", "m", "X"), ("o", "X", "a", "X"), ("o", "X", "b", "X"), ("p", "Q", "q", "Q"), ("q", "Q", "p", "Q"), ("c", "Z", "a", "X")], "module string, name string, source string, source_name string")
+    names = spark.createDataFrame([("a", "X"), ("n", "Y"), ("o", "X"), ("p", "Q"), ("z", "none"), ("c", "Z")], "module string, name string")
+    got = {(r.module, r.name): (r.target, r.fault) for r in links.resolve(names, declared, imports).collect()}
+    assert got == {("a", "X"): ("a::X", None), ("n", "Y"): ("a::X", None), ("o", "X"): (None, "ambiguous"), ("p", "Q"): (None, "import_cycle"), ("z", "none"): (None, "unresolved"), ("c", "Z"): ("c::Z", None)}
+
+
+def test_coordinates(spark):
+    texts = spark.createDataFrame([("f", "ab\n\nc")], "path string, text string")
+    at = spark.createDataFrame([("f", 1, 3), ("f", 2, 1), ("f", 3, 1), ("f", 3, 9), ("f", 4, 1)], "path string, line long, column long")
+    got = {(r.line, r.column): r.byte for r in positions.resolved(at, positions.line_offsets(texts)).collect()}
+    assert got == {(1, 3): 2, (2, 1): 3, (3, 1): 4, (3, 9): None, (4, 1): None}
+
+
+def test_owners_and_modes(spark):
+    blocks = spark.createDataFrame([(1, "o"), (2, "none")], "block long, owner_id string")
+    have, lack = links.owned(blocks, spark.createDataFrame([("o", "x")], "owner_id string, info string"))
+    assert [r.block for r in have.collect()] == [1] and [r.block for r in lack.collect()] == [2]
+    docs = spark.createDataFrame([("f", 0, "c", "syntax", "p", "r"), ("g", 0, "c", "compiler", "p", "r"), ("g", 1, "d", "syntax", "p", "r")], "contract_file string, document_index int, crate_id string, mode string, profile string, root string")
+    assert [(r.crate_id, r.ways) for r in constraints.mode_conflicts(docs).collect()] == [("c", 2)]
