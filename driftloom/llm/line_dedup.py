@@ -75,9 +75,13 @@ def sketch(words: Column, half: int) -> Column:
 
 
 def posted(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
-    """_key, _n, _pos, _s1, _s2 and the carried columns: a row for each of a line's rarest words."""
-    sets = lines.withColumn("_set", ordered(F.col("_line"), classes)).withColumn("_n", F.size("_set")).withColumn("_s1", sketch(F.col("_set"), 0)).withColumn("_s2", sketch(F.col("_set"), 1))
-    return sets.select("_n", "_s1", "_s2", *carried, F.posexplode(F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)")).alias("_pos", "_key"))
+    """The carried columns, _n, _s1, _s2, _pos and _key: a row for each of a line's rarest words."""
+    zero = F.lit(0).cast("long")
+    # coalesce: columns that can't be null get no null checks, which the optimiser would push below and so compute the sets again
+    sets = lines.select("*", F.coalesce(ordered(F.col("_line"), classes), F.array().cast("array<long>")).alias("_set"))
+    sized = sets.select(*carried, *[c for c in ["_set"] if c not in carried], F.coalesce(F.size("_set"), F.lit(0)).alias("_n"))
+    full = sized.select(*carried, "_n", F.coalesce(sketch(F.col("_set"), 0), zero).alias("_s1"), F.coalesce(sketch(F.col("_set"), 1), zero).alias("_s2"), F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)").alias("_rarest"))
+    return full.select(*carried, "_n", "_s1", "_s2", F.posexplode_outer("_rarest").alias("_pos", "_key"))  # no line is without words; outer spares a check of the array below
 
 
 def near() -> Column:
