@@ -27,9 +27,18 @@ cloudpickle.register_pickle_by_value(driftloom)
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Joined bytes that one numpy pass hashes at once (a longer text makes a longer pass of its own).
 CHUNK = 1 << 18
+#: Most rows of an Arrow batch.
+BATCH = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH`` rows: texts are long, and both sides of a Python worker hold a batch several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
