@@ -6,7 +6,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.bpe import encoded
-from driftloom.llm.common import learnable, table, written
+from driftloom.llm.common import learnable, small_batches, table, written
 from driftloom.llm.dedup_exact import drop_exact_copies
 from driftloom.llm.langid import fit, identified
 from driftloom.llm.mixing import mixed
@@ -15,6 +15,7 @@ from driftloom.llm.ngram_join import one_of_each
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents too far from every language's centroids go, and those without a letter."""
+    small_batches(spark)
     found = identified(docs, fit(docs, learnable("doc_id", 4, 2)), prefix="id_")
     return found.where("NOT id_rejected").select(docs.columns)
 
