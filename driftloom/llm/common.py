@@ -28,7 +28,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Joined bytes that one numpy pass hashes at once (a longer text makes a longer pass of its own).
 CHUNK = 1 << 18
 #: Most rows of an Arrow batch.
-BATCH = 2000
+BATCH = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
