@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import Hasher, chunks, mix, remembered
+from driftloom.llm.common import Hasher, chunks, mix
 
-#: Ids of encoded pieces that a Python worker remembers (a full memory is emptied); bytes of pieces that are encoded together.
+#: Ids of encoded pieces that a task remembers (a full memory is emptied); bytes of pieces that are encoded together.
 MEMORY, LONGEST = 1_000_000, 64
 #: Characters of texts that are encoded together.
 GROUP = 1 << 17
@@ -517,7 +517,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     at = len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = remembered((ranks_path, len(ranks.value), pattern), lambda: Encoder(Vocabulary(ranks.value), pattern))
+        encoder = Encoder(Vocabulary(ranks.value), pattern)  # of this task alone: later stages need the worker's memory
         for b in batches:
             counts, ids, back = [], [], []
             texts = [t or "" for t in b.column(at).to_pylist()]
