@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import Hasher, chunks, mix
 
 #: Ids of encoded pieces that a task remembers (a full memory is emptied); bytes of pieces that are encoded together.
-MEMORY, LONGEST = 1_000_000, 64
+MEMORY, LONGEST = 4_000_000, 64
 #: Characters of texts that are encoded together.
-GROUP = 1 << 17
+GROUP = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -178,7 +178,7 @@ class Together:
         known = self.fits.get(keys)
         if (known < 0).any():
             fresh = np.unique(keys[known < 0])
-            if self.fits.size > 300_000:
+            if self.fits.size > 1_000_000:
                 self.fits = IntMap()
             self.fits.put(fresh, np.array([self.vocabulary.follows(k >> 20, k & (1 << 20) - 1) for k in fresh.tolist()], np.int32))
             self.vocabulary.fits.clear()
