@@ -166,3 +166,26 @@ def test_gradients_equal_differences():
             down = f()
             u.p[k][at] = old
             assert abs((up - down) / 2e-3 - grads[k][at]) < 2e-2 * max(1, abs(grads[k][at])), k
+
+
+def test_all_learnable_texts_teach_the_unit(spark, monkeypatch):
+    monkeypatch.setattr(recurrent, "STEPS", 16)
+    monkeypatch.setattr(recurrent, "LANES", 4)
+    r = np.random.default_rng(5)
+    voc = recurrent.Vocabulary(np.arange(30, dtype=np.uint64), r.integers(1, 50, 30), 7, np.zeros(recurrent.KINDS), np.zeros(recurrent.KINDS))
+    texts = [np.r_[np.tile([1 + k % 5, 7, 9 + k % 5, 20], 1 + k % 4), 0].astype(np.int32) for k in range(3000)]
+    lessons = spark.createDataFrame([(k * 7919, bytearray(t.tobytes())) for k, t in enumerate(texts)], "_slot long, _ids binary").repartition(3)
+    tokens, unit = sum(map(len, texts)), recurrent.Unit(voc)
+    before = unit.score(texts).sum()
+    assert recurrent.taught(lessons, unit, tokens) == tokens
+    assert unit.score(texts).sum() > 0.9 * before
+    again = recurrent.Unit(voc)
+    recurrent.taught(lessons.repartition(5), again, tokens)
+    assert np.allclose(unit.flat(), again.flat(), atol=1e-5)  # however the rows lie
+
+
+def test_word_list_grows_with_the_vocabulary():
+    assert recurrent.listed(10_000) == recurrent.SHORT < recurrent.listed(1_000_000) < recurrent.listed(100_000_000)
+    hashes = np.arange(40_000, dtype=np.uint64)
+    voc = recurrent.Vocabulary(hashes, np.arange(40_000)[::-1] + 1, 7, np.zeros(recurrent.KINDS), np.zeros(recurrent.KINDS))
+    assert voc.classes == 200 and sorted(voc.ids) == list(range(1, 40_001))
