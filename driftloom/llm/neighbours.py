@@ -176,7 +176,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_asks"))
     fine = F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("_v", lambda x: x != 0)
-    rows = rows.where(F.col("_id").isNotNull() & F.coalesce(fine, F.lit(False))).withColumn("_dim", F.size("_v"))
+    rows = rows.where(F.col("_id").isNotNull() & F.coalesce(fine, F.lit(False)))
+    rows = rows.groupBy("_id").agg(F.min("_v").alias("_v"), F.bool_or("_asks").alias("_asks")).withColumn("_dim", F.size("_v"))  # an id counts once in the bounds, too
     asked, there = rows.agg(F.count_if("_asks"), F.count("*")).first()
     across, down = max(1, -(-asked // QUERIES)), max(1, -(-there // CANDIDATES))
     mine = F.pmod(F.xxhash64("_id"), F.lit(across)).cast("int")

@@ -42,3 +42,15 @@ def test_bounds_hold():
         a, b = (Block(np.arange(50), r.normal(size=(50, 64)) * scale * r.lognormal(size=(50, 1))) for _ in range(2))
         score, bound = tile(a, b)
         assert (np.abs(score - a.x @ b.x.T) <= bound).all()
+
+
+def test_repeated_rows_take_no_places(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    hot = df.where("vec_id = 7").crossJoin(spark.range(30).select()).select("vec_id", "embedding")
+    for table in (df.unionByName(df), df.unionByName(hot)):
+        got = {}
+        for x in nearest(table, F.col("vec_id") % 5 == 0, k=20).orderBy("query_id", "rank").collect():
+            got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+        assert got == brute(rows, lambda q: q % 5 == 0, 20)
