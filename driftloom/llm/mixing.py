@@ -8,17 +8,22 @@ The same seed always gives the same mixture, whatever the partitions.
 
 A null source is a source of its own; a null id hashes as the text "null". Repeated rows repeat alike.
 Sources without a weight, or of weight 0, disappear. Empty texts and nulls elsewhere are carried as
-they are. Rates above ``MOST`` are an error, since such a source can't be mixed by repetition.
+they are. Sums of rates above ``MOST`` start from the distribution's mode instead of at 0, where doubles
+would underflow, and leave out counts more than 10 standard deviations and 30 below the mean.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.common import numbers, written
 
-#: Largest repetition rate; most sources whose rates are broadcast (more are joined by shuffling ids); rows of an output partition.
+#: Largest rate whose sums start at 0; most sources whose rates are broadcast (more are joined by shuffling ids); rows of an output partition.
 MOST, BROADCAST, EACH = 500, 5_000, 20_000
 
 
@@ -31,6 +36,20 @@ def number(digest: Column, digits: int) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
+def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of distributions with large means: terms relative to the mode's, divided by their total."""
+    for b in batches:
+        sums = []
+        for rate in b.column("_rate").to_pylist():
+            wide, mode = 10 * rate**0.5 + 30, int(rate)
+            first = max(0, int(rate - wide))
+            up = np.cumsum(np.log(rate / np.arange(mode + 1, int(rate + wide) + 2)))
+            down = np.cumsum(np.log(np.arange(mode, first, -1) / rate))[::-1]
+            all_ = np.cumsum(np.exp(np.r_[down, 0.0, up]))
+            sums.append(np.r_[np.full(first, 1e-300), all_ / all_[-1]])  # below: passed by every hash but 0
+        yield pa.RecordBatch.from_arrays([b.column("_source"), b.column("_rate"), pa.array(sums, pa.list_(pa.float64()))], ["_source", "_rate", "_cdf"])
+
+
 def rates(docs: DataFrame, source_col: str = "source", temperature: float = 0.5, weights: dict[str, float] | None = None, size: float = 1.0) -> DataFrame:
     """_source, _rate, _cdf: the repetition rate of each source and the distribution's sums as far as doubles reach.
 
@@ -46,7 +65,7 @@ def rates(docs: DataFrame, source_col: str = "source", temperature: float = 0.5,
     total = counts.agg(F.sum(weight).alias("weight"), F.sum("_rows").alias("rows")).first()
     share = weight / F.lit(total.weight) if total.weight else F.lit(0.0)
     rate = share * F.lit(total.rows) * F.lit(float(size)) / F.col("_rows")
-    rated = counts.withColumn("_rate", F.when(rate > MOST, F.raise_error(F.lit("a source would repeat too often"))).otherwise(rate))
+    rated = counts.withColumn("_rate", rate)
     ends = F.sequence(F.lit(1), F.ceil(F.col("_rate") + 10 * F.sqrt("_rate") + 30).cast("int"))
     start = F.struct(F.exp(-F.col("_rate")).alias("term"), F.exp(-F.col("_rate")).alias("sum"), F.array(F.exp(-F.col("_rate"))).alias("all"))
 
@@ -54,7 +73,8 @@ def rates(docs: DataFrame, source_col: str = "source", temperature: float = 0.5,
         term = a["term"] * F.col("_rate") / k
         return F.struct(term.alias("term"), (a["sum"] + term).alias("sum"), F.concat(a["all"], F.array(a["sum"] + term)).alias("all"))
 
-    return rated.select("_source", "_rate", F.aggregate(ends, start, add, lambda a: a["all"]).alias("_cdf"))
+    low = rated.where(F.col("_rate") <= MOST).select("_source", "_rate", F.aggregate(ends, start, add, lambda a: a["all"]).alias("_cdf"))
+    return low.unionByName(rated.where(F.col("_rate") > MOST).select("_source", "_rate").mapInArrow(around, f"_source {dict(low.dtypes)['_source']}, _rate double, _cdf array<double>"))
 
 
 def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", order_col: str = "order_key", **target) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftloom.llm.mixing import hashed, mixed, number, rates
 
@@ -42,3 +43,15 @@ def test_odd_rows(spark):
         mixed(df.withColumnRenamed("text", "Copy"))
     with pytest.raises(Exception, match="repeat too often"):
         mixed(df, size=10_000.0).count()
+
+
+def test_large_rates(spark):
+    df = spark.range(8).selectExpr("id AS doc_id", "CASE WHEN id < 4 THEN 'a' ELSE 'b' END AS source", "'t' AS text")
+    for rate in (600.0, 5000.0):
+        got = {r.doc_id: (r.n, r.d) for r in mixed(df, seed=3, size=rate).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d")).collect()}
+        for r in df.select("doc_id", (number(hashed(3, "doc_id"), 13) / float(1 << 52)).alias("u")).collect():
+            k, total = 0, math.exp(-rate)
+            while total <= r.u:
+                k += 1
+                total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            assert got[r.doc_id] == (k, k)
