@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import Hasher, chunks, mix
+from driftloom.llm.common import Hasher, chunks, free, unclashing
 
 #: Ids of encoded pieces that a task remembers (a full memory is emptied); bytes of pieces that are encoded together.
 MEMORY, LONGEST = 4_000_000, 64
@@ -341,7 +341,7 @@ class Splitter:
 
 
 class Encoder:
-    """Whole texts: each match of the pattern is a piece of its own. Pieces seen are kept, by a 63-bit hash, with their ids."""
+    """Whole texts: each match of the pattern is a piece of its own. Pieces seen are kept, by a 63-bit hash, with their bytes and ids; a hit counts if its bytes are equal."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.splitter = vocabulary, Splitter(pattern)
@@ -354,22 +354,27 @@ class Encoder:
 
     def forget(self) -> None:
         self.places = IntMap()
-        self.ids = Grown(np.int32)
-        self.offsets = Grown(np.int64)
+        self.ids, self.kept = Grown(np.int32), Grown(np.uint8)
+        self.offsets, self.begins = Grown(np.int64), Grown(np.int64)  # of ids and of kept bytes
         self.offsets.add(np.zeros(1, np.int64))
+        self.begins.add(np.zeros(1, np.int64))
 
     def piece(self, data: bytes) -> list[int]:
         token = self.vocabulary.ranks.get(data)  # as the library does, a piece that is a token is that token
         return [token] if token is not None else PrefixTable(self.vocabulary, data).tokens()
 
-    def learn(self, datas: list[bytes], hashes: np.ndarray) -> None:
+    def learn(self, datas: list[bytes], hashes: np.ndarray | None) -> None:
+        """Keeps pieces; without hashes they aren't found again."""
         short = [k for k, d in enumerate(datas) if len(d) <= LONGEST and d not in self.vocabulary.ranks]
         found: list[list[int]] = [[] for _ in datas]
         for k, ids in zip(short, self.together.tokens([datas[k] for k in short]) if short else (), strict=True):
             found[k] = ids
         for k, d in enumerate(datas):
             found[k] = found[k] or self.piece(d)
-        self.places.put(hashes, np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(datas), dtype=np.int32))
+        if hashes is not None:
+            self.places.put(hashes, np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(datas), dtype=np.int32))
+        self.begins.add(len(self.kept) + np.cumsum([len(d) for d in datas]))
+        self.kept.add(np.frombuffer(b"".join(datas), np.uint8))
         self.ids.add(np.fromiter((i for x in found for i in x), np.int32))
         self.offsets.add(len(self.ids) - sum(map(len, found)) + np.cumsum([len(x) for x in found]))
 
@@ -377,10 +382,8 @@ class Encoder:
         """(ids of all texts, where each text's ids begin and the last end)."""
         starts, bounds, data = self.splitter.starts(texts)
         ends = np.r_[starts[1:], len(data)][: len(starts)].astype(np.int64)
-        self.hasher.powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.hasher.values[np.frombuffer(data, np.uint8)] * self.hasher.up[: len(data)], out=sums[1:])
-        hashes = (mix((sums[ends] - sums[starts]) * self.hasher.down[starts] + (ends - starts).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        sizes, flat = ends - starts, np.frombuffer(data, np.uint8)
+        hashes = (self.hasher.runs(flat, sizes) >> np.uint64(1)).astype(np.int64)
         if len(self.ids) > MEMORY:
             self.forget()
         at = self.places.get(hashes)
@@ -390,6 +393,12 @@ class Encoder:
             rows = missing[one]
             self.learn([data[a:z] for a, z in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)], fresh)
             at = self.places.get(hashes)
+        if len(at):
+            same = self.kept.view()[np.repeat(self.begins.view()[at] - starts, sizes) + np.arange(len(flat))] == flat
+            if not same.all():  # another piece of the same hash
+                other = np.unique(np.searchsorted(starts, np.flatnonzero(~same), side="right") - 1)
+                at[other] = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(other))
+                self.learn([data[a:z] for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)], None)
         offsets = self.offsets.view()
         ids, counts = gathered(self.ids.view(), offsets[at], offsets[at + 1] - offsets[at])
         total = np.r_[0, np.cumsum(counts)]
@@ -511,9 +520,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     kept = docs.columns
     names = [f"{prefix}{n}" for n in ("n_tokens", "ids_sha256", "decoded_sha256")]
-    if clash := {*map(str.lower, names)} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already; give another prefix")
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
+    unclashing(docs, *names)
+    rows = docs.select("*", F.col(text_col).cast("string").alias(*free(docs, "_text")))
     at = len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,8 @@
 """What the operators of this subpackage share: table access, folds, written stages and byte-level word hashing.
 
-Word hashing works on UTF-8 bytes with numpy: a prefix sum of table[byte] * P**i (mod 2**64) gives
-the hash of every word, or of any prefix of it, without a Python loop over words.
+Word hashing works on UTF-8 bytes with numpy: sums of table[byte] * table[place in the word] (mod 2**64)
+give the hash of every word, or of any prefix of it, without a Python loop over words. The places'
+factors are scrambled numbers, not powers of one base, so no family of strings collides by construction.
 """
 
 from __future__ import annotations
@@ -41,11 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
+    """A folder that all executors see: spark.checkpoint.dir. Where that is unset a local master gets a temporary one; a cluster has no such folder, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.conf.get("driftloom.local.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="driftloom-")
         spark.conf.set("driftloom.local.dir", at)
     return at
@@ -59,6 +63,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of docs has it (whatever the case of letters)."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def unclashing(docs: DataFrame, *names: str) -> None:
+    """Raises ValueError if docs has a column of one of these names of results."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} exist already; give other names")
+
+
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, mod n; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
@@ -116,9 +137,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes words of joined texts. One for each task: it keeps tables of powers."""
-
-    BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse mod 2**64
+    """Hashes words of joined texts. One for each task: it keeps a table of the places' factors."""
 
     def __init__(self, gaps: np.ndarray | None = None) -> None:
         """gaps: which of the 256 bytes separate words, SPACES unless given."""
@@ -126,16 +145,23 @@ class Hasher:
         self.space = np.zeros(256, bool)
         self.space[list(SPACES)] = True
         self.space = self.space if gaps is None else gaps
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.factors = np.zeros(0, np.uint64)
+
+    def sums(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """data: the bytes of runs of these sizes, one after another. (prefix sums over all bytes, where each run begins)."""
+        longest = int(sizes.max()) if len(sizes) else 0
+        if longest > len(self.factors):
+            self.factors = mix(mix(np.arange(1, 2 * longest + 1024, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) | np.uint64(1)
+        begins = np.cumsum(sizes) - sizes
+        place = np.arange(len(data)) - np.repeat(begins, sizes)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.factors[place], out=sums[1:])
+        return sums, begins
 
-    def powers(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 2 * CHUNK)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
-                p = np.full(n, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+    def runs(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """64-bit hash of each run."""
+        sums, begins = self.sums(data, sizes)
+        return mix(sums[begins + sizes] - sums[begins] + sizes.astype(np.uint64))
 
     def words(self, texts: list[bytes]) -> Words:
         """The words of all texts together; a word is a run of bytes that aren't in SPACES."""
@@ -147,19 +173,26 @@ class Hasher:
         offsets = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=offsets[1:])
         of = np.searchsorted(first, offsets + 1)
-        self.powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.up[: len(data)], out=sums[1:])
-        return Words(data, first, last, of, sums, self.down)
+        return Words(data, first, last, of, *self.sums(data[~gap], last - first))
 
 
 class Words:
     """first, last: byte range of each word; of: the range of words of each text."""
 
-    def __init__(self, data, first, last, of, sums, down) -> None:
-        self.data, self.first, self.last, self.of, self.sums, self.down = data, first, last, of, sums, down
+    def __init__(self, data, first, last, of, sums, begins) -> None:
+        self.data, self.first, self.last, self.of, self.sums, self.begins = data, first, last, of, sums, begins
 
     def hashes(self, length: int | None = None) -> np.ndarray:
         """64-bit hash of each word, or of its first ``length`` bytes (all of a shorter one)."""
-        last = self.last if length is None else np.minimum(self.last, self.first + length)
-        return mix((self.sums[last] - self.sums[self.first]) * self.down[self.first] + (last - self.first).astype(np.uint64))
+        size = self.last - self.first
+        size = size if length is None else np.minimum(size, length)
+        return mix(self.sums[self.begins + size] - self.sums[self.begins] + size.astype(np.uint64))
+
+
+def folded(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of each run of hashes, by value and place."""
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(values), dtype=np.uint64) - np.repeat(begins, sizes).astype(np.uint64)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values + mix(place + np.uint64(1))), out=sums[1:])
+    return mix(sums[begins + sizes] - sums[begins] + sizes.astype(np.uint64))

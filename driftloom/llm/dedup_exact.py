@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import SPACES, as_bytes, numbers, written
+from driftloom.llm.common import SPACES, as_bytes, free, numbers, written
 
 #: Digests that one shard of the index holds, about.
 SHARD_KEYS = 200_000
@@ -65,11 +65,11 @@ class CuckooIndex:
         return None
 
     def put(self, digest: bytes, value: object) -> None:
-        """Inserts the digest, or replaces the value of a live one."""
+        """Inserts the digest, or replaces the value of a live one. A filter miss spares the look into the stored content."""
         mark, at = self.print_of(digest), self.home(digest)
-        content = self.stored.setdefault(at, {})
-        fresh = digest not in content
-        content[digest] = value
+        hit = mark in self.slots[at] or mark in self.slots[self.other(at, mark)]
+        fresh = not hit or digest not in self.stored.get(at, ())
+        self.stored.setdefault(at, {})[digest] = value
         if fresh:
             self.size += 1
             if not self.place(at, mark):
@@ -191,15 +191,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; of fully equal ids and lengths in a group, one row."""
     rows, index = exact_groups(docs, id_col, text_col)
-    keep = index.select(F.col("_id").alias("_keep"), F.col("_points").alias("_most"))
-    marked = docs.withColumn("_long", F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_long") == F.col("_most"))
-    kept = marked.join(keep, same, "left_semi")
+    long, keep, most, nth = free(docs, "_long", "_keep", "_most", "_nth")
+    best = index.select(F.col("_id").alias(keep), F.col("_points").alias(most))
+    marked = docs.select("*", F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias(long))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(long) == F.col(most))
+    kept = marked.join(best, same, "left_semi")
     twice = rows.groupBy("_id", "_sha", "_points").count().where("count > 1").limit(1).count()
     if twice:  # repeated rows: only one of each stays
-        one = Window.partitionBy(F.col(id_col), F.sha2(F.col(text_col).cast("string"), 256)).orderBy(F.col("_long"))
-        kept = kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
-    return kept.select([docs[c] for c in docs.columns])
+        one = Window.partitionBy(F.col(id_col), F.sha2(F.col(text_col).cast("string"), 256)).orderBy(F.col(long))
+        kept = kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
+    return kept.select(docs.columns)
 
 
 def sharded(digests_: DataFrame, shards: int) -> DataFrame:

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.common import free, unclashing
+
 #: Hashed n-grams; centroids of a language; rows of each language that k-means sees, about; its rounds.
 DIMS, CLUSTERS, SAMPLE, ROUNDS = 8192, 3, 600, 8
 #: Letters at which radii are measured. A text uses the largest that it reaches, else the first.
@@ -181,10 +183,9 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", prefix: st
     """Every row with all its columns, lang_pred, score and rejected (names behind ``prefix``). Nothing is shuffled."""
     kept = docs.columns
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
-    if clash := {*map(str.lower, names)} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already; give another prefix")
+    unclashing(docs, *names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows, at = docs.withColumn("_text", F.col(text_col).cast("string")), len(docs.columns)
+    rows, at = docs.select("*", F.col(text_col).cast("string").alias(*free(docs, "_text"))), len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, m = Grams(), shared.value

@@ -8,31 +8,33 @@ Equal lines are met by grouping. For the others, words are ordered by rarity, ra
 log2 class of a hashed counter over all words of all texts (a table of fixed size), then by hash, so that
 every line uses one order. Lines that match have their first common word among the first
 n - ceil(0.8 n) + 1 words of both (prefix filter); pairs that meet there must pass the length filter, the
-positional filter and a 128-bit parity sketch, whose Hamming distance never exceeds the symmetric
-difference. A first self-join over narrow rows keeps the lines that have any such partner; a second one,
-over the first occurrences of these few lines, carries the word sets and verifies them. Both are semi
-joins: a line leaves them once for each of its words at most, however many copies it has. A line that
-occurs very often posts its words once: the most frequent lines, of bounded number, are found beforehand
-and broadcast.
-
-Words are compared by 64-bit hashes (57 bits and the class), lines by 128 bits. Null and empty texts
+positional filter and a parity sketch, whose Hamming distance never exceeds the symmetric difference.
+
+* A semi join over narrow rows (word, line, sizes, sketch) keeps the lines that have any such partner. A
+  line that occurs very often posts its words once: the most frequent lines, of bounded number, are found
+  beforehand and broadcast.
+* The first occurrences of these few lines are read again, with a larger sketch and their sets, which are
+  written once. Each line meets the ``EARLIEST`` earliest lines of each of its rarest words, so that many
+  lines of one template make few pairs; the likeliest one is verified, sets being attached once.
+* Lines that had an earlier partner but no verified one meet all of them, by a semi join that carries
+  sets and leaves a line once for each word. Words of many such lines are split into blocks of lines.
+
+Words are compared by 59-bit hashes and the class, lines by 128 bits. Null and empty texts
 have no line that could go. Lines of rows with a null id stay and remove nothing. Repeated rows are the
 same lines and don't remove each other. Empty tables give no rows. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import written
+from driftloom.llm.common import free, written
 
-#: Hashed counters; most words of 32 bits in the filter of lines (beyond, more lines travel); most lines that are broadcast as frequent ones.
-COUNTERS, FILTER, HOT = 1 << 17, 1 << 18, 10_000
-
-
-def words_of(line: Column) -> Column:
-    return F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+#: Hashed counters of words, 16 to a long; longs of a filter's bits (when it is full, more lines travel); most lines that are broadcast as frequent ones.
+COUNTERS, FILTER, HOT = 1 << 18, 1 << 16, 10_000
+#: Earliest lines of a word that others meet first; lines of a block of a word that many lines still share after that.
+EARLIEST, BLOCK = 16, 500
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,24 +45,43 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("_id", "_no", "_line", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), "_line").alias("_h2"), place.cast("decimal(32,0)").alias("_place"))
 
 
-def table_literal(values: list[int]) -> Column:
-    """An array that the optimiser folds into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+def shift_left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by.cast("int"))
+
+
+def table_of(parts: DataFrame, size: int) -> Column:
+    """An array (from 1) of the long _value of each _slot below ``size``, 0 where there is none. Its size is fixed; tasks get it from a subquery."""
+    every = parts.sparkSession.range(size).select(F.col("id").cast("int").alias("_slot"))
+    filled = every.join(parts, "_slot", "left").select(F.struct("_slot", F.coalesce("_value", F.lit(0)).cast("long").alias("_value")).alias("_x"))
+    return written(filled.agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_value"]).alias("_table"))).scalar()
 
 
 def rarity(docs: DataFrame, text_col: str) -> Column:
-    """log2 classes of the hashed counters, over all words."""
+    """A table of the hashed counters' classes over all words: log2 of the count against the mean, 4 bits each.
+
+    It is a literal, since functions over a line's words can't hold a subquery.
+    """
     words = docs.select(F.explode(F.split(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")), " ")).alias("_w")).where("_w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("_w"), F.lit(COUNTERS)).cast("int").alias("_at")).agg(F.count("*").alias("_n"))
-    classes = [0] * COUNTERS
-    for r in counts.collect():
-        classes[r._at] = r._n.bit_length()
-    return table_literal(classes)
+    counts = written(words.groupBy(F.xxhash64("_w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("_at")).agg(F.count("*").alias("_n")))
+    mean = (counts.agg(F.sum("_n")).first()[0] or 1) / COUNTERS
+    level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("_n") / F.lit(mean))) + 6)).cast("long")
+    packed = counts.groupBy(F.shiftright("_at", 4).alias("_slot")).agg(F.bit_or(shift_left(level, F.col("_at").bitwiseAND(F.lit(15)) * 4)).alias("_value"))
+    table = [0] * (COUNTERS // 16)
+    for r in packed.collect():
+        table[r._slot] = r._value
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # the optimiser folds this
 
 
 def ordered(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs, rarest first."""
-    return F.sort_array(F.transform(F.array_distinct(words_of(line)), lambda h: F.shiftleft(F.element_at(classes, F.pmod(h, F.lit(COUNTERS)).cast("int") + 1).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+
+    def ranked(h: Column) -> Column:
+        pack = F.element_at(classes, F.shiftright(h, 4).bitwiseAND(F.lit(COUNTERS // 16 - 1)).cast("int") + 1)
+        level = F.call_function("shiftrightunsigned", pack, (h.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
+        return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), ranked))
 
 
 def need(a: Column, b: Column) -> Column:
@@ -68,41 +89,79 @@ def need(a: Column, b: Column) -> Column:
     return F.floor((8 * (a + b) + 17) / 18).cast("int")
 
 
-def sketch(words: Column, half: int) -> Column:
-    """64 of the 128 bits: the parity of the words that fall on each."""
-    mine = F.filter(words, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
-    return F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def sketch(words: Column, half: int | None = None) -> Column:
+    """Parity of the words that fall on each of 64 bits; of one half of the words, or of all."""
+    mine = words if half is None else F.filter(words, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
+    return F.coalesce(F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(shift_left(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63))))), F.lit(0).cast("long"))
 
 
-def posted(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
-    """The carried columns, _n, _s1, _s2, _pos and _key: a row for each of a line's rarest words."""
-    zero = F.lit(0).cast("long")
+def with_sets(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
+    """The carried columns, _set and _n."""
     # coalesce: columns that can't be null get no null checks, which the optimiser would push below and so compute the sets again
-    sets = lines.select("*", F.coalesce(ordered(F.col("_line"), classes), F.array().cast("array<long>")).alias("_set"))
-    sized = sets.select(*carried, *[c for c in ["_set"] if c not in carried], F.coalesce(F.size("_set"), F.lit(0)).alias("_n"))
-    full = sized.select(*carried, "_n", F.coalesce(sketch(F.col("_set"), 0), zero).alias("_s1"), F.coalesce(sketch(F.col("_set"), 1), zero).alias("_s2"), F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)").alias("_rarest"))
-    return full.select(*carried, "_n", "_s1", "_s2", F.posexplode_outer("_rarest").alias("_pos", "_key"))  # no line is without words; outer spares a check of the array below
+    sets = lines.select(*carried, F.coalesce(ordered(F.col("_line"), classes), F.array().cast("array<long>")).alias("_set"))
+    return sets.select("*", F.coalesce(F.size("_set"), F.lit(0)).alias("_n"))
 
 
-def near() -> Column:
+def posted(sets: DataFrame, *carried: str) -> DataFrame:
+    """The carried columns and _n, with _pos and _key: a row for each of a line's rarest words."""
+    full = sets.select(*carried, "_n", F.expr("slice(_set, 1, _n - (8 * _n + 9) div 10 + 1)").alias("_rarest"))
+    return full.select(*carried, "_n", F.posexplode_outer("_rarest").alias("_pos", "_key"))  # no line is without words; outer spares a check of the array below
+
+
+def apart(*sketches: str) -> Column:
+    out = F.lit(0)
+    for s in sketches:
+        out = out + F.bit_count(F.col(f"l.{s}").bitwiseXOR(F.col(f"e.{s}")))
+    return out
+
+
+def near(*sketches: str) -> Column:
     """The filters of two lines l and e that share a word, cheapest first."""
     n, m = F.col("l._n"), F.col("e._n")
     least = need(n, m)
-    apart = F.bit_count(F.col("l._s1").bitwiseXOR(F.col("e._s1"))) + F.bit_count(F.col("l._s2").bitwiseXOR(F.col("e._s2")))
-    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= least) & (apart <= n + m - 2 * least)
+    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= least) & (apart(*sketches) <= n + m - 2 * least)
 
 
-def filter_of(places: DataFrame) -> Column:
-    """A test of _place that all of these pass: two bits of a table that grows with them up to a fixed size."""
-    words = min(FILTER, max(64, 1 << places.count().bit_length()))
-    at = lambda seed: F.pmod(F.xxhash64("_place", F.lit(seed)), F.lit(words)).cast("int")
-    bit = lambda seed: F.call_function("shiftleft", F.lit(1), F.pmod(F.xxhash64("_place", F.lit(seed + 10)), F.lit(31)).cast("int"))
-    flags = [0] * words
-    marks = places.select(F.explode(F.array(*[F.struct(at(s).alias("_at"), bit(s).alias("_bit")) for s in (1, 2)])).alias("_x"))
-    for r in marks.groupBy("_x._at").agg(F.bit_or("_x._bit").alias("_bits")).collect():
-        flags[r[0]] = r._bits
-    table = table_literal(flags)
-    return (F.element_at(table, at(1) + 1).bitwiseAND(bit(1)) != 0) & (F.element_at(table, at(2) + 1).bitwiseAND(bit(2)) != 0)
+def matching() -> Column:
+    """Whether the sets of l and e reach the threshold."""
+    common = F.size(F.array_intersect("l._set", "e._set"))
+    return common * 10 >= 8 * (F.col("l._n") + F.col("e._n") - common)
+
+
+def filter_of(rows: DataFrame, col: str) -> Column:
+    """A test of the column that all of these rows pass, and few others until the table is full."""
+    spots = [F.xxhash64(col, F.lit(seed)) for seed in (1, 2)]
+    slot = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(FILTER - 1)).cast("int")
+    bit = lambda h: shift_left(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))
+    marks = rows.select(F.explode(F.array(*[F.struct(slot(h).alias("_slot"), bit(h).alias("_bit")) for h in spots])).alias("_x"))
+    table = table_of(marks.groupBy("_x._slot").agg(F.bit_or("_x._bit").alias("_value")), FILTER)
+    passes = [F.element_at(table, slot(h) + 1).bitwiseAND(bit(h)) != 0 for h in spots]
+    return passes[0] & passes[1]
+
+
+def later_matches(few: DataFrame) -> DataFrame:
+    """_place of the lines of few (_place, _n, _set) that an earlier one of few matches."""
+    few = written(few.select("*", sketch(F.col("_set"), 0).alias("_s1"), sketch(F.col("_set"), 1).alias("_s2")))
+    words = posted(few, "_place", "_s1", "_s2")
+    earliest = words.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_place"))).where(F.col("_nth") <= EARLIEST).drop("_nth")
+    before = F.col("e._place") < F.col("l._place")
+    pair = (F.col("l._key") == F.col("e._key")) & before & near("_s1", "_s2")
+    met = words.alias("l").join(earliest.alias("e"), pair).select(F.col("l._place").alias("_place"), F.struct(apart("_s1", "_s2").alias("_apart"), F.col("e._place").alias("_other")).alias("_e"))
+    best = written(met.groupBy("_place").agg(F.min("_e").alias("_e")).select("_place", F.col("_e._other").alias("_other")))
+    sets = few.select("_place", "_n", "_set")
+    mine = best.join(sets, "_place").alias("l")
+    found = written(mine.join(sets.alias("e"), F.col("l._other") == F.col("e._place")).where(matching()).select("l._place"))
+
+    # who had none of the earliest lines of a word as a match, but may have another
+    open_ = words.join(found, "_place", "left_anti")
+    rest = written(open_.alias("l").join(words.alias("e"), pair, "left_semi"))
+    if rest.isEmpty():
+        return found
+    blocks = rest.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    mine = rest.join(blocks, "_key").withColumn("_block", F.pmod(F.xxhash64("_place"), F.col("_blocks")).cast("int")).join(sets.select("_place", "_set"), "_place")
+    others = words.join(blocks, "_key").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).join(sets.select("_place", "_set"), "_place")
+    more = mine.alias("l").join(others.alias("e"), pair & (F.col("l._block") == F.col("e._block")) & matching(), "left_semi")
+    return found.unionByName(more.select("_place").distinct())
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,17 +173,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     classes = rarity(docs, text_col)
     once = lines.join(hot, ["_h1", "_h2"], "left").where("_only IS NULL OR _place = _only")
-    rows = posted(once, classes, "_h1")
-    some = rows.alias("l").join(rows.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near(), "left_semi").select("_h1").distinct()
-    wanted = written(first.join(written(some), "_h1", "left_semi").select(F.col("_first").alias("_place")))
-    few = lines.where(filter_of(wanted)).join(wanted, "_place", "left_semi").dropDuplicates(["_place"])
+    sets = with_sets(once, classes, "_h1")
+    rows = posted(sets.select("*", sketch(F.col("_set")).alias("_s")), "_h1", "_s")
+    some = rows.alias("l").join(rows.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near("_s"), "left_semi").select("_h1").distinct()
+    wanted = written(first.join(some, "_h1", "left_semi").select(F.col("_first").alias("_place")))
+    few = lines.where(filter_of(wanted, "_place")).join(wanted, "_place", "left_semi").dropDuplicates(["_place"])
 
-    full = posted(few, classes, "_place", "_set")
-    common = F.size(F.array_intersect("l._set", "e._set"))
-    match = common * 10 >= 8 * (F.col("l._n") + F.col("e._n") - common)
-    found = full.alias("l").join(full.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("e._place") < F.col("l._place")) & near() & match, "left_semi").select("_place").distinct()
+    found = later_matches(with_sets(few, classes, "_place"))
     near_lines = found.select(F.floor(F.col("_place") / F.lit(1 << 32)).cast("long").alias("_id"), F.pmod("_place", F.lit(1 << 32)).cast("int").alias("_no"))
-    later = lines.select("_id", "_no", "_h1", "_h2", "_place").join(first.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where("_place > _first").select("_id", "_no")
+    twice = first.where("_times > 1").select("_h1", "_h2", "_first")
+    later = lines.where(filter_of(twice, "_h1")).select("_id", "_no", "_h1", "_h2", "_place").join(twice, ["_h1", "_h2"]).where("_place > _first").select("_id", "_no")
     return near_lines.unionByName(later).groupBy("_id").agg(F.sort_array(F.collect_set("_no")).alias("_gone"))
 
 
@@ -138,8 +196,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with all its columns, its text without the lines that go."""
-    gone = repeated_lines(docs, id_col, text_col)
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left")
+    own, numbers_ = free(docs, "_id", "_gone")
+    gone = repeated_lines(docs, id_col, text_col).select(F.col("_id").alias(own), F.col("_gone").alias(numbers_))
+    joined = docs.join(gone, F.col(id_col).cast("long") == F.col(own), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return joined.select(*[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers_, i)), "\n")
+    return joined.select(*[F.when(F.col(numbers_).isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import numbers, written
+from driftloom.llm.common import free, numbers, unclashing, written
 
 #: Largest rate whose sums start at 0; most sources whose rates are broadcast (more are joined by shuffling ids); rows of an output partition.
 MOST, BROADCAST, EACH = 500, 5_000, 20_000
@@ -79,16 +79,15 @@ def rates(docs: DataFrame, source_col: str = "source", temperature: float = 0.5,
 
 def mixed(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", copy_col: str = "copy", order_col: str = "order_key", **target) -> DataFrame:
     """Copies with all columns of docs, the copy's number from 0 and its place in the global order."""
-    if clash := {copy_col.lower(), order_col.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} exist already; give other names")
-    of_source = rates(docs, source_col, **target)
-    of_source = written(of_source)
+    unclashing(docs, copy_col, order_col)
+    source, rate, cdf, u, n = free(docs.select("*", F.lit(0).alias(copy_col), F.lit(0).alias(order_col)), "_source", "_rate", "_cdf", "_u", "_n")
+    of_source = written(rates(docs, source_col, **target)).select(F.col("_source").alias(source), F.col("_rate").alias(rate), F.col("_cdf").alias(cdf))
     few = of_source.count() <= BROADCAST
-    same = F.col(source_col).eqNullSafe(F.col("_source"))
+    same = F.col(source_col).eqNullSafe(F.col(source))
     uniform = number(hashed(seed, id_col), 13) / F.lit(float(1 << 52))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    count = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
     joined = docs.join(F.broadcast(of_source) if few else of_source, same)  # beyond that size skewed sources are split by adaptive execution
-    copies = joined.withColumn("_u", uniform).withColumn("_n", count).where("_n > 0").withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    copies = joined.withColumn(u, uniform).withColumn(n, count).where(F.col(n) > 0).withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     placed = copies.withColumn(order_col, number(hashed(seed + 1, id_col, F.col(copy_col)), 15))
     rows = docs.count()
     return placed.select(*docs.columns, copy_col, order_col).repartition(numbers(docs.sparkSession, rows, EACH), order_col).sortWithinPartitions(order_col)

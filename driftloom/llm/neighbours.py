@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Queries and candidates of a cell, rows of a tile.
-QUERIES, CANDIDATES, TILE = 2048, 16384, 2048
+#: Queries and candidates of a cell, rows of a tile; partitions of the grid, at most, for each shuffle partition of the session.
+QUERIES, CANDIDATES, TILE, CELLS = 2048, 16384, 2048, 8
 LARGEST = 1000  # dimensions for which int8 tiles are exact in float32
 
 
@@ -185,7 +185,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     queries = rows.where("_asks").withColumn("_row", mine).withColumn("_col", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).withColumn("_candidate", F.lit(False))
     candidates = rows.withColumn("_row", F.explode(F.sequence(F.lit(0), F.lit(across - 1)))).withColumn("_col", theirs).withColumn("_candidate", F.lit(True))
     grid = queries.unionByName(candidates).withColumn("_cell", F.concat_ws(",", "_dim", "_row", "_col"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), across * down)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, min(across * down, CELLS * least))  # beyond that a task reads several cells, one after another
     dealt = grid.select("_cell", "_candidate", "_id", "_v").repartition(parts, "_cell").sortWithinPartitions("_cell", "_candidate")
     found = dealt.mapInArrow(cells(k), "_query long, _other long, _score double")
     return found.repartition(parts, "_query").sortWithinPartitions("_query").mapInArrow(ranked(k), "query_id long, rank int, vec_id long, score double")

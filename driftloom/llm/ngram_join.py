@@ -18,8 +18,9 @@ never exceeds the symmetric difference). Survivors are verified on whole sets. L
 all pairs of a group of near copies; they are read in blocks of bounded size, and each block
 first passes on only a spanning forest of its surviving pairs, likeliest first. When those are verified and
 connected, a second reading of the long lists passes on every surviving pair whose ends are still in
-different components. Candidate pairs first compare parity sketches of about as many bits as they have
-shingles; only what these can't tell apart is sent whole sets. So no link that matters is lost and pairs inside a component are never expanded.
+different components; there, sets of more than 512 shingles carry parity sketches of about as many bits as
+they have shingles, so that a group of texts just below the threshold makes few pairs. Candidate pairs of
+both readings compare such sketches; only what these can't tell apart is sent whole sets. So no link that matters is lost and pairs inside a component are never expanded.
 
 Shingles are compared by 64-bit hashes, sets by 128 bits. Null and empty texts, and texts without a
 word, have an empty set and link with nothing. A text with fewer words than a shingle has its whole
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, mix, numbers, written
+from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, free, mix, numbers, written
 from driftloom.llm.components import components
 
 #: Hashed counters for rarity (bounded: one byte for each is broadcast), and slabs in which they are summed.
@@ -128,7 +129,32 @@ def rarity(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-SIGNED = "_id long, _n int, _high long, _low long, _bits binary, _prefix array<long>, _all array<long>"
+def parity(shingles_: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set with a power of two of bits, at least as many as shingles; halves of a longer one add up to a shorter one."""
+    bits = max(BITS, 1 << max(0, len(shingles_) - 1).bit_length())
+    return np.packbits(np.bincount((shingles_ % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
+
+
+def halved(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A parity sketch of so many bytes, made from a longer one."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, size), axis=0)
+
+
+def differences(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of pairs of sketches, each pair at the size of its shorter one."""
+    sizes = np.array([len(x) if x is not None else 0 for x in sketches])
+    least, out = np.minimum(sizes[i], sizes[j]), np.zeros(len(i), np.int64)
+    for size in np.unique(least):
+        rows = np.flatnonzero(least == size)
+        used, at = np.unique(np.r_[i[rows], j[rows]], return_inverse=True)
+        words = np.array([halved(np.frombuffer(sketches[k], np.uint8), size) for k in used.tolist()]).view(np.uint64)
+        for k in range(0, len(rows), 512):
+            part = slice(k, k + 512)
+            out[rows[part]] = np.bitwise_count(words[at[: len(rows)][part]] ^ words[at[len(rows) :][part]]).sum(axis=1)
+    return out
+
+
+SIGNED = "_id long, _n int, _high long, _low long, _bits binary, _sketch binary, _prefix array<long>, _all array<long>"
 
 
 def signed(rows: DataFrame, join: Join, classes) -> DataFrame:
@@ -137,19 +163,21 @@ def signed(rows: DataFrame, join: Join, classes) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, rank = Hasher(), classes.value.astype(np.uint64) << np.uint64(58)
         for b in batches:
-            n, high, low, bits, prefix, whole = [], [], [], [], [], []
+            n, high, low, bits, wide, prefix, whole = [], [], [], [], [], [], []
             for sets in sets_of(b.column("_text"), join.words, hasher):
                 for s in sets:
                     n.append(len(s))
                     with np.errstate(over="ignore"):
                         high.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
                         low.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-                    bits.append(np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1).tobytes())
+                    own = parity(s)
+                    bits.append(halved(own, BITS // 8).tobytes())
+                    wide.append(own.tobytes() if 8 * len(own) > BITS else None)
                     order = np.argsort(rank[(s % np.uint64(COUNTERS)).astype(np.int64)] | (s >> np.uint64(6)), kind="stable")[: join.prefix(len(s))]
                     prefix.append(s[order].view(np.int64))
                     whole.append(s.view(np.int64) if len(s) <= LIGHTEST else None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, longs), pa.array(whole, longs)], ["_id", "_n", "_high", "_low", "_bits", "_prefix", "_all"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(prefix, longs), pa.array(whole, longs)], ["_id", "_n", "_high", "_low", "_bits", "_sketch", "_prefix", "_all"])
 
     return rows.mapInArrow(run, SIGNED)
 
@@ -229,6 +257,11 @@ class Lists:
         for k in range(d["_words"].shape[1]):
             apart += np.bitwise_count(d["_words"][i, k] ^ d["_words"][j, k])
         ok = apart <= most
+        if "_sketch" in d:
+            wide = np.flatnonzero(ok & d["_wide"][i] & d["_wide"][j])
+            for k in range(0, len(wide), 4096):
+                rows = wide[k : k + 4096]
+                ok[rows] = differences(d["_sketch"], i[rows], j[rows]) <= most[rows]
         return i[ok], j[ok], apart[ok]
 
     def block(self, d: dict, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,7 +284,10 @@ class Lists:
         return i, j, apart
 
     def pairs(self, t: pa.Table) -> pa.RecordBatch:
-        d = {c: t.column(c).to_numpy() for c in t.column_names if c != "_bits"}
+        d = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("_bits", "_sketch")}
+        if "_sketch" in t.column_names:
+            d["_sketch"] = t.column("_sketch").to_pylist()
+            d["_wide"] = np.array([x is not None for x in d["_sketch"]], bool)
         d["_n"], d["_pos"], d["_light"] = d["_n"].astype(np.int64), d["_pos"].astype(np.int64), d["_light"].astype(bool)
         d["_words"] = np.frombuffer(b"".join(t.column("_bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
         ids = d["_list"]
@@ -293,16 +329,10 @@ def dealt(lists: DataFrame, partitions: int) -> DataFrame:
     cut = lists.withColumn("_blocks", blocks).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
     named = cut.withColumn("_list", F.when(F.col("_blocks") == 1, F.xxhash64("_key", "_light")).otherwise(F.xxhash64("_key", "_light", low, high))).withColumn("_side", (F.col("_mine") > F.col("_other")).cast("int"))
-    cols = [c for c in ("_list", "_side", "_rep", "_n", "_pos", "_light", "_bits", "_root") if c in named.columns]
+    cols = [c for c in ("_list", "_side", "_rep", "_n", "_pos", "_light", "_bits", "_sketch", "_root") if c in named.columns]
     return named.select(cols).repartition(partitions, "_list").sortWithinPartitions("_list")
 
 
-def parity(shingles_: np.ndarray) -> np.ndarray:
-    """Parity sketch of a set with a power of two of bits, at least as many as shingles; halves of a longer one add up to a shorter one."""
-    bits = max(512, 1 << max(0, len(shingles_) - 1).bit_length())
-    return np.packbits(np.bincount((shingles_ % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
-
-
 def places(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER)).astype(np.int64)
 
@@ -340,28 +370,17 @@ def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "_id long, _text string")
 
 
-def near(pairs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+def near(pairs: DataFrame, reps: DataFrame, join: Join) -> DataFrame:
     """The pairs (_a, _b) that parity sketches of about as many bits as there are shingles can't tell apart."""
 
-    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            sets = [s for part in sets_of(b.column("_text"), join.words, hasher) for s in part]
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s).tobytes() for s in sets], pa.binary())], ["_id", "_n", "_sketch"])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("_x", "_y", "_xn", "_yn")), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                size = min(len(x), len(y))
-                x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (x, y))
-                keep.append(int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * join.need(n, m))
-            yield b.select(["_a", "_b"]).filter(pa.array(keep, pa.bool_()))
-
-    ids = written(pairs.select(F.explode(F.array("_a", "_b")).alias("_id")).distinct())
-    sketches = written(likely(rows, ids).mapInArrow(sketch, "_id long, _n int, _sketch binary").dropDuplicates(["_id"]))
-    side = lambda a, x: sketches.select(F.col("_id").alias(a), F.col("_sketch").alias(x), F.col("_n").alias(f"{x}n"))
+            n, m = (b.column(c).to_numpy().astype(np.int64) for c in ("_xn", "_yn"))
+            k = np.arange(b.num_rows)
+            apart = differences(b.column("_x").to_pylist() + b.column("_y").to_pylist(), k, k + len(k))
+            yield b.select(["_a", "_b"]).filter(pa.array(apart <= n + m - 2 * join.need(n, m), pa.bool_()))
+
+    side = lambda a, x: reps.select(F.col("_rep").alias(a), F.coalesce("_sketch", "_bits").alias(x), F.col("_n").alias(f"{x}n"))
     return pairs.join(side("_a", "_x"), "_a").join(side("_b", "_y"), "_b").select("_a", "_b", "_x", "_y", "_xn", "_yn").mapInArrow(run, "_a long, _b long")
 
 
@@ -419,7 +438,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
 
     some = table.where("_n > 0 AND _id IS NOT NULL")
     classes_of = written(some.groupBy("_high", "_low").agg(F.min("_id").alias("_rep")))
-    reps = written(some.select("_id", "_n", "_bits", "_prefix", "_all").join(classes_of.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "_rep"))
+    reps = written(some.select("_id", "_n", "_bits", "_sketch", "_prefix", "_all").join(classes_of.select(F.col("_rep").alias("_id")), "_id", "left_semi").dropDuplicates(["_id"]).withColumnRenamed("_id", "_rep"))
 
     entries = reps.select("_rep", "_n", F.posexplode("_prefix").alias("_pos", "_key"))
     n, m = F.col("l._n"), F.col("e._n")
@@ -437,17 +456,17 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
         .unionByName(small.join(twice, "_key").select("_key", "_len", "_rep", "_n", F.lit(0).alias("_pos"), F.lit(True).alias("_light")))
     )
     lists = written(lists)
-    sketched = lambda df: df.join(reps.select("_rep", "_bits"), "_rep")
+    sketched = lambda df, *more: df.join(reps.select("_rep", "_bits", *more), "_rep")
 
     first = written(dealt(sketched(lists), wide).mapInArrow(Lists(join, light, True), "_a long, _b long").distinct())
-    links = written(verified(written(near(first, rows, join)), rows, join))
+    links = written(verified(written(near(first, reps, join)), rows, join))
     roots = written(components(links))
     rest = lists.where(F.col("_len") > SHORT).join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").withColumn("_root", F.coalesce("_root", "_rep"))
     mixed = rest.groupBy("_key", "_light").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low <> _high").select("_key", "_light")
-    second = dealt(sketched(rest.join(mixed, ["_key", "_light"], "left_semi")), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
+    second = dealt(sketched(rest.join(mixed, ["_key", "_light"], "left_semi"), "_sketch"), wide).mapInArrow(Lists(join, light, False), "_a long, _b long").distinct()
     second = written(second.join(first, ["_a", "_b"], "left_anti"))
     if not second.isEmpty():
-        links = links.unionByName(written(verified(written(near(second, rows, join)), rows, join)))
+        links = links.unionByName(written(verified(written(near(second, reps, join)), rows, join)))
         roots = written(components(links))
 
     found = classes_of.join(roots.withColumnRenamed("_node", "_rep"), "_rep", "left").select("_high", "_low", F.coalesce("_root", "_rep").alias("_group"))
@@ -458,6 +477,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the smallest id of each component, with all their columns; repeated rows all stay or go."""
+    (own,) = free(docs, "_id")
     groups = near_groups(docs, words, num, den, id_col, text_col)
-    stay = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    stay = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_semi")

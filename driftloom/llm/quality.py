@@ -6,7 +6,8 @@ linear in the features, as half of the sum over factors of (sum_i v_if x_i)**2 -
 Features of a text: its distinct words, hashed to ``WORDS`` slots, each 1 / sqrt(distinct words); counts
 and shares of bytes, words and lines (see ``STATS``); and one piece of metadata, the stated number of
 characters. Statistics are scaled by the training sample's mean and deviation. The machine is fitted
-on the driver, in numpy, to at most about ``SAMPLE`` labelled rows.
+on the driver, in numpy, to at most about ``SAMPLE`` labelled rows, whose features take at most about
+``BYTES`` bytes: of longer texts, fewer rows teach, chosen by the same hash.
 
 Null and empty texts get the score of a text without words; a null stated length is a feature of its
 own. Rows without a label, or with one that isn't 0 or 1, teach nothing; if none teaches, or all have
@@ -16,6 +17,7 @@ gives no rows, and extra columns stay (results go into names behind ``prefix``).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, labelled
+from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, folded, free, labelled, unclashing, written
 
 #: Slots for words; factors; labelled rows that teach, about; passes over them.
 WORDS, FACTORS, SAMPLE, EPOCHS = 1 << 16, 8, 12_000, 12
+BYTES = 64_000_000  # of the features of the rows that teach
 STATS = (
     "log bytes", "log words", "log lines", "mean word bytes", "letters", "capitals", "digits", "symbols", "non-ASCII bytes", "line ends",
     "distinct words", "most frequent word", "words equal to the word before", "words that end in a tripled symbol", "one-byte words", "distinct lines", "sentence ends", "stated characters", "no stated characters", "stated less found bytes",
@@ -72,7 +75,7 @@ class Features:
         tripled = (w.last - w.first >= 3) & (w.data[last] == w.data[last - 1]) & (w.data[last] == w.data[last - 2]) & (self.kinds[w.data[last]] == 4)
         ends = np.flatnonzero(w.data == 10)
         lines = np.searchsorted(bounds + 1, ends[1:], side="right") - 1
-        line = (w.sums[ends[1:]] - w.sums[ends[:-1] + 1]) * w.down[ends[:-1] + 1]
+        line = folded(h, np.diff(np.searchsorted(w.first, ends)))
         line_key = np.unique((lines.astype(np.uint64) << np.uint64(40)) | (line >> np.uint64(24)))
         distinct_lines = np.bincount((line_key >> np.uint64(40)).astype(np.int64), minlength=n)[:n].astype(float)
         some, more = np.maximum(size, 1), np.maximum(words, 1)
@@ -174,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
                 ends, slots, stats = features.of(texts[first:last], stated[first:last])
                 yield pa.RecordBatch.from_arrays([given.slice(first, last - first), pa.array([slots[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), pa.array([s.tobytes() for s in stats], pa.binary())], ["_label", "_slots", "_stats"])
 
-    rows = sample.select("_text", "_size", "_label").mapInArrow(run, "_label int, _slots binary, _stats binary").orderBy(F.md5("_slots"), F.md5("_stats"), "_label").collect()
+    found = written(sample.select("_text", "_size", "_label").mapInArrow(run, "_label int, _slots binary, _stats binary"))
+    share = min(1.0, BYTES / max(1, found.agg(F.sum(F.length("_slots"))).first()[0] or 0))
+    rows = found.where(F.pmod(F.xxhash64("_slots", "_stats"), F.lit(1_000_000)) < share * 1_000_000).collect() if share < 1 else found.collect()
+    rows.sort(key=lambda r: (hashlib.md5(r._slots).digest(), hashlib.md5(r._stats).digest(), r._label))
     stats = np.array([np.frombuffer(r._stats, np.float32) for r in rows], np.float32).reshape(-1, len(STATS))
     return train(np.array([r._label for r in rows], np.float32), [np.frombuffer(r._slots, np.int32) for r in rows], stats)
 
@@ -182,10 +188,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "qua
 def scored(docs: DataFrame, machine: Machine, text_col: str = "text", size_col: str = "n_chars", prefix: str = "") -> DataFrame:
     """Every row with all its columns and its score (behind ``prefix``). Nothing is shuffled; the machine's size is fixed."""
     name, kept = f"{prefix}score", docs.columns
-    if name.lower() in {c.lower() for c in kept}:
-        raise ValueError(f"column {name} exists already; give another prefix")
+    unclashing(docs, name)
     shared, at = docs.sparkSession.sparkContext.broadcast(machine), len(kept)
-    rows = docs.withColumn("_text", F.col(text_col).cast("string")).withColumn("_size", F.col(size_col).cast("double"))
+    text, size = free(docs, "_text", "_size")
+    rows = docs.select("*", F.col(text_col).cast("string").alias(text), F.col(size_col).cast("double").alias(size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, m = Features(), shared.value

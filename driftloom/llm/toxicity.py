@@ -1,11 +1,12 @@
 """Toxicity: noisy-channel deobfuscation by Viterbi decoding, then a score of the restored text.
 
-A character trigram model is counted over all texts that may teach. A word that looks obfuscated
-(digits or signs beside letters, a letter three times in a row, single letters in a row with spaces,
-dots, dashes, stars or underscores between) becomes a lattice: each sign may stand for itself or for
-the letters that it resembles, a repeated letter may be dropped, and so may a separator. The path with
-the largest sum of channel and model log-probabilities is the restored word. Other words have a
-lattice with one path and stay.
+A character trigram model is counted over all texts that may teach. A stretch that the channel could have
+made (a word with signs beside letters, or of three or more signs; a letter three times in a row; three or
+more single letters or signs in a row with one or two spaces, dots, dashes, stars or underscores between)
+becomes a lattice: each sign may stand for itself or for the letters that it resembles, a repeated letter
+may be dropped, and so may a separator. The path with the largest sum of channel and model
+log-probabilities is the restored stretch, however long it is. Other words have a lattice with one path
+and stay.
 
 The score comes from words and their beginnings (features hashed to 64 bits). Each is weighed by
 the log ratio of its document frequencies in toxic and other labelled texts, where that differs from 0
@@ -22,8 +23,6 @@ share (0.5 without any). Repeated rows score alike, an empty table gives no rows
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterable, Iterator
 from math import log
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, Words, as_bytes, chunks, labelled
+from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, free, labelled, unclashing
 
 #: Letters that a sign may stand for.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -42,8 +41,10 @@ SIGN, ITSELF, DROPPED, KEPT, CLOSED = log(0.3), log(0.002), log(0.5), log(0.2),
 SYMBOLS = 64  # of the character model: 0 the gap, a-z, other letters by hash
 SAMPLE, SURE, SUPPORT = 20_000, 3.5, 3  # labelled rows, standard errors, fewest toxic texts with a feature
 LENGTHS = (4, 5, 6, 7, 8, 10)  # bytes of a word's beginning that are features
-#: Obfuscated words remembered by a task; longest stretch of signs decoded as one lattice (longer ones are decoded in pieces).
+#: Restored stretches remembered by a task, and the longest that is.
 MEMORY, LONGEST = 100_000, 200
+#: Signs that don't belong to a word at its ends, where they are punctuation.
+INSIDE = "!("
 
 
 def symbol(c: str) -> int:
@@ -101,7 +102,7 @@ class Decoder:
         return out
 
     def viterbi(self, word: str) -> str:
-        """The likeliest reading of a lattice; states are the last two symbols."""
+        """The likeliest reading of a lattice of any length; states are the last two symbols, so their number is bounded."""
         states: dict[tuple[int, int], tuple[float, object]] = {(0, 0): (0.0, None)}
         for i in range(len(word)):
             following: dict[tuple[int, int], tuple[float, object]] = {}
@@ -122,59 +123,72 @@ class Decoder:
     def restore(self, word: str) -> str:
         word = word.lower()
         if (known := self.memory.get(word)) is None:
-            known = "".join(self.viterbi(word[k : k + LONGEST]) for k in range(0, len(word), LONGEST))
+            known = self.viterbi(word)
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            self.memory[word] = known
+            if len(word) <= LONGEST:
+                self.memory[word] = known
         return known
 
 
 class Suspects:
-    """Finds stretches of a text that look obfuscated. Numpy picks the texts and words, regular expressions the bounds."""
+    """Finds the stretches that the channel could have made, by code points."""
+
+    LETTER, SIGN, BETWEEN, GAP, DIGIT, EDGE, NEW = 1, 2, 4, 8, 16, 32, 128
 
     def __init__(self) -> None:
-        self.letter = np.zeros(256, bool)
-        self.letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-        self.sign = np.zeros(256, bool)
-        self.sign[[ord(c) for c in RESEMBLES if ord(c) < 128]] = True
-        self.between = np.zeros(256, bool)
-        self.between[[ord(c) for c in SEPARATORS]] = True
-        self.spaced = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])(?![^\W_])){3,}")
-        self.ends = re.compile(r"^[^\w@$]+|[^\w]+$")
-
-    def spans(self, w: Words, texts: list[bytes]) -> list[list[str]]:
-        """The suspicious stretches of each text."""
-        data = w.data
-        letter, sign, between = self.letter[data], self.sign[data], self.between[data]
-        sums = np.zeros(len(data) + 1, np.int32)
-        beside = np.zeros(len(data), bool)  # a sign with a letter or another sign just before and a letter or sign after, one of them a letter
-        beside[1:-1] = sign[1:-1] & (letter[:-2] | letter[2:])
-        np.cumsum(beside, out=sums[1:])
-        signs = sums[w.last] - sums[w.first]
-        np.cumsum(letter, out=sums[1:])
-        letters = sums[w.last] - sums[w.first]
-        triple = np.zeros(len(data), bool)
-        triple[2:] = letter[2:] & (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & (data[2:] < 128)
-        np.cumsum(triple, out=sums[1:])
-        tripled = sums[w.last] - sums[w.first]
-        length = w.last - w.first
-        odd = ((signs > 0) & (letters > 0) & (length <= 40)) | (tripled > 0)
-        # a letter or sign, a separator, and so on, three times over: the text is searched for spaced words
-        unit = (letter | sign) & ~(np.r_[False, letter[:-1]] & (data < 128)) & ~(np.r_[letter[1:], False] & (data < 128))
-        step = np.zeros(len(data), bool)
-        step[:-6] = unit[:-6] & between[1:-5] & unit[2:-4] & between[3:-3] & unit[4:-2] & between[5:-1] & unit[6:]
+        self.kind = np.full(0x110000, self.NEW, np.uint8)
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        kind = self.kind[codes]
+        if (kind == self.NEW).any():
+            for code in np.unique(codes[kind == self.NEW]).tolist():
+                c = chr(code)
+                flags = self.LETTER * c.isalpha() | self.SIGN * (c in RESEMBLES) | self.BETWEEN * (c in SEPARATORS) | self.GAP * (c in " \t\n\v\f\r") | self.DIGIT * c.isdigit()
+                self.kind[code] = flags | self.EDGE * (c.isalpha() or c.isdigit() or (c in RESEMBLES and c not in INSIDE))
+            kind = self.kind[codes]
+        return kind
+
+    def spans(self, texts: list[str]) -> list[list[str]]:
+        """The suspicious stretches of each text: words without the punctuation at their ends, then spaced ones."""
+        joined = "\n" + "\n".join(texts) + "\n"
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.classes(codes)
+        bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        gap, letter, sign = kind & self.GAP > 0, kind & self.LETTER > 0, kind & self.SIGN > 0
+        ends = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        edge = np.flatnonzero(kind & self.EDGE)
+        low, high = np.searchsorted(edge, ends[0::2]), np.searchsorted(edge, ends[1::2])
+        some = high > low
+        first, last = edge[low[some]], edge[high[some] - 1] + 1
+        triple = np.zeros(len(codes), bool)
+        triple[2:] = letter[2:] & (codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2])
+        sums = np.zeros(len(codes) + 1, np.int32)
+
+        def within(flags: np.ndarray) -> np.ndarray:
+            np.cumsum(flags, out=sums[1:])
+            return sums[last] - sums[first]
+
+        signs = within(sign)
+        odd = (signs > 0) & ((within(letter) > 0) | ((signs == last - first) & (signs >= 3))) | (within(triple) > 0)
+        found = [(first[odd], last[odd])]
+        # single letters or signs, each one or two separators after the one before
+        unit, solid = kind & (self.LETTER | self.SIGN | self.DIGIT) > 0, kind & (self.LETTER | self.DIGIT) > 0
+        alone = unit.copy()
+        alone[1:] &= ~solid[:-1]
+        alone[:-1] &= ~solid[1:]
+        at, between = np.flatnonzero(alone), kind & self.BETWEEN > 0
+        step = np.diff(at)
+        near = (step == 2) & between[at[:-1] + 1] | (step == 3) & between[at[:-1] + 1] & between[np.minimum(at[:-1] + 2, len(codes) - 1)]
+        turn = np.flatnonzero(np.diff(np.r_[False, near, False].astype(np.int8)))
+        begin, end = turn[0::2], turn[1::2]  # of runs of near steps
+        long = end - begin >= 2
+        found.append((at[begin[long]], at[end[long]] + 1))
         out: list[list[str]] = [[] for _ in texts]
-        for k in np.flatnonzero(odd):
-            of = int(np.searchsorted(w.of, k, side="right")) - 1
-            text = data[w.first[k] : w.last[k]].tobytes().decode("utf-8", "replace")
-            text = self.ends.sub("", text)
-            if text:
-                out[of].append(text)
-        starts = np.flatnonzero(step)
-        if len(starts):
-            bounds = np.cumsum([1, *(len(t) + 1 for t in texts)])
-            for of in np.unique(np.searchsorted(bounds, starts, side="right") - 1):
-                out[of] += [m[0] for m in self.spaced.finditer(texts[of].decode("utf-8", "replace")) if len(set(m[0].lower()) - set(SEPARATORS)) > 2]
+        for firsts, lasts in found:
+            of = np.searchsorted(bounds, firsts, side="right") - 1
+            for k, a, z in zip(of.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+                out[k].append(joined[a:z])
         return out
 
 
@@ -189,14 +203,16 @@ class Evidence:
     """Hashed features of the words of texts, as they stand and as restored."""
 
     def __init__(self, decoder: Decoder) -> None:
-        self.decoder, self.plain, self.words, self.suspects = decoder, Hasher(), Hasher(word_gaps()), Suspects()
+        self.decoder, self.words, self.suspects = decoder, Hasher(word_gaps()), Suspects()
+
+    def restored(self, texts: list[bytes]) -> list[list[str]]:
+        """The restored stretches of each text."""
+        found = self.suspects.spans([t.decode("utf-8", "replace").lower() for t in texts])
+        return [[self.decoder.restore(x) for x in each] for each in found]
 
-    def features(self, texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    def features(self, texts: list[bytes], restored: list[list[str]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """([(features, which words have them) for each kind], text of each word, words of each text)."""
-        lower = [t.lower() for t in texts]
-        found = self.suspects.spans(self.plain.words(lower), lower)
-        more = [" ".join(self.decoder.restore(s) for s in each).encode() for each in found]
-        w = self.words.words([x for pair in zip(lower, more, strict=True) for x in pair])
+        w = self.words.words([x for t, each in zip(texts, restored, strict=True) for x in (t.lower(), " ".join(each).encode("utf-8", "replace"))])
         of = np.repeat(np.arange(2 * len(texts)), np.diff(w.of)) // 2
         length = w.last - w.first
         kinds = [(w.hashes(), np.flatnonzero(length >= 2))]
@@ -205,9 +221,9 @@ class Evidence:
             kinds.append((w.hashes(n) ^ np.uint64(0xABCD00 + n), longer))
         return [(h[k], k) for h, k in kinds], of, np.bincount(of, minlength=len(texts)).astype(float)
 
-    def weigh(self, texts: list[bytes], names: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def weigh(self, texts: list[bytes], names: np.ndarray, weights: np.ndarray, restored: list[list[str]]) -> np.ndarray:
         """Rows of evidence. names: sorted features; weights: theirs."""
-        kinds, of, words = self.features(texts)
+        kinds, of, words = self.features(texts, restored)
         best = np.zeros(len(of), np.float32)
         if len(names):
             for h, k in kinds:
@@ -285,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
                 texts, halves = as_bytes(b.column(0)), b.column(1).to_numpy()
                 pairs = []
                 for first, last in chunks(texts, CHUNK):
-                    kinds, of, _ = evidence.features(texts[first:last])
+                    kinds, of, _ = evidence.features(texts[first:last], evidence.restored(texts[first:last]))
                     h = np.concatenate([x for x, _ in kinds])
                     d = np.concatenate([of[k] for _, k in kinds])
                     if wanted is not None:
@@ -324,10 +340,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
                 mine = [texts[r] for r in rows]
                 keep = each[h] > 0
                 for first, last in chunks(mine, CHUNK):
-                    x[rows[first:last]] = evidence.weigh(mine[first:last], known[keep], each[h][keep])
+                    x[rows[first:last]] = evidence.weigh(mine[first:last], known[keep], each[h][keep], evidence.restored(mine[first:last]))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["_label", "_x"])
 
-    rows = sample.select("_text", "_label", "_half").mapInArrow(judged, "_label int, _x array<double>").orderBy("_label", "_x").collect()
+    rows = sample.select("_text", "_label", "_half").mapInArrow(judged, "_label int, _x array<double>").collect()  # bounded by the sample
+    rows.sort()
     y = np.array([r._label for r in rows], float)
     if len(y) < 2 or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.5, 1e-9), 1 - 1e-9)
@@ -340,8 +357,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
 def scored(docs: DataFrame, score: Score, text_col: str = "text", prefix: str = "") -> DataFrame:
     """Every row with all its columns, its score and its restored stretches (names behind ``prefix``). Nothing is shuffled."""
     names, kept = [f"{prefix}score", f"{prefix}restored"], docs.columns
-    if clash := {*map(str.lower, names)} & {c.lower() for c in kept}:
-        raise ValueError(f"columns {sorted(clash)} exist already; give another prefix")
+    unclashing(docs, *names)
     shared, at = docs.sparkSession.sparkContext.broadcast(score), len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,10 +367,10 @@ def scored(docs: DataFrame, score: Score, text_col: str = "text", prefix: str =
             texts = as_bytes(b.column(at))
             scores, restored = [np.zeros(0)], []
             for first, last in chunks(texts, CHUNK):
-                scores.append(s.score(evidence.weigh(texts[first:last], s.names, s.weights)))
-                lower = [t.lower() for t in texts[first:last]]
-                restored += [[evidence.decoder.restore(x) for x in each] for each in evidence.suspects.spans(evidence.plain.words(lower), lower)]
+                found = evidence.restored(texts[first:last])
+                scores.append(s.score(evidence.weigh(texts[first:last], s.names, s.weights, found)))
+                restored += found
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(at)), pa.array(np.concatenate(scores), pa.float64()), pa.array(restored, pa.list_(pa.string()))], [*kept, *names])
 
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
+    rows = docs.select("*", F.col(text_col).cast("string").alias(*free(docs, "_text")))
     return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{names[0]}` double", f"`{names[1]}` array<string>"]))
