@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.bpe import encoded
@@ -37,6 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every copy's token count and the digests of its ids and of what they decode to."""
+    import public_tokenizers as tokenizers  # only this stage needs the package
+
     return encoded(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN).drop("text")
 
 
