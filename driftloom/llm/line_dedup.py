@@ -66,19 +66,18 @@ def rarity(docs: DataFrame, text_col: str) -> Column:
     mean = (counts.agg(F.sum("_n")).first()[0] or 1) / COUNTERS
     level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("_n") / F.lit(mean))) + 6)).cast("long")
     packed = counts.groupBy(F.shiftright("_at", 4).alias("_slot")).agg(F.bit_or(shift_left(level, F.col("_at").bitwiseAND(F.lit(15)) * 4)).alias("_value"))
-    table = [0] * (COUNTERS // 16)
+    table = ["0"] * COUNTERS
     for r in packed.collect():
-        table[r._slot] = r._value
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # the optimiser folds this
+        for k in range(16):
+            table[16 * r._slot + k] = str(r._value >> 4 * k & 15)
+    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")  # the optimiser folds this
 
 
 def ordered(line: Column, classes: Column) -> Column:
     """A line's distinct words as longs, rarest first."""
 
     def ranked(h: Column) -> Column:
-        pack = F.element_at(classes, F.shiftright(h, 4).bitwiseAND(F.lit(COUNTERS // 16 - 1)).cast("int") + 1)
-        level = F.call_function("shiftrightunsigned", pack, (h.bitwiseAND(F.lit(15)) * 4).cast("int")).bitwiseAND(F.lit(15))
-        return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1))), 59).bitwiseOR(F.shiftrightunsigned(h, 5))
 
     hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
     return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), ranked))
@@ -175,7 +174,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = lines.join(hot, ["_h1", "_h2"], "left").where("_only IS NULL OR _place = _only")
     sets = with_sets(once, classes, "_h1")
     rows = posted(sets.select("*", sketch(F.col("_set")).alias("_s")), "_h1", "_s")
-    some = rows.alias("l").join(rows.alias("e"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near("_s"), "left_semi").select("_h1").distinct()
+    some = rows.alias("l").join(rows.alias("e").hint("merge"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near("_s"), "left_semi").select("_h1").distinct()
     wanted = written(first.join(some, "_h1", "left_semi").select(F.col("_first").alias("_place")))
     few = lines.where(filter_of(wanted, "_place")).join(wanted, "_place", "left_semi").dropDuplicates(["_place"])
 
