@@ -5,10 +5,13 @@ everything else is a gap): (1 + ln tf) * idf, scaled to length 1. Document frequ
 over all learnable rows. Each language's vectors are clustered by spherical k-means into up to
 ``CLUSTERS`` centroids; a text gets the language of the centroid with the largest cosine. It is
 rejected when its distance to that centroid is beyond the centroid's radius, which depends on the
-text's number of letters, since short texts lie farther out.
+text's number of distinct n-grams, since poor texts, short or repetitive ones, lie farther out.
 
 Clusters and radii are fitted on a bounded sample: about ``SAMPLE`` rows of each language, chosen by
-a hash of the id, the same at every input size. Everything else covers all rows.
+a hash of the id, the same at every input size. Radii come from the sampled texts and from their first 1,
+8, 16, ... letters, as far as they have so many: at each level of distinct n-grams, ``SPREAD`` times as far
+from the median cosine as the 2nd percentile lies. Languages are fitted one after another, so the driver
+holds one language's sample. Everything else covers all rows.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Rows without a language
 or an id teach nothing. If no row teaches, all rows are ``und``. Ties go to the language that sorts
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,10 @@ from driftloom.llm.common import free, unclashing
 
 #: Hashed n-grams; centroids of a language; rows of each language that k-means sees, about; its rounds.
 DIMS, CLUSTERS, SAMPLE, ROUNDS = 8192, 3, 600, 8
-#: Letters at which radii are measured. A text uses the largest that it reaches, else the first.
-LENGTHS = (1, 8, 16, 32, 64, 128, 256, 1024)
-#: Slack beyond the farthest sample text (as a share of the cosine that is left).
-SLACK = 0.6
+#: Letters of the beginnings of sampled texts that teach radii; distinct n-grams at which these are measured (a text uses the largest that it reaches).
+LENGTHS, LEVELS = (1, 8, 16, 32, 64, 128, 256, 1024), (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
+#: Radius beyond the median, in distances from it to the 2nd percentile; fewest points that make a level's radius.
+SPREAD, POINTS = 4, 20
 #: Texts whose vectors are held at once.
 TOGETHER = 48
 
@@ -110,6 +114,34 @@ def clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(np.searchsorted(LEVELS, (counts > 0).sum(axis=1), side="right") - 1, 0)
+
+
+def heads_of(text: str) -> list[str]:
+    """The beginnings with 1, 8, 16, ... letters."""
+    out, letters = [], 0
+    for i, c in enumerate(text):
+        if c.isalpha():
+            letters += 1
+            if letters == LENGTHS[len(out)]:
+                out.append(text[: i + 1])
+                if len(out) == len(LENGTHS):
+                    break
+    return out
+
+
+def radii(at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The least cosine of each level; 0 where too few points teach it. It doesn't fall from a level to a richer one."""
+    least = np.zeros(len(LEVELS))
+    for k in range(len(LEVELS)):
+        mine = cosine[at == k]
+        if len(mine) >= POINTS:
+            low, middle = np.percentile(mine, (2, 50))
+            least[k] = max(0.0, middle - SPREAD * (middle - low))
+    return np.maximum.accumulate(least)
+
+
 class Model:
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, least: np.ndarray) -> None:
         self.langs, self.idf, self.centroids, self.of, self.least = langs, idf, centroids, of, least
@@ -121,7 +153,7 @@ class Model:
         cosine = vectors(counts, self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(counts)), best].astype(float), 0, 1)
-        level = np.maximum(np.searchsorted(LENGTHS, letters, side="right") - 1, 0)
+        level = levels(counts)
         rejected = (letters == 0) | (score < self.least[level, best])
         return [self.langs[self.of[b]] if n else "und" for b, n in zip(best, letters, strict=True)], np.where(letters > 0, score, 0.0), rejected
 
@@ -152,30 +184,33 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
             langs = iter(b.column(1).to_pylist())
             for texts in grouped(b.column(0)):
                 full = [zlib.compress(c.astype(np.uint16).tobytes(), 1) for c in np.minimum(grams.counts(texts)[0], 65535)]
-                # what a short text of this language looks like: heads of several lengths, for the radii alone
-                heads = [zlib.compress(grams.counts([t[: int(1.25 * n) + 1] for n in LENGTHS])[0].astype(np.uint16).tobytes(), 1) for t in texts]
+                heads = []
+                for t in texts:  # what a short text of this language looks like, for the radii alone
+                    some = heads_of(t)
+                    heads.append(zlib.compress(grams.counts(some)[0].astype(np.uint16).tobytes(), 1) if some else None)
                 sizes = [len(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array([next(langs) for _ in texts], pa.string()), pa.array(full, pa.binary()), pa.array(heads, pa.binary()), pa.array(sizes, pa.int64())], ["_lang", "_full", "_heads", "_size"])
 
     seen = sample.select("_text", "_lang").mapInArrow(sampled, "_lang string, _full binary, _heads binary, _size long").orderBy("_lang", "_size", F.md5("_full")).toLocalIterator()
-    by_lang: dict[str, list[np.ndarray]] = {}
-    heads: list[bytes] = []
-    for r in seen:
-        by_lang.setdefault(r._lang, []).append(vectors(np.frombuffer(zlib.decompress(r._full), np.uint16).reshape(1, DIMS).astype(np.float32), idf)[0])
-        heads.append((r._lang, r._heads))
-    langs = sorted(by_lang)
-    parts = [clusters(np.array(by_lang[lang]), CLUSTERS) for lang in langs]
+    unpacked = lambda b: np.frombuffer(zlib.decompress(b), np.uint16).reshape(-1, DIMS).astype(np.float32)
+    langs, parts, least = [], [], []
+    for lang, rows_ in groupby(seen, key=lambda r: r._lang):
+        own = list(rows_)  # about SAMPLE of them, packed
+        full = np.concatenate([unpacked(r._full) for r in own])
+        x = vectors(full, idf)
+        c = clusters(x, CLUSTERS)
+        points = [(levels(full), (x @ c.T).max(axis=1))]
+        for r in own:
+            if r._heads is not None:
+                head = unpacked(r._heads)
+                points.append((levels(head), (vectors(head, idf) @ c.T).max(axis=1)))
+        radius = radii(np.concatenate([p for p, _ in points]), np.concatenate([p for _, p in points]))
+        langs.append(lang)
+        parts.append(c)
+        least += [radius] * len(c)
     centroids = np.concatenate(parts) if parts else np.zeros((0, DIMS), np.float32)
     of = np.array([k for k, p in enumerate(parts) for _ in p], int)
-    least = np.ones((len(LENGTHS), len(centroids)))
-    for lang, packed in heads:
-        mine = centroids[of == langs.index(lang)]
-        for level, best in enumerate((vectors(np.frombuffer(zlib.decompress(packed), np.uint16).reshape(-1, DIMS).astype(np.float32), idf) @ mine.T).max(axis=1)):
-            if best > 0:
-                at = of == langs.index(lang)
-                least[level, at] = np.minimum(least[level, at], best * (1 - SLACK))
-    least = np.where(least >= 1, 0, least)
-    least = np.maximum.accumulate(least, axis=0) * (np.array(LENGTHS) > 1)[:, None]
+    least = np.array(least).reshape(-1, len(LEVELS)).T
     return Model(langs, idf, centroids.astype(np.float32), of, least)
 
 

@@ -13,8 +13,7 @@ positional filter and a parity sketch, whose Hamming distance never exceeds the
 * A semi join over narrow rows (word, line, sizes, sketch) keeps the lines that have any such partner. A
   line that occurs very often posts its words once: the most frequent lines, of bounded number, are found
   beforehand and broadcast.
-* The first occurrences of these few lines are read again, with a larger sketch and their sets, which are
-  written once. Each line meets the ``EARLIEST`` earliest lines of each of its rarest words, so that many
+* The first occurrences of these few lines are read again, with their sets, which are written once. Each line meets the ``EARLIEST`` earliest lines of each of its rarest words, so that many
   lines of one template make few pairs; the likeliest one is verified, sets being attached once.
 * Lines that had an earlier partner but no verified one meet all of them, by a semi join that carries
   sets and leaves a line once for each word. Words of many such lines are split into blocks of lines.
@@ -88,10 +87,14 @@ def need(a: Column, b: Column) -> Column:
     return F.floor((8 * (a + b) + 17) / 18).cast("int")
 
 
-def sketch(words: Column, half: int | None = None) -> Column:
-    """Parity of the words that fall on each of 64 bits; of one half of the words, or of all."""
-    mine = words if half is None else F.filter(words, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half)
-    return F.coalesce(F.aggregate(mine, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(shift_left(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63))))), F.lit(0).cast("long"))
+def sketched(sets: DataFrame) -> DataFrame:
+    """With _s1 and _s2, a sketch of 128 bits: the parity of the words of _set that fall on each, for one half of the words and the other."""
+
+    def half(mine) -> Column:
+        one = lambda h: shift_left(F.shiftright(mine(h), 6).bitwiseAND(F.lit(1)), h.bitwiseAND(F.lit(63)))
+        return F.coalesce(F.aggregate("_set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h))), F.lit(0).cast("long"))
+
+    return sets.select("*", half(lambda h: h).alias("_s1"), half(F.bitwise_not).alias("_s2"))
 
 
 def with_sets(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
@@ -107,18 +110,15 @@ def posted(sets: DataFrame, *carried: str) -> DataFrame:
     return full.select(*carried, "_n", F.posexplode_outer("_rarest").alias("_pos", "_key"))  # no line is without words; outer spares a check of the array below
 
 
-def apart(*sketches: str) -> Column:
-    out = F.lit(0)
-    for s in sketches:
-        out = out + F.bit_count(F.col(f"l.{s}").bitwiseXOR(F.col(f"e.{s}")))
-    return out
+def apart() -> Column:
+    return F.bit_count(F.col("l._s1").bitwiseXOR(F.col("e._s1"))) + F.bit_count(F.col("l._s2").bitwiseXOR(F.col("e._s2")))
 
 
-def near(*sketches: str) -> Column:
+def near() -> Column:
     """The filters of two lines l and e that share a word, cheapest first."""
     n, m = F.col("l._n"), F.col("e._n")
     least = need(n, m)
-    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= least) & (apart(*sketches) <= n + m - 2 * least)
+    return (F.least(n, m) * 10 >= F.greatest(n, m) * 8) & (F.least(n - F.col("l._pos"), m - F.col("e._pos")) >= least) & (apart() <= n + m - 2 * least)
 
 
 def matching() -> Column:
@@ -140,12 +140,12 @@ def filter_of(rows: DataFrame, col: str) -> Column:
 
 def later_matches(few: DataFrame) -> DataFrame:
     """_place of the lines of few (_place, _n, _set) that an earlier one of few matches."""
-    few = written(few.select("*", sketch(F.col("_set"), 0).alias("_s1"), sketch(F.col("_set"), 1).alias("_s2")))
+    few = written(sketched(few))
     words = posted(few, "_place", "_s1", "_s2")
     earliest = words.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_place"))).where(F.col("_nth") <= EARLIEST).drop("_nth")
     before = F.col("e._place") < F.col("l._place")
-    pair = (F.col("l._key") == F.col("e._key")) & before & near("_s1", "_s2")
-    met = words.alias("l").join(earliest.alias("e"), pair).select(F.col("l._place").alias("_place"), F.struct(apart("_s1", "_s2").alias("_apart"), F.col("e._place").alias("_other")).alias("_e"))
+    pair = (F.col("l._key") == F.col("e._key")) & before & near()
+    met = words.alias("l").join(earliest.alias("e"), pair).select(F.col("l._place").alias("_place"), F.struct(apart().alias("_apart"), F.col("e._place").alias("_other")).alias("_e"))
     best = written(met.groupBy("_place").agg(F.min("_e").alias("_e")).select("_place", F.col("_e._other").alias("_other")))
     sets = few.select("_place", "_n", "_set")
     mine = best.join(sets, "_place").alias("l")
@@ -172,9 +172,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     classes = rarity(docs, text_col)
     once = lines.join(hot, ["_h1", "_h2"], "left").where("_only IS NULL OR _place = _only")
-    sets = with_sets(once, classes, "_h1")
-    rows = posted(sets.select("*", sketch(F.col("_set")).alias("_s")), "_h1", "_s")
-    some = rows.alias("l").join(rows.alias("e").hint("merge"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near("_s"), "left_semi").select("_h1").distinct()
+    rows = posted(sketched(with_sets(once, classes, "_h1")), "_h1", "_s1", "_s2")
+    some = rows.alias("l").join(rows.alias("e").hint("merge"), (F.col("l._key") == F.col("e._key")) & (F.col("l._h1") != F.col("e._h1")) & near(), "left_semi").select("_h1").distinct()
     wanted = written(first.join(some, "_h1", "left_semi").select(F.col("_first").alias("_place")))
     few = lines.where(filter_of(wanted, "_place")).join(wanted, "_place", "left_semi").dropDuplicates(["_place"])
 

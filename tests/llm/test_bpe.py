@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -99,3 +100,23 @@ def test_other_patterns_and_full_memory(tools, monkeypatch):
     for _ in range(40):
         t = "".join(r.choice(["the ", "thhe", "x1!", "é", "  "]) for _ in range(20))
         assert mine.encode(t) == library.encode_ordinary(t)
+
+
+def twins(n):
+    """Thue-Morse strings, which collide under any polynomial hash modulo a power of two."""
+    one = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_pieces_that_hash_alike_keep_their_ids(tools, monkeypatch):
+    encoder, library = tools
+    for n in (1024, 2048, 4096):
+        for text in twins(n):
+            assert encoder.encode(text) == library.encode_ordinary(text)
+    ids, bounds = encoder.encode_all([x for n in (1024, 2048) for x in twins(n)])
+    assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:], strict=True)] == [library.encode_ordinary(x) for n in (1024, 2048) for x in twins(n)]
+    encoder.forget()
+    monkeypatch.setattr(encoder.hasher, "runs", lambda data, sizes: np.full(len(sizes), 6, np.uint64))  # all pieces collide
+    for text in ("one two three", "three two one, it's", "one two", "x" * 100 + " two"):
+        assert encoder.encode(text) == library.encode_ordinary(text)
+    encoder.forget()

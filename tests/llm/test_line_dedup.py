@@ -54,3 +54,20 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a b\nc d e f g"), (2, "c d e f g\nh")], "doc_id long, text string")
     plan = line_report(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_lines_of_one_template(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "EARLIEST", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 40)
+    r = random.Random(7)
+    base = [f"t{k}" for k in range(24)]
+    lines = []
+    for k in range(600):
+        w = list(base)
+        for x in r.sample(range(24), r.choice([1, 2, 3, 3, 4])):
+            w[x] = f"n{r.randrange(300)}"
+        lines.append(" ".join(w))
+    rows = [(k, "\n".join(lines[3 * k : 3 * k + 3])) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, int(n)) for x in line_report(df).collect() for n in x.removed.split(",") if n}
+    assert got == brute(rows) and len(got) > 200

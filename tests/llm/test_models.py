@@ -1,6 +1,7 @@
 """Language ID, toxicity, quality and the language model: held-out accuracy on made texts, odd rows, plain-Python counts."""
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -59,6 +60,14 @@ def test_languages_and_rejection(spark, docs):
     assert out[9005].p_lang_pred == "xx"
     far = spark.createDataFrame([(1, "Съешь же ещё этих мягких французских булок да выпей чаю " * 5), (2, "的一是在不了有和人这中大为上个国我以要他时来用们" * 8)], "doc_id long, text string")
     assert all(r.rejected for r in langid.identified(far, model).collect())
+    r = random.Random(9)
+    short = spark.createDataFrame([(10_000 + k, "".join(r.choice(PARTS["xx"]) for _ in range(2))[:5], "xx") for k in range(60)], "doc_id long, text string, lang string")
+    again = langid.fit(docs.select("doc_id", "text", "lang").unionByName(short), learnable("doc_id", 4, 2))  # very short texts don't widen the radii of long ones
+    foreign = spark.createDataFrame([(k, " ".join("".join(r.choice(["zo", "pik", "wub", "ghy", "jox", "fle"]) for _ in range(3)) for _ in range(80))) for k in range(20)], "doc_id long, text string")
+    assert all(x.rejected for x in langid.identified(foreign, again).collect())
+    assert not any(x.p_rejected for x in langid.identified(docs, again, prefix="p_").where("doc_id < 9000").collect())
+    lines = spark.createDataFrame([(1, "\n".join([" ".join(made()[0][1].split()[:6])] * 200))], "doc_id long, text string")
+    assert not langid.identified(lines, again).first().rejected  # one line many times over is as poor as that line
     nothing = langid.identified(docs, langid.fit(docs, F.lit(False))).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
     assert langid.identified(docs.limit(0), model).count() == 0
@@ -84,6 +93,35 @@ def test_decoder_restores(docs):
     for seen, meant in {"gr0bn1k": "grobnik", "z w a r f e l": "zwarfel", "p.l.u.g.h": "plugh", "zwaaaarfel": "zwarfel", "plu-g-h": "plugh", "word": "word"}.items():
         assert d.restore(seen) == meant
     assert d.restore("x" * 1000) and d.restore("1" * 1000)
+    assert d.restore("gr0bn1k" * 700) == "grobnik" * 700  # of any length, in one lattice
+
+
+def test_decoder_equals_all_readings():
+    chars = toxicity.Characters()
+    chars.add([t for _, t, *_ in made()])
+    d = toxicity.Decoder(toxicity.model(chars.counts))
+    r = random.Random(4)
+    for _ in range(60):
+        word = "".join(r.choice("gr0b1k@$ !.aa-o€") for _ in range(r.randrange(1, 7)))
+        best, readings = -math.inf, {}
+        for reading in itertools.product(*(d.choices(word, i) for i in range(len(word)))):
+            text, score = "".join(c for c, _ in reading), sum(x for _, x in reading)
+            s = [0, 0, *map(toxicity.symbol, text), 0]
+            score += sum(d.lm[a][b][c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+            readings[text], best = max(readings.get(text, -math.inf), score), max(best, score)
+        assert math.isclose(readings[d.restore(word)], best, abs_tol=1e-9), word
+
+
+@pytest.mark.parametrize("form", ["gr0bn1k", "GR0BN1K!!", "gr€bn1k", "g r o b n i k", "g. r. o. b. n. i. k.", "g_r-o.b*n i k", "grooobnik", "(gr0bnik)", "gr0bn1k" * 8, "g\n r0bnik", "6r0bn1k"])
+def test_every_form_is_found(form):
+    found = toxicity.Suspects().spans(["some text before", f"well {form.lower()} then", ""])
+    assert found[0] == found[2] == [] and len(found[1]) == 1
+
+
+def test_plain_words_and_sign_words():
+    spans = toxicity.Suspects().spans
+    assert spans(["a plain text, with a word. and (another) one! well - so", "x y"]) == [[], []]
+    assert spans(["@$$ 455 12", "к о т ы", "été déjà"]) == [["@$$", "455"], ["к о т ы"], []]
 
 
 def test_quality_machine(spark, docs):
@@ -138,9 +176,24 @@ def test_probabilities_add_up(docs):
     u.p = {k: r.normal(size=x.shape).astype(np.float32) for k, x in u.p.items()}
     h = np.tile(r.normal(size=recurrent.UNITS).astype(np.float32), (voc.words + recurrent.KINDS, 1))
     assert abs(np.exp(u.log_probability(h, np.arange(voc.words + recurrent.KINDS))).sum() - 1) < 1e-4
-    texts = [r.integers(0, voc.words + recurrent.KINDS, k).astype(np.int16) for k in (1, 5, 70, 33)]
+
+
+def test_a_text_scores_alike_alone_and_among_others():
+    r = np.random.default_rng(3)
+    voc = recurrent.Vocabulary(np.arange(100, dtype=np.uint64), r.integers(1, 50, 100), 7, r.integers(0, 90, recurrent.KINDS), r.integers(0, 40, recurrent.KINDS))
+    u = recurrent.Unit(voc)
+    texts = [np.r_[r.integers(0, voc.words + recurrent.KINDS, k), 0].astype(np.int32) for k in (1, 5, 70, 33, 400, 3000)]
+    u.train(texts * 5)
+    for k in range(0, 3 * recurrent.UNITS, recurrent.UNITS):
+        assert np.linalg.norm(u.p["u"][:, k : k + recurrent.UNITS], 2) < recurrent.STRETCH + 1e-3
     both = u.score(texts)
-    assert np.allclose(both, [u.score([t])[0] for t in texts], atol=1e-4)
+    assert np.allclose(both, [u.score([t])[0] for t in texts], rtol=1e-6, atol=1e-4)
+    for t, whole in zip(texts, both, strict=True):  # the sum of the log-probabilities, token by token
+        h, total, before = np.zeros((1, recurrent.UNITS), np.float32), 0.0, 0
+        for x in t.tolist():
+            h = u.step(np.array([before]), h)[0]
+            total, before = total + float(u.log_probability(h, np.array([x]))[0]), x
+        assert math.isclose(total, whole, rel_tol=1e-5, abs_tol=1e-3)
 
 
 def test_gradients_equal_differences():

@@ -79,3 +79,19 @@ def test_light_sets_enumerate_what_a_partner_may_need():
     assert j.overlaps(5) == [5] and j.overlaps(20)[0] == 18 and j.enumerated(20) == 190 + 20 + 1
     assert j.prefix(148) == 15 and j.need(148, 148) == 141
     assert ngram_join.boundary(j, {5: 10, 30: 1000}, {5: 1000, 30: 3000}) == 29
+
+
+def test_words_and_groups_that_hashes_or_sketches_could_confuse(spark):
+    one = "".join("ab"[k.bit_count() & 1] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = [f"w{k}" for k in range(30)]
+    rows = [(1, " ".join([one, *rest])), (2, " ".join([two, *rest])), (3, one), (4, two), (5, two)]
+    r = random.Random(5)
+    base = [f"v{k}" for k in range(900)]
+    for i in range(10, 40):  # a group just below the threshold: no links, and no pair may be taken for one
+        w = list(base)
+        for k in r.sample(range(900), 28):
+            w[k] = f"u{i}x{k}"
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == brute(rows, 3, 9, 10) and got[5][1] == 4 and got[1][1] != got[4][1]
