@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names that some file systems reserve.
-RESERVED = ("con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9", "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9")
+RESERVED = ("con", "prn", "aux", "nul", "com1", "com2", "com3", "com4", "com5", "com6", "com7", "com8", "com9", "lpt1", "lpt2", "lpt3", "lpt4", "lpt5", "lpt6", "lpt7", "lpt8", "lpt9", "com¹", "com²", "com³", "lpt¹", "lpt²", "lpt³")
+#: Fixed value: the Unicode white space characters, as a regular expression's class.
+WHITE = "[\\x09-\\x0d\\x20\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
 def valid(path: Column) -> Column:
@@ -32,7 +34,7 @@ def id_fault(name: Column) -> Column:
     """Null for a good identifier, else the first rule it breaks: empty, surrounding_whitespace, too_long, control_character."""
     return (
         F.when(name.isNull() | (name == ""), "empty")
-        .when(name.rlike("^\\s|\\s$"), "surrounding_whitespace")
+        .when(name.rlike(f"^{WHITE}|{WHITE}$"), "surrounding_whitespace")
         .when(F.octet_length(name) > 256, "too_long")
         .when(name.rlike("[\\x00-\\x1f\\x7f-\\x{9f}]"), "control_character")
     )

@@ -49,6 +49,13 @@ def passed(diagnostics: DataFrame, mode: str) -> DataFrame:
     return count.withColumn("passed", rule)
 
 
+def passed_by_mode(diagnostics: DataFrame) -> DataFrame:
+    """mode, diagnostics, warnings, passed of all three modes, from one pass over the diagnostics."""
+    count = diagnostics.agg(F.count("*").alias("diagnostics"), F.count_if("is_warning").alias("warnings"))
+    rule = F.when(F.col("mode") == "default", F.col("diagnostics") == F.col("warnings")).when(F.col("mode") == "strict", F.col("diagnostics") == 0).otherwise(True)
+    return count.select(F.explode(F.array(*[F.lit(m) for m in ("default", "strict", "warning")])).alias("mode"), "*").withColumn("passed", rule)
+
+
 def over_quota(usage: DataFrame, limits: dict[str, int]) -> DataFrame:
     """resource, observed, quota, exceeded of a one-row frame of usage figures, each with a quota."""
     pairs = F.array(*[F.struct(F.lit(k).alias("resource"), F.col(k).cast("long").alias("observed"), F.lit(v).cast("long").alias("quota")) for k, v in limits.items()])

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.sources.stages import staged
+
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """root, node, depth, path (names joined by slashes) of everything below the roots; a node that repeats on its own path ends there.
 
-    WITH RECURSIVE keeps the frontier distributed; the visited nodes travel with each row.
+    Each round is one join of the last round's rows, staged, until none are left: a chain may be of any length.
+    The visited nodes travel with each row.
     """
-    spark = roots.sparkSession
-    roots.createOrReplaceTempView("_closure_roots")
-    edges.createOrReplaceTempView("_closure_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(root, node, depth, visited) AS (
-          SELECT node, node, 0, array(node) FROM _closure_roots
-          UNION ALL
-          SELECT w.root, e.child, w.depth + 1, array_append(w.visited, e.child)
-          FROM walk w JOIN _closure_edges e ON w.node = e.parent
-          WHERE NOT array_contains(w.visited, e.child)
-        )
-        SELECT root, node, CAST(depth AS BIGINT) AS depth, array_join(visited, '/') AS path FROM walk
-    """)
+    step = staged(roots.select(F.col("node").alias("root"), "node", F.lit(0).cast("long").alias("depth"), F.array("node").alias("_seen")))
+    out = [step]
+    while True:
+        below = step.join(edges.select(F.col("parent").alias("node"), "child"), "node").where(~F.array_contains("_seen", F.col("child")))
+        step = staged(below.select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("_seen", F.col("child")).alias("_seen")))
+        if step.isEmpty():
+            break
+        out.append(step)
+    return reduce(DataFrame.unionByName, out).select("root", "node", "depth", F.array_join("_seen", "/").alias("path"))
 
 
 def cycles(edges: DataFrame, walk: DataFrame) -> DataFrame:

@@ -21,10 +21,29 @@ def contract_digest(shape: Column, extraction: Column, metadata: Column, domain:
     return digest(F.concat(framed(f"{domain}:group"), framed("contract"), frame(shape), optional(extraction), optional(metadata)))
 
 
+def tree_digest(rows: DataFrame, key: Column, value: Column, head: Column, name: str, level: int = 4) -> DataFrame:
+    """One row: _n and ``name``, the digest of all values in the order of (key, value), key being hexadecimal.
+
+    Values whose keys begin with the same ``level`` characters make one digest each; the last one covers
+    these, at most 16 ** level of them, in order. So no row grows with all the rows.
+    """
+    each = rows.select(F.left(key, F.lit(level)).alias("_at"), F.struct(key.alias("k"), value.alias("v")).alias("_x"))
+    part = each.groupBy("_at").agg(F.count("*").alias("_n"), digest(joined(F.transform(F.sort_array(F.collect_list("_x")), lambda x: frame(x["v"])))).alias("_d"))
+    all_ = part.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"), F.sort_array(F.collect_list(F.struct("_at", "_d"))).alias("_all"))
+    return all_.select("_n", digest(F.concat(head, joined(F.transform("_all", lambda x: frame(x["_d"]))))).alias(name))
+
+
 def shape_digest(groups: DataFrame, domain: str = DOMAIN) -> DataFrame:
-    """One row: the digest of all group shapes in order. A hash over a whole order is one row's work: 64 bytes for each group."""
-    frames = F.transform(F.sort_array(F.collect_list("shape")), frame)
-    return groups.agg(F.count("*").alias("groups"), frames.alias("_f")).select("groups", digest(F.concat(framed(f"{domain}:inventory"), framed("source_shape"), joined(F.col("_f")))).alias("shape_digest"))
+    """One row: the number of groups and the tree digest of their shapes."""
+    head = F.concat(framed(f"{domain}:inventory"), framed("source_shape"))
+    return tree_digest(groups, F.col("shape"), F.col("shape"), head, "shape_digest").select(F.col("_n").alias("groups"), "shape_digest")
+
+
+def inventory_contract_digest(groups: DataFrame, domain: str = DOMAIN) -> DataFrame:
+    """One row: the tree digest of (label, contract) of all groups (label, shape, extraction, metadata), in the order of the labels' digests."""
+    head = F.concat(framed(f"{domain}:inventory"), framed("contract"))
+    contract = contract_digest(F.col("shape"), F.col("extraction"), F.col("metadata"), domain)
+    return tree_digest(groups, F.sha2(F.col("label"), 256), F.concat(frame(F.col("label")), frame(contract)), head, "contract_digest").select(F.col("_n").alias("groups"), "contract_digest")
 
 
 def merged(entries: DataFrame) -> DataFrame:
@@ -66,12 +85,14 @@ def changed_facets(a: str, b: str) -> Column:
 
 def residual(own: DataFrame, other: DataFrame) -> DataFrame:
     """Rows of ``own`` left when equal rows of both sides cancel, numbered within their label."""
-    nth = Window.partitionBy("label", *FACETS).orderBy(F.lit(1))
     place = Window.partitionBy("label").orderBy(*[F.col(f).asc_nulls_first() for f in FACETS])
-    count = lambda df: df.select("label", *FACETS).withColumn("_nth", F.row_number().over(nth))
-    left, right = count(own), count(other)
-    same = [left["label"] == right["label"], left["_nth"] == right["_nth"], *[left[f].eqNullSafe(right[f]) for f in FACETS]]
-    return left.join(right, same, "left_anti").withColumn("rn", F.row_number().over(place)).drop("_nth")
+    return surplus(own.select("label", *FACETS), other.select("label", *FACETS)).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n").withColumn("rn", F.row_number().over(place))
+
+
+def surplus(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows with _n, how many more of them the left side has (negative: the right side); equal numbers are left out. One grouping, summed before it is shuffled."""
+    signed = left.withColumn("_n", F.lit(1).cast("long")).unionByName(right.withColumn("_n", F.lit(-1).cast("long")))
+    return signed.groupBy(*left.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
 
 
 def diffed(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -120,4 +141,6 @@ def impl_groups(items: DataFrame) -> DataFrame:
 
 def multiset_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of each side that the other lacks, with multiplicity."""
-    return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))
+    apart = surplus(left, right)
+    each = F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int")))
+    return apart.withColumn("side", F.when(F.col("_n") > 0, "left").otherwise("right")).withColumn("_n", each).drop("_n")

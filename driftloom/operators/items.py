@@ -60,9 +60,25 @@ def items(text: str, modules: tuple[str, ...] = ()) -> Iterator[tuple]:
         yield (list(modules), KINDS[m[3]], name, visibility, " ".join(keep.split()), None if name else "unnamed item")
         if m[3] == "mod" and body is not None:
             yield from items(text[body + 1 : end], (*modules, name))
+        if m[3] in ("impl", "trait") and body is not None and name:
+            yield from members(text[body + 1 : end], modules, f"{KINDS[m[3]]} {name}", redundant=m[3] == "trait" or " for " in f" {name} ")
         at = end + 1
 
 
+def members(text: str, modules: tuple[str, ...], owner: str, redundant: bool) -> Iterator[tuple]:
+    """The constants, types, functions and macros of a body, as items named by their owner. redundant: the members' visibility is the owner's, and doesn't count."""
+    for _, kind, name, visibility, declaration, fault in items(text):
+        if fault is None and kind not in ("function", "constant", "type_alias", "macro"):
+            fault = f"{kind} in {owner}"
+        yield (list(modules), f"associated_{kind}", f"{owner}::{name}", "private" if redundant else visibility, declaration, fault)
+
+
+def file_modules(path: str, modules: str) -> F.Column:
+    """Names of the modules that a file's own item lies in: those of the file, by its place below the root, then the inner ones."""
+    parts = F.split(F.regexp_replace(path, "(^|/)(lib|main|mod)\\.rs$|\\.rs$", ""), "/")
+    return F.concat(F.array_remove(parts, ""), F.col(modules))
+
+
 def declared(sources: DataFrame) -> DataFrame:
     """Rows of SHAPE for the items of (path, content)."""
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.sources.stages import staged
+
 
 def owned(blocks: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks joined with their owners by owner_id, blocks whose owner isn't declared)."""
@@ -18,28 +22,28 @@ def linked(links: DataFrame, items: DataFrame) -> DataFrame:
     return links.join(known, "item_id", "left").withColumn("fault", fault).drop("_file", "_there")
 
 
-def resolve(names: DataFrame, declared: DataFrame, imports: DataFrame, rounds: int = 32) -> DataFrame:
+def resolve(names: DataFrame, declared: DataFrame, imports: DataFrame) -> DataFrame:
     """names (module, name) with target (module of the declaration) or a fault: unresolved, ambiguous or import_cycle.
 
     A name is declared in its module, or comes from the module that an import (module, name, source, source_name)
-    leads to, and so on: one join a round over the names that are still open. A declaration wins over an import.
-    Every name carries the places it has been to, so a walk that returns to one is a cycle.
+    leads to, and so on: one join a round over the names that are still open, however long their chains.
+    A declaration wins over an import. A walk ends where it meets a place that its name has been to.
     """
-    spark = names.sparkSession
-    names.select("module", "name").distinct().createOrReplaceTempView("_resolve_names")
-    declared.select("module", "name").distinct().createOrReplaceTempView("_resolve_declared")
-    imports.select("module", "name", "source", "source_name").distinct().createOrReplaceTempView("_resolve_imports")
-    walk = spark.sql(f"""
-        WITH RECURSIVE walk(module, name, at, as_name, seen, cycle, depth) AS (
-          SELECT module, name, module, name, array(concat(module, '::', name)), false, 0 FROM _resolve_names
-          UNION ALL
-          SELECT w.module, w.name, i.source, i.source_name, array_append(w.seen, concat(i.source, '::', i.source_name)), array_contains(w.seen, concat(i.source, '::', i.source_name)), w.depth + 1
-          FROM walk w JOIN _resolve_imports i ON w.at = i.module AND w.as_name = i.name
-          LEFT ANTI JOIN _resolve_declared d ON w.at = d.module AND w.as_name = d.name
-          WHERE NOT w.cycle AND w.depth < {rounds}
-        )
-        SELECT w.*, d.module IS NOT NULL AS found FROM walk w LEFT JOIN _resolve_declared d ON w.at = d.module AND w.as_name = d.name
-    """)
-    per = walk.groupBy("module", "name").agg(F.collect_set(F.when(F.col("found"), F.concat_ws("::", "at", "as_name"))).alias("_t"), F.bool_or("cycle").alias("_c"))
+    places = declared.select(F.col("module").alias("at"), F.col("name").alias("as_name")).distinct()
+    leads = imports.select(F.col("module").alias("at"), F.col("name").alias("as_name"), F.col("source").alias("_at"), F.col("source_name").alias("_as")).distinct()
+    here = F.concat_ws("::", "at", "as_name")
+    asked = staged(names.select("module", "name").distinct())
+    step = asked.withColumn("at", F.col("module")).withColumn("as_name", F.col("name")).withColumn("_seen", F.array(here))
+    ends = [asked.where("false").select("module", "name", F.lit(None).cast("string").alias("_target"), F.lit(False).alias("_cycle"))]
+    while True:
+        found = step.join(places, ["at", "as_name"], "left_semi").select("module", "name", here.alias("_target"), F.lit(False).alias("_cycle"))
+        there = F.concat_ws("::", "_at", "_as")
+        onward = staged(step.join(places, ["at", "as_name"], "left_anti").join(leads, ["at", "as_name"]).withColumn("_round", F.array_contains("_seen", there)))
+        back = onward.where("_round").select("module", "name", F.lit(None).cast("string").alias("_target"), F.lit(True).alias("_cycle"))
+        ends += [staged(found), back]
+        step = onward.where("NOT _round").select("module", "name", F.col("_at").alias("at"), F.col("_as").alias("as_name"), F.array_append("_seen", there).alias("_seen"))
+        if step.isEmpty():
+            break
+    per = asked.join(reduce(DataFrame.unionByName, ends), ["module", "name"], "left").groupBy("module", "name").agg(F.collect_set("_target").alias("_t"), F.coalesce(F.bool_or("_cycle"), F.lit(False)).alias("_c"))
     fault = F.when(F.size("_t") > 1, "ambiguous").when((F.size("_t") == 0) & F.col("_c"), "import_cycle").when(F.size("_t") == 0, "unresolved")
     return per.select("module", "name", F.when(F.size("_t") == 1, F.col("_t")[0]).alias("target"), fault.alias("fault"))

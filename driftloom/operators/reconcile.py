@@ -28,8 +28,8 @@ def actions(before: DataFrame, disk: DataFrame, after: DataFrame, adopt: bool =
 
 
 def recovery(before: DataFrame, disk: DataFrame, after: DataFrame) -> DataFrame:
-    """path, state of an interrupted generation: each file must be as before or as after, else it is a conflict."""
+    """path, state of an interrupted generation: done (as after), pending (as before, or absent, which the next generation's entry repairs), else conflict."""
     side = lambda df, name: df.select("path", F.col("digest").alias(name))
     all_ = side(before, "_before").join(side(after, "_after"), "path", "full_outer").join(side(disk, "_disk"), "path", "left")
-    state = F.when(F.col("_disk").eqNullSafe(F.col("_after")), "done").when(F.col("_disk").eqNullSafe(F.col("_before")), "pending").otherwise("conflict")
+    state = F.when(F.col("_disk").eqNullSafe(F.col("_after")), "done").when(F.col("_disk").isNull() | F.col("_disk").eqNullSafe(F.col("_before")), "pending").otherwise("conflict")
     return all_.select("path", state.alias("state"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.functions.digests import DOMAIN, count_frame, digest, frame, framed, joined, lines_digest
+from driftloom.operators.inventory import tree_digest
 
 FIELDS = ("source_file", "linked_signature", "signature_type", "occurrence", "code")
 
@@ -24,11 +25,11 @@ def diffed(previous: DataFrame, current: DataFrame, domain: str = DOMAIN) -> Dat
 
 
 def catalog_digest(snippets: DataFrame, domain: str = DOMAIN) -> DataFrame:
-    """One row: the digest of all snippets in id order. Each snippet is hashed to its frames where it lies; the last step is one row's work."""
+    """One row: the number of snippets and the tree digest of all of them, in the order of their ids' digests. Each snippet is hashed where it lies."""
     lines = joined(F.transform("code", lambda x: frame(F.encode(x, "ISO-8859-1"))))
     fields = F.concat(*[frame(F.col(f)) for f in ("snippet_id", "source_file", "linked_signature", "signature_type")], framed("exact_lines_v1"), frame(F.col("occurrence")), count_frame(F.size("code")), lines)
-    rows = snippets.select(F.struct("snippet_id", fields.alias("_f")).alias("_x"))
-    return rows.agg(F.count("*").alias("snippets"), F.sort_array(F.collect_list("_x")).alias("_all")).select("snippets", digest(F.concat(framed(f"{domain}:contract"), count_frame(F.col("snippets")), joined(F.transform("_all", lambda x: x["_f"])))).alias("digest"))
+    rows = snippets.select(F.sha2(F.col("snippet_id"), 256).alias("_key"), digest(fields).alias("_own"))
+    return tree_digest(rows, F.col("_key"), F.col("_own"), framed(f"{domain}:contract"), "digest").select(F.col("_n").alias("snippets"), "digest")
 
 
 def refreshed(snippets: DataFrame, seeds: DataFrame) -> DataFrame:

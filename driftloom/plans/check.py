@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 from driftloom.functions.digests import entry_digest
 from driftloom.functions.paths import item_id
 from driftloom.operators import constraints, inventory, items, matching
+from driftloom.operators.violations import violations
 from driftloom.sources import documents, reports
+from driftloom.sources.stages import staged
 
 
-def sketch_violations(sketches: DataFrame, parsed: DataFrame) -> DataFrame:
-    """code, snippet_id, contract_file of each broken rule; a check refuses to run while there is any."""
-    listed = parsed.where("fault IS NULL").select("contract_file", "document_index", F.explode("files").alias("path"))
-    out = [parsed.where("fault IS NOT NULL").select(F.col("fault").alias("code"), F.lit(None).cast("string").alias("snippet_id"), "contract_file")]
-    twice = constraints.duplicates(sketches, "snippet_id").select("snippet_id")
-    out.append(sketches.join(twice, "snippet_id", "left_semi").select(F.lit("duplicate_sketch").alias("code"), "snippet_id", "contract_file"))
-    out.append(sketches.join(listed, ["contract_file", "document_index", "path"], "left_anti").select(F.lit("unlisted_file").alias("code"), "snippet_id", "contract_file"))
-    out.append(sketches.where(F.size("code") == 0).select(F.lit("empty_code").alias("code"), "snippet_id", "contract_file"))
-    all_ = out[0]
-    for more in out[1:]:
-        all_ = all_.unionByName(more)
-    return all_
+class Refused(ValueError):
+    """Documents or sources break rules; ``violations`` is a DataFrame of them."""
+
+    def __init__(self, broken: DataFrame) -> None:
+        worst = broken.limit(1).collect()[0]
+        super().__init__(f"{worst.code} in {worst.contract_file}")
+        self.violations = broken
+
+
+def contract_violations(parsed: DataFrame) -> DataFrame:
+    """code, name, contract_file, document_index of every rule that parsed documents break."""
+    signatures = documents.signature_rows(parsed)
+    return violations(parsed, documents.sketch_rows(parsed), signatures)
 
 
 def check_sketches(sources: DataFrame, contracts: DataFrame, mode: str = "default") -> tuple[DataFrame, DataFrame]:
-    """(diagnostics, one-row JSON report) of sources and contracts, both (path, content)."""
-    parsed = documents.documents(contracts)
+    """(diagnostics, one-row JSON report) of sources and contracts, both (path, content). Raises Refused while a document breaks a rule."""
+    parsed = staged(documents.documents(contracts))
+    broken = staged(contract_violations(parsed))
+    if not broken.isEmpty():
+        raise Refused(broken)
     sketches = documents.sketch_rows(parsed)
     found = matching.matched(sketches, documents.source_lines(matching.referenced(sources, sketches)))
     problems = matching.diagnostics(found)
@@ -36,15 +42,20 @@ def check_sketches(sources: DataFrame, contracts: DataFrame, mode: str = "defaul
 
 
 def inventory_of(sources: DataFrame, crate: str = "main") -> DataFrame:
-    """entry_id, semantic_id, group_id, digest of the declared items of sources (path, content)."""
-    found = items.declared(sources).where("fault IS NULL")
-    named = matching.numbered(found, ["path", "modules", "kind", "name"], ["pos"])
-    modules = F.concat(F.array("path"), F.col("modules"))
-    one = item_id(F.lit(crate), modules, F.col("kind"), F.col("name"), F.col("occurrence"))
+    """entry_id, semantic_id, group_id, digest of the declared items of sources (path, content). Raises Refused if a file can't be read as items.
+
+    An item is named by its modules, those of its file among them, not by the file's place in folders.
+    """
+    found = staged(items.declared(sources))
+    broken = found.where("fault IS NOT NULL").select(F.col("fault").alias("code"), F.lit(None).cast("string").alias("name"), F.col("path").alias("contract_file"), F.lit(None).cast("int").alias("document_index"))
+    if not broken.isEmpty():
+        raise Refused(broken)
+    named = matching.numbered(found.withColumn("_modules", items.file_modules("path", "modules")), ["_modules", "kind", "name"], ["path", "pos"])
+    one = item_id(F.lit(crate), F.col("_modules"), F.col("kind"), F.col("name"), F.col("occurrence"))
     canonical = F.to_json(F.struct("kind", "name", "visibility", "declaration"))
     return named.select(one.alias("entry_id"), one.alias("semantic_id"), one.alias("group_id"), entry_digest(canonical).alias("digest"))
 
 
 def check_signatures(expected: DataFrame, sources: DataFrame) -> DataFrame:
     """Missing, extra and mismatched groups of an expected inventory against sources."""
-    return inventory.compared(expected, inventory_of(sources))
+    return inventory.compared(expected, staged(inventory_of(sources)))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import contents, paths
-from driftloom.operators import constraints, graph, inventory, links, matching, positions, reconcile, snippets
+from driftloom.operators import constraints, graph, inventory, links, matching, passages, positions, reconcile, signatures, snippets, violations
+from driftloom.sources import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,8 +104,7 @@ c AS (SELECT count(*) AS diagnostics, count(*) FILTER (is_warning) AS warnings F
 SELECT 'default' AS mode, diagnostics, warnings, diagnostics = warnings AS passed FROM c UNION ALL SELECT 'strict', diagnostics, warnings, diagnostics = 0 FROM c UNION ALL SELECT 'warning', diagnostics, warnings, true FROM c""")
 def check_pass_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.diagnostics(matches(spark, sf_dir)).withColumn("is_warning", F.col("kind") == "missing_file")
-    frames = [constraints.passed(found, m).select(F.lit(m).alias("mode"), "*") for m in ("default", "strict", "warning")]
-    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+    return constraints.passed_by_mode(found)
 
 
 @query(f"""WITH {LINES}, b AS (SELECT item_id, text FROM benchmark WHERE text <> ''), x AS (SELECT DISTINCT doc_id, unnest(lines) AS line FROM l)
@@ -115,6 +115,12 @@ def benchmark_line_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.join(lines, "line").groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+@query("SELECT item_id, count(DISTINCT doc_id) AS documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> '' GROUP BY item_id")
+def benchmark_passage_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("passage")), load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    return passages.contained(items, docs).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"))
+
+
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def allowlist_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", "n_chars").join(load(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -234,6 +240,13 @@ def sql_frame(x: str) -> str:
     return f"lower({SQL_FRAME.format(f'({x})')})"
 
 
+def sql_tree(rows: str, key: str, value: str, domain: str, kind: str | None, count: str, name: str) -> str:
+    """The tree digest of framed values (hexadecimal text), by the first four characters of their keys."""
+    head = sql_frame(domain) + (" || " + sql_frame(kind) if kind else "")
+    return f""", parts AS (SELECT left({key}, 4) AS bucket, count(*) AS n, sha256(unhex(string_agg({value}, '' ORDER BY {key}, {value}))) AS d FROM {rows} GROUP BY 1)
+SELECT sum(n)::BIGINT AS {count}, sha256(unhex({head} || string_agg({sql_frame('d')}, '' ORDER BY bucket))) AS {name} FROM parts"""
+
+
 ENTRIES = "b AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY ALL)"
 EXPECTED = ENTRIES + ", e AS (SELECT o || ':' || n AS entry_id, 'n' || n AS semantic_id, 'g' || o AS group_id, sha256(p || '/' || s) AS digest FROM b)"
 ACTUAL = EXPECTED + """, a AS (
@@ -267,7 +280,7 @@ def framed_group_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.group_digests(expected(spark, sf_dir))
 
 
-@query(f"""WITH {EXPECTED} {SHAPES.format('e', 'g')} SELECT count(*) AS groups, sha256(unhex({sql_frame("'driftloom:v2:inventory'")} || {sql_frame("'source_shape'")} || string_agg({sql_frame('shape')}, '' ORDER BY shape))) AS shape_digest FROM g""")
+@query(f"""WITH {EXPECTED} {SHAPES.format('e', 'g')} {sql_tree('g', 'shape', sql_frame('shape'), "'driftloom:v2:inventory'", "'source_shape'", 'groups', 'shape_digest')}""")
 def inventory_shape_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.shape_digest(inventory.group_digests(expected(spark, sf_dir)))
 
@@ -282,6 +295,21 @@ def inventory_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.compared(expected(spark, sf_dir), actual(spark, sf_dir))
 
 
+@query(f"""WITH {EXPECTED} {SHAPES.format('e', 'g')}, k AS (SELECT group_id, 'l' || group_id AS label, shape, CASE WHEN group_id < 'g3' THEN 'x' END AS extraction, 'm' AS metadata FROM g),
+c AS (SELECT sha256(label) AS k, label, sha256(unhex({sql_frame("'driftloom:v2:group'")} || {sql_frame("'contract'")} || {sql_frame('shape')}
+  || CASE WHEN extraction IS NULL THEN '000000000000000100' ELSE '000000000000000101' || {sql_frame('extraction')} END || '000000000000000101' || {sql_frame('metadata')})) AS contract FROM k),
+v AS (SELECT k, lower(lpad(to_hex(16 + strlen(label) + strlen(contract)), 16, '0')) || {sql_frame('label')} || {sql_frame('contract')} AS v FROM c)
+{sql_tree('v', 'k', 'v', "'driftloom:v2:inventory'", "'contract'", 'groups', 'contract_digest')}""")
+def inventory_contract_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = inventory.group_digests(expected(spark, sf_dir)).select(F.concat(F.lit("l"), "group_id").alias("label"), "shape", F.when(F.col("group_id") < "g3", "x").alias("extraction"), F.lit("m").alias("metadata"))
+    return inventory.inventory_contract_digest(groups)
+
+
+@query(f"""WITH {ACTUAL} SELECT (SELECT count(DISTINCT group_id) FROM e) AS expected_groups, (SELECT count(DISTINCT group_id) FROM a) AS actual_groups""")
+def signature_group_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.group_counts(expected(spark, sf_dir), actual(spark, sf_dir))
+
+
 GROUPS = """
 v AS (SELECT p_partkey AS k, p_brand AS label, sha256(p_type || '/' || p_size % 4) AS shape, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 'x' || p_size % 3 END AS extraction, 'm' || p_size % 2 AS metadata FROM part),
 p AS (SELECT label, shape, sha256(shape || coalesce(extraction, '-') || metadata) AS contract, extraction, metadata FROM v WHERE k % 9 <> 0),
@@ -362,7 +390,10 @@ def sketch_diff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.diffed(*turns(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {TURNS}, x AS (SELECT DISTINCT ON (snippet_id) snippet_id, source_file, linked_signature, signature_type, CASE WHEN k % 4 = 0 THEN 'at_least_one' ELSE occurrence END AS occurrence, CASE WHEN k % 6 = 1 THEN list_append(code, 'more') ELSE code END AS code FROM u WHERE k % 12 <> 0),
+d AS (SELECT sha256(snippet_id) AS k, sha256(unhex({sql_frame('snippet_id')} || {sql_frame('source_file')} || {sql_frame('linked_signature')} || {sql_frame('signature_type')} || {sql_frame("'exact_lines_v1'")} || {sql_frame('occurrence')}
+  || '0000000000000008' || lower(lpad(to_hex(len(code)), 16, '0')) || array_to_string(list_transform(code, lambda q: {sql_frame('q')}), ''))) AS own FROM x)
+{sql_tree('d', 'k', sql_frame('own'), "'driftloom:v2:contract'", None, 'snippets', 'digest')}""")
 def sketch_catalog_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.catalog_digest(turns(spark, sf_dir)[1])
 
@@ -391,7 +422,7 @@ def reconcile_truth_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {THREE}, x AS (SELECT coalesce(b.path, a.path) AS path, b.digest AS b, a.digest AS a FROM b FULL JOIN a ON a.path = b.path)
-SELECT x.path, CASE WHEN d.digest IS NOT DISTINCT FROM a THEN 'done' WHEN d.digest IS NOT DISTINCT FROM b THEN 'pending' ELSE 'conflict' END AS state FROM x LEFT JOIN d ON d.path = x.path""")
+SELECT x.path, CASE WHEN d.digest IS NOT DISTINCT FROM a THEN 'done' WHEN d.digest IS NULL OR d.digest IS NOT DISTINCT FROM b THEN 'pending' ELSE 'conflict' END AS state FROM x LEFT JOIN d ON d.path = x.path""")
 def recovery_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.recovery(*three(spark, sf_dir))
 
@@ -469,3 +500,159 @@ def seed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stray = placed(spark.range(1).select(F.lit(-1).cast("long").alias("snippet_id"), F.lit(0).cast("long").alias("path"), F.array(F.lit("x")).alias("code")))
     cols = ["snippet_id", "signature_type", "contract_file", "document_index", "path", "code"]
     return constraints.seed_faults(seeds.select(cols).unionByName(stray.select(cols)), sketches)
+
+
+# --- contract rules ----------------------------------------------------------------------------------
+
+RULES = """
+l AS (SELECT *, CASE WHEN l_suppkey % 71 = 0 THEN 'dup' || l_suppkey ELSE l_orderkey || ':' || l_linenumber || ':' || l_partkey END AS sid, ['f0.rs', 'f1.rs', 'f2.txt', 'f3.rs'][l_partkey % 4 + 1] AS p, 'c' || l_orderkey % 100 AS cf FROM lineitem WHERE l_linenumber <= 3),
+d AS (SELECT 'c' || o_orderkey % 100 AS cf, o_orderkey AS di, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE 'src' END AS root, ['f0.rs', 'f1.rs', CASE WHEN o_orderkey % 50 = 0 THEN 'f0.rs' ELSE 'f2.txt' END] AS files, CASE WHEN o_orderkey % 41 = 0 THEN 'version' END AS fault FROM orders),
+s AS (SELECT sid, cf, l_orderkey AS di, p, CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE 1 END AS lines, 's' || l_linenumber AS linked, l_returnflag AS kind FROM l),
+g AS (SELECT CASE WHEN l_partkey % 31 = 0 THEN 's1' ELSE 's' || l_linenumber END AS label, cf, l_orderkey AS di, CASE WHEN l_suppkey % 19 <> 0 THEN sid || CASE WHEN l_suppkey % 23 = 0 THEN '?' ELSE '' END END AS sketch, CASE WHEN l_suppkey % 37 = 0 THEN 'f0.rs' ELSE p END AS file, CASE WHEN l_suppkey % 43 = 0 THEN 'z' ELSE l_returnflag END AS kind FROM l WHERE l_quantity > 10),
+f AS (SELECT DISTINCT cf, di, unnest(files) AS file FROM d WHERE fault IS NULL),
+m AS (SELECT s.*, g.label, g.file, g.kind AS gk FROM g JOIN s ON g.cf = s.cf AND g.di = s.di AND g.sketch = s.sid),
+v AS (
+  SELECT fault AS code, NULL AS name, cf, di FROM d WHERE fault IS NOT NULL
+  UNION ALL SELECT 'blank_root', NULL, cf, di FROM d WHERE fault IS NULL AND trim(root) = ''
+  UNION ALL SELECT 'duplicate_file', NULL, cf, di FROM d WHERE fault IS NULL AND len(files) <> len(list_distinct(files))
+  UNION ALL SELECT 'duplicate_sketch', sid, cf, di FROM s WHERE sid IN (SELECT sid FROM s GROUP BY sid HAVING count(*) > 1)
+  UNION ALL SELECT 'unlisted_file', sid, cf, di FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.cf = s.cf AND f.di = s.di AND f.file = s.p)
+  UNION ALL SELECT 'empty_code', sid, cf, di FROM s WHERE lines = 0
+  UNION ALL SELECT 'duplicate_label', label, cf, di FROM (SELECT *, count(*) OVER (PARTITION BY cf, di, label) AS n FROM g) WHERE n > 1
+  UNION ALL SELECT 'unlisted_signature_file', label, cf, di FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.cf = g.cf AND f.di = g.di AND f.file = g.file)
+  UNION ALL SELECT 'not_rust', label, cf, di FROM g WHERE NOT ends_with(file, '.rs')
+  UNION ALL SELECT 'dangling_link', label, cf, di FROM g WHERE sketch IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.cf = g.cf AND s.di = g.di AND s.sid = g.sketch)
+  UNION ALL SELECT 'orphan_sketch', sid, cf, di FROM s WHERE NOT EXISTS (SELECT 1 FROM g WHERE s.cf = g.cf AND s.di = g.di AND s.sid = g.sketch)
+  UNION ALL SELECT * FROM (SELECT CASE WHEN file <> p THEN 'file_mismatch' WHEN label <> linked THEN 'label_mismatch' WHEN gk <> kind THEN 'type_mismatch' END AS code, sid, cf, di FROM m) WHERE code IS NOT NULL)
+"""
+
+
+def rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, sketches and signatures with planted faults."""
+    o, c = load(spark, sf_dir, "orders"), F.col
+    place = lambda k: [F.concat(F.lit("c"), c(k) % 100).alias("contract_file"), c(k).alias("document_index")]
+    files = F.array(F.lit("f0.rs"), F.lit("f1.rs"), F.when(c("o_orderkey") % 50 == 0, "f0.rs").otherwise("f2.txt"))
+    docs = o.select(*place("o_orderkey"), F.when(c("o_orderkey") % 97 == 0, " ").otherwise("src").alias("root"), files.alias("files"), F.when(c("o_orderkey") % 41 == 0, "version").alias("fault"))
+    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    sid = F.when(c("l_suppkey") % 71 == 0, F.concat(F.lit("dup"), "l_suppkey")).otherwise(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey"))
+    path = F.element_at(F.array(*[F.lit(x) for x in ("f0.rs", "f1.rs", "f2.txt", "f3.rs")]), (c("l_partkey") % 4 + 1).cast("int"))
+    own = F.concat(F.lit("s"), "l_linenumber")
+    sketches = lines.select(sid.alias("snippet_id"), *place("l_orderkey"), path.alias("path"), F.when(c("l_partkey") % 29 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("code"), own.alias("linked_signature"), c("l_returnflag").alias("signature_type"))
+    named = F.when(c("l_suppkey") % 19 != 0, F.concat(sid, F.when(c("l_suppkey") % 23 == 0, "?").otherwise("")))
+    given = lines.where("l_quantity > 10").select(
+        F.when(c("l_partkey") % 31 == 0, "s1").otherwise(own).alias("label"), *place("l_orderkey"), named.alias("sketch"),
+        F.when(c("l_suppkey") % 37 == 0, "f0.rs").otherwise(path).alias("file"), F.when(c("l_suppkey") % 43 == 0, "z").otherwise(c("l_returnflag")).alias("signature_type"),
+    )
+    return docs, sketches, given
+
+
+@query(f"WITH {RULES} SELECT code, name, cf AS contract_file, di AS document_index FROM v")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations.violations(*rules(spark, sf_dir))
+
+
+@query(f"""WITH {RULES}, r AS (SELECT *, list_position([{", ".join(f"'{x}'" for x in violations.CODES)}], code)::BIGINT AS rank FROM v), n AS (SELECT *, row_number() OVER (PARTITION BY cf, di ORDER BY rank, name NULLS FIRST) AS k FROM r)
+SELECT code, name, cf AS contract_file, di AS document_index, rank FROM n WHERE k = 1""")
+def first_contract_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations.first_violation(violations.violations(*rules(spark, sf_dir)))
+
+
+@query(f"""WITH {PATHS}, r AS (SELECT page_id AS name, path FROM p UNION ALL SELECT -min(page_id) - 1, split_part(path, '/', 1) FROM p GROUP BY 2)
+SELECT a.name AS outer, b.name AS inner FROM r a JOIN r b ON a.name <> b.name AND (starts_with(b.path, a.path || '/') OR (a.path = b.path AND a.name < b.name))""")
+def root_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_paths(spark, sf_dir)
+    hosts = pages.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("path")).agg((-F.min("page_id") - 1).alias("name"))
+    return violations.root_overlaps(pages.select(F.col("page_id").alias("name"), "path").unionByName(hosts))
+
+
+@query(f"WITH {RULES} SELECT DISTINCT file AS path FROM f")
+def allowlist_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return violations.allowlist(rules(spark, sf_dir)[0])
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_partkey FROM lineitem), b AS (SELECT l_orderkey, CASE WHEN l_suppkey % 50 = 0 THEN -1 ELSE l_partkey END AS l_partkey FROM lineitem WHERE l_linenumber <> 7),
+x AS (SELECT l_orderkey, l_partkey, sum(n) AS n FROM (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0) SELECT count(*) = 0 AS equal, coalesce(sum(abs(n)), 0)::BIGINT AS apart FROM x""")
+def document_set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "lineitem")
+    other = rows.where("l_linenumber <> 7").select("l_orderkey", F.when(F.col("l_suppkey") % 50 == 0, -1).otherwise(F.col("l_partkey")).alias("l_partkey"))
+    return violations.equal_documents(rows.select("l_orderkey", "l_partkey"), other)
+
+
+# --- signatures --------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT p_partkey AS item_id, string_split(p_name, ' ') AS m, p_size AS k FROM part), t AS (SELECT item_id, m, CASE WHEN k % 5 = 4 THEN ['else'] ELSE m[1:k % 5] END AS t FROM x)
+SELECT item_id, CASE WHEN len(t) = 0 THEN 'crate' WHEN t = m THEN 'private' WHEN len(t) < len(m) AND m[1:len(t)] = t THEN 'module:' || array_to_string(t, '::') ELSE 'outside:' || array_to_string(t, '::') END AS visibility FROM t""")
+def visibility_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    module = F.split("p_name", " ")
+    target = F.when(F.col("p_size") % 5 == 4, F.array(F.lit("else"))).otherwise(F.slice(module, 1, F.col("p_size") % 5))
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), signatures.canonical_visibility(module, target).alias("visibility"))
+
+
+@query("""SELECT o_orderkey AS document_index, 'c' || o_orderkey % 7 || '::document:' || o_orderkey || '::' || o_orderstatus AS scoped,
+'{"version":2,"files":["' || array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, 'P'])), '","') || '"],"extraction":"' || o_orderstatus || '","crate_id":"k' || o_custkey || '"}' AS context FROM orders""")
+def document_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = load(spark, sf_dir, "orders"), F.col
+    context = signatures.extraction_context(F.lit(2), F.array("o_orderstatus", "o_orderpriority", F.lit("P")), c("o_orderstatus"), F.concat(F.lit("k"), "o_custkey"))
+    return o.select(c("o_orderkey").alias("document_index"), signatures.scoped_id(F.concat(F.lit("c"), c("o_orderkey") % 7), c("o_orderkey"), c("o_orderstatus")).alias("scoped"), context.alias("context"))
+
+
+@query("SELECT doc_id, CASE WHEN 3 + doc_id % 40 <= strlen(text) THEN substr(text, 4, (doc_id % 40)::INTEGER) END AS slice FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    return docs.select("doc_id", signatures.text_slice(F.col("text"), F.lit(3), (3 + F.col("doc_id") % 40).cast("int")).alias("slice"))
+
+
+@query(f"""WITH {SNIPPETS}, seeds AS (SELECT doc_id AS snippet_id, lines[3:4] AS fresh FROM l WHERE doc_id % 5 = 0 AND len(lines) >= 4),
+r AS (SELECT k.snippet_id % 11 AS d, fresh IS NOT NULL AS linked, fresh IS NOT NULL AND fresh <> code AS changed FROM k LEFT JOIN seeds USING (snippet_id))
+SELECT (SELECT count(*) FROM labels) AS documents, (SELECT count(*) FROM labels WHERE quality IS DISTINCT FROM toxic) AS byte_changed, count(*) AS signatures, count(*) FILTER (changed) AS semantic_changed, count(*) FILTER (NOT linked) AS preserved_sketches,
+count(*) FILTER (linked) AS linked_sketches, count(*) FILTER (changed) AS changed_sketches, count(DISTINCT d) FILTER (changed) AS changed_documents FROM r""")
+def generation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = sources(spark, sf_dir).where((F.col("path") % 5 == 0) & (F.size("lines") >= 4)).select(F.col("path").alias("snippet_id"), F.slice("lines", 3, 2).alias("code"))
+    out = snippets.refreshed(cut_snippets(spark, sf_dir), seeds).select(F.lit("main.yml").alias("contract_file"), (F.col("snippet_id") % 11).alias("document_index"), "linked", "changed")
+    return signatures.generation_counts(load(spark, sf_dir, "labels").select(F.col("quality").alias("before"), F.col("toxic").alias("after")), out, out)
+
+
+@query(f"""WITH {ACTUAL}, f AS (SELECT e.group_id AS key, row_number() OVER (PARTITION BY e.group_id ORDER BY e.entry_id) AS r, a.digest FROM e LEFT JOIN a USING (entry_id) WHERE a.digest IS NULL OR a.digest <> e.digest),
+k AS (SELECT key, CASE WHEN digest IS NULL THEN 'missing' ELSE 'mismatched' END AS kind FROM f WHERE r = 1),
+x AS (SELECT DISTINCT coalesce(e.group_id, u.group_id) AS key FROM (SELECT DISTINCT group_id FROM a WHERE entry_id NOT IN (SELECT entry_id FROM e)) u LEFT JOIN e ON e.entry_id = u.group_id),
+y AS (SELECT * FROM k UNION ALL SELECT key, 'extra' FROM x WHERE key NOT IN (SELECT key FROM k))
+SELECT 0 AS section, key, kind FROM y UNION ALL SELECT DISTINCT 1, 'unread ' || p_type, 'warning' FROM part""")
+def signature_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = inventory.compared(expected(spark, sf_dir), actual(spark, sf_dir))
+    warnings = load(spark, sf_dir, "part").select(F.concat(F.lit("unread "), "p_type").alias("message"))
+    return signatures.ordered_diagnostics(signatures.all_diagnostics(found, warnings)).select("section", "key", "kind")
+
+
+@query(f"""WITH {SNIPPETS}, c AS (SELECT count(*) AS snippets, count(*) FILTER (kind = 'satisfied') AS satisfied FROM o)
+SELECT 'checked: ' || snippets || ' snippets, ' || satisfied || ' satisfied' AS line FROM c""")
+def check_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary(matching.counts(matches(spark, sf_dir)).select("snippets", "satisfied"), "checked")
+
+
+@query("""WITH p AS (SELECT page_id, ['con', 'COM1.x', 'com²', 'a.', 'b ', 'c?', 'fine', 'x/lpt9/y', 'Nul.txt', 'e<f'][page_id % 10 + 1] || CASE WHEN page_id % 3 = 0 THEN '/z' ELSE '' END AS path FROM pages)
+SELECT page_id, path, len(list_filter(string_split(path, '/'), lambda x: regexp_full_match(lower(split_part(x, '.', 1)), 'con|prn|aux|nul|(com|lpt)[1-9¹²³]') OR regexp_matches(x, '[<>"|?*]|[ .]$'))) = 0 AS portable FROM p""")
+def portable_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("con", "COM1.x", "com²", "a.", "b ", "c?", "fine", "x/lpt9/y", "Nul.txt", "e<f")])
+    path = F.concat(F.element_at(names, (F.col("page_id") % 10 + 1).cast("int")), F.when(F.col("page_id") % 3 == 0, "/z").otherwise(""))
+    return load(spark, sf_dir, "pages").select("page_id", path.alias("path"), paths.portable(path).alias("portable"))
+
+
+@query("""WITH n AS (SELECT page_id, ['', 'fine', ' x', 'x' || chr(160), chr(12288) || 'x', 'x' || chr(133), 'a' || chr(7), repeat('y', 257), 'a b', chr(8203) || 'x'][page_id % 10 + 1] AS name FROM pages)
+SELECT page_id, CASE WHEN name = '' THEN 'empty' WHEN trim(name, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160) || chr(12288)) <> name THEN 'surrounding_whitespace' WHEN strlen(name) > 256 THEN 'too_long' WHEN contains(name, chr(7)) THEN 'control_character' END AS fault FROM n""")
+def identifier_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("", "fine", " x", "x\u00a0", "\u3000x", "x\u0085", "a\u0007", "y" * 257, "a b", "\u200bx")])
+    return load(spark, sf_dir, "pages").select("page_id", paths.id_fault(F.element_at(names, (F.col("page_id") % 10 + 1).cast("int"))).alias("fault"))
+
+
+@query("""WITH RECURSIVE i AS (SELECT p_partkey AS k, p_partkey - 1 AS t FROM part WHERE p_partkey % 10 <> 0 UNION SELECT p_partkey, p_partkey - 3 FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 10 <> 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 13 = 0 AND p_partkey % 10 <> 0),
+w AS (SELECT p_partkey AS k, p_partkey AS spot FROM part UNION SELECT w.k, i.t FROM w JOIN i ON i.k = w.spot WHERE w.spot % 10 <> 0),
+t AS (SELECT k, count(*) FILTER (spot % 10 = 0 AND spot IN (SELECT p_partkey FROM part)) AS n, min(spot) FILTER (spot % 10 = 0 AND spot IN (SELECT p_partkey FROM part)) AS one, bool_or(spot % 13 = 0 AND spot % 10 <> 0 AND spot > 0) AS c FROM w GROUP BY k)
+SELECT 'm' || k AS module, 'x' AS name, CASE WHEN n = 1 THEN 'm' || one || '::x' END AS target, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 0 AND c THEN 'import_cycle' WHEN n = 0 THEN 'unresolved' END AS fault FROM t""")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, k = load(spark, sf_dir, "part"), F.col("p_partkey")
+    module = lambda c: F.concat(F.lit("m"), c.cast("string"))
+    lead = lambda where, to: parts.where((k % 10 != 0) & where).select(module(k).alias("module"), F.lit("x").alias("name"), module(to).alias("source"), F.lit("x").alias("source_name"))
+    imports = lead(F.lit(True), k - 1).unionByName(lead(k % 7 == 0, k - 3)).unionByName(lead(k % 13 == 0, k))
+    names = parts.select(module(k).alias("module"), F.lit("x").alias("name"))
+    return links.resolve(names, parts.where(k % 10 == 0).select(module(k).alias("module"), F.lit("x").alias("name")), imports)

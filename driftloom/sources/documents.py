@@ -101,6 +101,12 @@ def sketch_rows(parsed: DataFrame) -> DataFrame:
     return each.select(F.col("s.id").alias("snippet_id"), F.col("s.file").alias("path"), F.coalesce("s.occurrence", F.lit("at_least_one")).alias("occurrence"), code.alias("code"), F.col("s.linked_signature").alias("linked_signature"), F.col("s.signature_type").alias("signature_type"), "contract_file", "document_index")
 
 
+def signature_rows(parsed: DataFrame) -> DataFrame:
+    """label, sketch, signature_type, file and where each signature is written."""
+    each = parsed.where("fault IS NULL").select("contract_file", "document_index", F.explode("signatures").alias("s"))
+    return each.select(F.col("s.label").alias("label"), F.col("s.sketch").alias("sketch"), F.col("s.type").alias("signature_type"), F.coalesce("s.file", F.lit(None).cast("string")).alias("file"), "contract_file", "document_index")
+
+
 def source_lines(files: DataFrame) -> DataFrame:
     """path, lines of (path, content)."""
     return files.select("path", lines(text_of(F.col("content"))).alias("lines"))

@@ -1,3 +1,5 @@
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -16,7 +18,7 @@ def test_queries_equal_duckdb(spark):
 
     sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
-        return
+        pytest.skip("the driver's tables aren't here")
     con = duckdb.connect()
     for name in os.listdir(sf):
         con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{name}'")

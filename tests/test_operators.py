@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from driftloom.operators import constraints, generate, graph, inventory, items, links, matching, positions, reconcile, snippets
+from driftloom.operators import constraints, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
 
 
 def test_windows_both_ways_equal_plain_python(spark):
@@ -109,7 +109,7 @@ impl P { fn m(&self) {} }
     df = spark.createDataFrame([("src/lib.rs", bytearray(text)), ("bad.rs", bytearray(b"fn x() {")), ("odd.rs", bytearray(b"what")), ("empty.rs", bytearray(b"")), ("b.rs", bytearray(b"\xff"))], "path string, content binary")
     found = items.declared(df)
     got = [(r.kind, r.name, r.visibility, r.modules) for r in found.where("path = 'src/lib.rs'").orderBy("pos").collect()]
-    assert got == [("reexport", "std::fmt", "private", []), ("struct", "P", "pub(crate)", []), ("enum", "E", "pub", []), ("function", "f", "pub", []), ("module", "inner", "private", []), ("constant", "N", "pub", ["inner"]), ("function", "g", "private", ["inner"]), ("module", "out", "private", []), ("impl", "P", "private", [])]
+    assert got == [("reexport", "std::fmt", "private", []), ("struct", "P", "pub(crate)", []), ("enum", "E", "pub", []), ("function", "f", "pub", []), ("module", "inner", "private", []), ("constant", "N", "pub", ["inner"]), ("function", "g", "private", ["inner"]), ("module", "out", "private", []), ("impl", "P", "private", []), ("associated_function", "impl P::m", "private", [])]
     assert {r.path: r.fault for r in found.where("fault IS NOT NULL").collect()} == {"bad.rs": "unbalanced brackets", "odd.rs": "unsupported at 0", "b.rs": "invalid UTF-8"}
     files = spark.createDataFrame([("src/lib.rs",), ("src/out.rs",)], "path string")
     edges, faults = items.module_files(found, files)
@@ -147,3 +147,48 @@ def test_owners_and_modes(spark):
     assert [r.block for r in have.collect()] == [1] and [r.block for r in lack.collect()] == [2]
     docs = spark.createDataFrame([("f", 0, "c", "syntax", "p", "r"), ("g", 0, "c", "compiler", "p", "r"), ("g", 1, "d", "syntax", "p", "r")], "contract_file string, document_index int, crate_id string, mode string, profile string, root string")
     assert [(r.crate_id, r.ways) for r in constraints.mode_conflicts(docs).collect()] == [("c", 2)]
+
+
+def test_long_chains_have_no_limit(spark):
+    n = 60
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(n)], "parent string, child string")
+    assert graph.closure(spark.createDataFrame([("n0",)], "node string"), edges).where(f"depth = {n}").count() == 1
+    imports = spark.createDataFrame([(f"n{k}", "X", f"n{k + 1}", "X") for k in range(n)], "module string, name string, source string, source_name string")
+    got = links.resolve(spark.createDataFrame([("n0", "X")], "module string, name string"), spark.createDataFrame([(f"n{n}", "X")], "module string, name string"), imports)
+    assert [(r.target, r.fault) for r in got.collect()] == [(f"n{n}::X", None)]
+
+
+def test_recovery_takes_absent_files_as_pending(spark):
+    df = lambda d: spark.createDataFrame(list(d.items()), "path string, digest string")
+    got = reconcile.recovery(df({"a": "x", "b": "x", "c": "x", "d": "x"}), df({"b": "x", "c": "y", "d": "z"}), df({"a": "y", "b": "y", "c": "y", "d": "y"}))
+    assert {r.path: r.state for r in got.collect()} == {"a": "pending", "b": "pending", "c": "done", "d": "conflict"}
+
+
+def test_members_of_bodies(spark):
+    text = b"""trait T { const N: u8; type A; fn f(&self) -> u8; fn g() { let x = 1; } }
+impl<X> T for P<X> { const N: u8 = 1; pub fn f(&self) -> u8 { 2 } }
+impl P { pub fn h(a: u8) {} fn i() {} }
+"""
+    found = items.declared(spark.createDataFrame([("lib.rs", bytearray(text))], "path string, content binary"))
+    got = {(r.kind, r.name): (r.visibility, r.declaration) for r in found.where("fault IS NULL").collect()}
+    assert got["associated_constant", "trait T::N"] == ("private", "const N: u8;") and got["associated_function", "trait T::g"] == ("private", "fn g()")
+    assert got["associated_function", "impl P::h"] == ("pub", "fn h(a: u8)") and got["associated_function", "impl P::i"][0] == "private"
+    assert ("associated_function", "impl <X> T for P<X>::f") in got
+
+
+def test_passages_anywhere(spark):
+    rows = [(1, "one two three four five six"), (2, "a b"), (3, "x"), (4, "lone word end"), (5, None), (6, ""), (7, "two  gaps here now")]
+    texts = [(1, "zone two three four five sixth"), (2, "pa bc x"), (3, None), (4, ""), (5, "a lone word ending\ntwo  gaps here now"), (6, "one two three four six")]
+    got = passages.contained(spark.createDataFrame(rows, "item long, passage string"), spark.createDataFrame(texts, "path long, text string"))
+    want = {(i, p) for i, a in rows if a for p, t in texts if t is not None and a in t}
+    assert {(r.item, r.path) for r in got.collect()} == want and len(want) > 4
+    assert passages.contained(spark.createDataFrame([], "item long, passage string"), spark.createDataFrame(texts, "path long, text string")).count() == 0
+
+
+def test_names_bytes_and_orders(spark):
+    taken = spark.createDataFrame([("a.gz",), ("a-1.gz",), ("a-3.gz",), ("b.gz",), ("a-02.gz",)], "path string")
+    assert signatures.free_name(taken, "a", ".gz").first().path == "a-2.gz" and signatures.free_name(taken, "c", ".gz").first().path == "c.gz"
+    docs = spark.createDataFrame([("a", "o", "f", "1", "1"), ("b", "o", "f", "1", "2"), ("c", "o", None, None, None)], "path string, original string, fresh string, meaning_before string, meaning_after string")
+    assert {r.path: (r.content, r.changed) for r in signatures.rewritten(docs).collect()} == {"a": ("o", False), "b": ("f", True), "c": ("o", False)}
+    seeds = spark.createDataFrame([("b", 0, "1"), ("a", 1, "1"), ("a", 0, "2")], "contract_file string, document_index int, snippet_id string")
+    assert [tuple(r) for r in signatures.ordered_seeds(seeds).collect()] == [("a", 0, "2"), ("a", 1, "1"), ("b", 0, "1")]

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.plans.check import check_signatures, check_sketches, inventory_of, sketch_violations
+from driftloom.plans.check import Refused, check_signatures, check_sketches, contract_violations, inventory_of
 from driftloom.sources import documents, snapshots, trees
 from driftloom.streaming import checks
 
@@ -11,11 +11,13 @@ CONTRACT = """contract_version: 2
 root: src
 files: [lib.rs, gone.rs]
 signatures:
-- f_function: {sketch: one, type: fn}
+- f_function: {sketch: one, type: fn, file: lib.rs}
+- g_function: {sketch: two, type: fn, file: lib.rs}
+- h_function: {sketch: three, type: fn, file: gone.rs}
 sketches:
 - a: {id: one, file: lib.rs, linked_signature: f_function, signature_type: fn, occurrence: exactly_one, code: "needle\\n"}
-- b: {id: two, file: lib.rs, linked_signature: f_function, signature_type: fn, code: "absent"}
-- c: {id: three, file: gone.rs, linked_signature: f_function, signature_type: fn, code: "x"}
+- b: {id: two, file: lib.rs, linked_signature: g_function, signature_type: fn, code: "absent"}
+- c: {id: three, file: gone.rs, linked_signature: h_function, signature_type: fn, code: "x"}
 ---
 contract_version: 2
 root: yes
@@ -42,7 +44,11 @@ def test_scan_and_check(spark, tree):
     assert got["passed"] is False and got["counts"]["snippets"] == 3 and got["counts"]["present_paths"] == 1 and len(got["diagnostics"]) == 3
     parsed = documents.documents(contracts)
     assert {r.document_index: r.root for r in parsed.collect()} == {0: "src", 1: "yes"}
-    assert sketch_violations(documents.sketch_rows(parsed), parsed).count() == 0
+    assert contract_violations(parsed).count() == 0
+    broken = contracts.where("path = 'main.yml'").withColumn("content", F.concat("content", F.lit(b"---\na: 1\na: 2\n")))
+    with pytest.raises(Refused) as refused:
+        check_sketches(sources, broken)
+    assert [r.code for r in refused.value.violations.collect()] == ["duplicate_key"]
     wanted = spark.createDataFrame([("lib.rs",), ("none.rs",)], "path string")
     assert {r.path: r.content is None for r in trees.selected(sources, wanted).collect()} == {"lib.rs": False, "none.rs": True}
 
@@ -79,3 +85,42 @@ def test_stream_of_files(spark, tree):
     q = checks.start(stream, snippets, f"{tree}/out", f"{tree}/state", delay="1 hour")
     q.awaitTermination(60)
     assert {r.snippet_id: (r.kind, r.hits) for r in spark.read.parquet(f"{tree}/out").collect()} == {"one": ("occurrence_mismatch", 2), "two": ("satisfied", 2)}
+
+
+def test_catalogs_and_manifests(spark, tmp_path):
+    from driftloom.sources import catalogs
+
+    texts = [("map", '{"a.rs": "x", "b.rs": "y", "a.rs": "z"}'), ("list", '[{"path": "a.rs", "content": "x"}, {"path": "../b", "content": ""}]'), ("bad", "{"), ("none", None), ("empty", "{}"), ("shape", '{"a": 1}')]
+    got = {(r.name, r.path, r.content): r.fault for r in catalogs.json_catalog(spark.createDataFrame(texts, "name string, text string")).collect()}
+    assert got == {("map", "a.rs", "x"): "duplicate_path", ("map", "b.rs", "y"): None, ("map", "a.rs", "z"): "duplicate_path", ("list", "a.rs", "x"): None, ("list", "../b", ""): "invalid_path", ("bad", None, None): "syntax", ("none", None, None): "syntax", ("shape", None, None): "syntax"}
+    own = lambda paths, version=3, state="committed", generation=1: json.dumps({"version": version, "journal": {"state": state, "generation": generation, "files": {"documents": [{"path": p, "sha256": "d"} for p in paths]}}})
+    cases = {"good": (own(["a", "b"]), None), "none": (own([]), None), "old": (own(["a"], 2), "version"), "busy": (own(["a"], state="updating"), "updating"), "zero": (own(["a"], generation=0), "generation"), "twice": (own(["a", "a"]), "duplicate_path"), "order": (own(["b", "a"]), "unsorted"), "path": (own(["/a"]), "invalid_path"), "junk": ("[", "syntax")}
+    rows = catalogs.ownership(spark.createDataFrame([(n, t) for n, (t, _) in cases.items()], "name string, text string")).collect()
+    assert {r.name: r.fault for r in rows} == {n: f for n, (_, f) in cases.items()} and sorted(r.path for r in rows if r.name == "good") == ["a", "b"]
+    assert catalogs.optional_contracts(spark, f"{tmp_path}/absent").count() == 0
+
+
+def test_reports(spark):
+    from driftloom.sources import reports
+
+    one = lambda passed: spark.createDataFrame([(f'{{"passed":{passed}}}',)], "report string")
+    assert json.loads(reports.combined_report(one("true"), one("false")).first().report) == {"passed": False, "signatures": {"passed": True}, "sketches": {"passed": False}}
+    counts = spark.createDataFrame([(2, 3)], "expected_groups long, actual_groups long")
+    diagnostics = spark.createDataFrame([(1, "w", "warning", None, None), (0, "b", "extra", None, "d"), (0, "a", "missing", "d", None)], "section int, key string, kind string, expected_shape string, actual_shape string")
+    shape = spark.createDataFrame([(1, "s")], "groups long, shape_digest string")
+    got = json.loads(reports.signature_report(counts, spark.createDataFrame([(False,)], "passed boolean"), diagnostics, shape).first().report)
+    assert list(got) == ["passed", "source_shape_digest", "digest_version", "counts", "diagnostics"] and [d["key"] for d in got["diagnostics"]] == ["a", "b", "w"]
+    with pytest.raises(Exception, match="too many diagnostics"):
+        reports.listed(diagnostics, most=2).collect()
+    assert (reports.format_of("x/R.YML"), reports.format_of("a.json")) == ("yaml", "json")
+    with pytest.raises(ValueError):
+        reports.format_of("a.txt")
+
+
+def test_changed_members_are_mismatched(spark):
+    old, new = b"impl P { pub fn f(a: u8) -> u8 { a } }", b"impl P { pub fn f(a: u16) -> u8 { 0 } }"
+    files = lambda t: spark.createDataFrame([("lib.rs", bytearray(t))], "path string, content binary")
+    assert [r.kind for r in check_signatures(inventory_of(files(old)), files(new)).collect()] == ["mismatched"]
+    assert check_signatures(inventory_of(files(old)), files(old.replace(b"{ a }", b"{ 1 }"))).count() == 0
+    with pytest.raises(Refused):
+        inventory_of(files(b"impl P {"))
