@@ -394,9 +394,12 @@ class Encoder:
             self.learn([data[a:z] for a, z in zip(starts[rows].tolist(), ends[rows].tolist(), strict=True)], fresh)
             at = self.places.get(hashes)
         if len(at):
-            same = self.kept.view()[np.repeat(self.begins.view()[at] - starts, sizes) + np.arange(len(flat))] == flat
-            if not same.all():  # another piece of the same hash
-                other = np.unique(np.searchsorted(starts, np.flatnonzero(~same), side="right") - 1)
+            begins, kept = self.begins.view(), self.kept.view()
+            spots = np.minimum(np.repeat(begins[at] - starts, sizes) + np.arange(len(flat)), len(kept) - 1)
+            unlike = begins[at + 1] - begins[at] != sizes
+            unlike[np.searchsorted(starts, np.flatnonzero(kept[spots] != flat), side="right") - 1] = True
+            if unlike.any():  # other pieces of the same hash
+                other = np.flatnonzero(unlike)
                 at[other] = np.arange(len(self.offsets) - 1, len(self.offsets) - 1 + len(other))
                 self.learn([data[a:z] for a, z in zip(starts[other].tolist(), ends[other].tolist(), strict=True)], None)
         offsets = self.offsets.view()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from driftloom.llm.common import free, written
 
 #: Hashed counters of words, 16 to a long; longs of a filter's bits (when it is full, more lines travel); most lines that are broadcast as frequent ones.
-COUNTERS, FILTER, HOT = 1 << 18, 1 << 16, 10_000
+COUNTERS, FILTER, HOT = 1 << 18, 1 << 16, 100_000
 #: Earliest lines of a word that others meet first; lines of a block of a word that many lines still share after that.
 EARLIEST, BLOCK = 16, 500
 
@@ -168,7 +168,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lines = lines_of(docs, id_col, text_col)
     first = written(lines.groupBy("_h1", "_h2").agg(F.min("_place").alias("_first"), F.count("*").alias("_times")))
     total = first.agg(F.sum("_times")).first()[0] or 0
-    hot = F.broadcast(first.where(F.col("_times") >= max(100, total // HOT + 1)).select("_h1", "_h2", F.col("_first").alias("_only")))
+    hot = F.broadcast(first.where(F.col("_times") >= max(8, total // HOT + 1)).select("_h1", "_h2", F.col("_first").alias("_only")))
 
     classes = rarity(docs, text_col)
     once = lines.join(hot, ["_h1", "_h2"], "left").where("_only IS NULL OR _place = _only")
