@@ -10,7 +10,7 @@ text's number of distinct n-grams, since poor texts, short or repetitive ones, l
 Clusters and radii are fitted on a bounded sample: about ``SAMPLE`` rows of each language, chosen by
 a hash of the id, the same at every input size. Radii come from the sampled texts and from their first 1,
 8, 16, ... letters, as far as they have so many: at each level of distinct n-grams, ``SPREAD`` times as far
-from the median cosine as the 2nd percentile lies. Languages are fitted one after another, so the driver
+from the median cosine as the 2nd percentile lies, and never below a share of that percentile. Languages are fitted one after another, so the driver
 holds one language's sample. Everything else covers all rows.
 
 A null text, or one without a letter, is ``und`` with score 0 and rejected. Rows without a language
@@ -36,8 +36,8 @@ from driftloom.llm.common import free, unclashing
 DIMS, CLUSTERS, SAMPLE, ROUNDS = 8192, 3, 600, 8
 #: Letters of the beginnings of sampled texts that teach radii; distinct n-grams at which these are measured (a text uses the largest that it reaches).
 LENGTHS, LEVELS = (1, 8, 16, 32, 64, 128, 256, 1024), (1, 8, 16, 32, 64, 128, 256, 512, 1024, 2048)
-#: Radius beyond the median, in distances from it to the 2nd percentile; fewest points that make a level's radius.
-SPREAD, POINTS = 4, 20
+#: Radius beyond the median, in distances from it to the 2nd percentile, whose cosine divided by FLOOR is the least allowed; fewest points that make a level's radius.
+SPREAD, FLOOR, POINTS = 5, 3, 20
 #: Texts whose vectors are held at once.
 TOGETHER = 48
 
@@ -138,7 +138,7 @@ def radii(at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         mine = cosine[at == k]
         if len(mine) >= POINTS:
             low, middle = np.percentile(mine, (2, 50))
-            least[k] = max(0.0, middle - SPREAD * (middle - low))
+            least[k] = max(middle - SPREAD * (middle - low), low / FLOOR)
     return np.maximum.accumulate(least)
 
 
