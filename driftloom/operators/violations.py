@@ -18,7 +18,7 @@ from driftloom.operators.constraints import duplicates
 PLACE = ("contract_file", "document_index")
 #: All codes, in the order in which they are reported.
 CODES = (
-    "syntax", "alias", "merge_key", "duplicate_key", "empty_document", "unknown_field", "one_entry_map", "shape", "version",
+    "syntax", "quota", "alias", "merge_key", "duplicate_key", "empty_document", "unknown_field", "one_entry_map", "shape", "version",
     "blank_root", "duplicate_file", "invalid_id", "duplicate_sketch", "unlisted_file", "empty_code", "duplicate_label", "unlisted_signature_file", "not_rust",
     "dangling_link", "orphan_sketch", "file_mismatch", "label_mismatch", "type_mismatch",
 )

@@ -19,6 +19,8 @@ from driftloom.functions.paths import root_documents
 #: Fields of a document, and of an entry below a label.
 ROOT_FIELDS = ("contract_version", "root", "files", "extraction", "signatures", "sketches")
 SKETCH_FIELDS = ("id", "file", "linked_signature", "signature_type", "normalization", "occurrence", "code")
+#: Most documents, nodes and levels of one stream.
+DOCUMENTS, NODES, DEPTH = 1024, 1_000_000, 128
 SHAPE = (
     "contract_file string, document_index int, version int, root string, files array<string>, "
     "signatures array<struct<label:string, sketch:string, type:string, file:string>>, "
@@ -31,10 +33,17 @@ def parse(content: bytes) -> list[dict]:
     import yaml
 
     class Strict(yaml.SafeLoader):
+        nodes, depth = 0, 0
+
         def compose_node(self, parent, index):
             if self.check_event(yaml.events.AliasEvent):
                 raise ValueError("alias")
-            return super().compose_node(parent, index)
+            self.nodes, self.depth = self.nodes + 1, self.depth + 1
+            if self.nodes > NODES or self.depth > DEPTH:
+                raise ValueError("quota")
+            node = super().compose_node(parent, index)
+            self.depth -= 1
+            return node
 
         def construct_mapping(self, node, deep=False):
             keys = [k.value for k, _ in node.value]
@@ -63,6 +72,8 @@ def parse(content: bytes) -> list[dict]:
     try:
         for doc in yaml.load_all(content.decode("utf-8"), Strict):
             index = len(out)
+            if index >= DOCUMENTS:
+                raise ValueError("quota")
             try:
                 if not isinstance(doc, dict):
                     raise ValueError("empty_document")
@@ -78,7 +89,7 @@ def parse(content: bytes) -> list[dict]:
             except (ValueError, TypeError, AttributeError) as e:
                 out.append({"document_index": index, **blank, "fault": str(e) if str(e) in ("empty_document", "unknown_field", "one_entry_map") else "shape"})
     except (yaml.YAMLError, UnicodeDecodeError, ValueError) as e:
-        out.append({"document_index": len(out), **blank, "fault": str(e) if str(e) in ("alias", "merge_key", "duplicate_key") else "syntax"})
+        out.append({"document_index": len(out), **blank, "fault": str(e) if str(e) in ("alias", "merge_key", "duplicate_key", "quota") else "syntax"})
     return out or [{"document_index": 0, **blank, "fault": "empty_document"}]
 
 

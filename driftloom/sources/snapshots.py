@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import base64
 import gzip
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from driftloom.functions.paths import valid
 
+#: An archive is gzip JSON {version, contract_files: [{path: {value}, bytes: [0 to 255, ...]}]}.
 VERSION = 1
-#: Largest catalog, in bytes, that is written as one archive.
-LARGEST = 64 << 20
+#: Most bytes of an archive, of what it expands to, and of a file; most files. A catalog beyond LARGEST bytes isn't written as one archive.
+COMPRESSED, EXPANDED, FILE, FILES, LARGEST = 64 << 20, 256 << 20, 16 << 20, 100_000, 64 << 20
 
 
 def write(files: DataFrame, path: str) -> None:
@@ -33,10 +34,41 @@ def encode(files: DataFrame) -> bytes:
     if total > LARGEST:
         raise ValueError(f"{total} bytes are too many for one archive; write a Parquet snapshot")
     rows = files.select("path", "content").orderBy("path").collect()
-    payload = {"version": VERSION, "files": [{"path": r.path, "content": base64.b64encode(r.content).decode()} for r in rows]}
+    payload = {"version": VERSION, "contract_files": [{"path": {"value": r.path}, "bytes": list(r.content)} for r in rows]}
     return gzip.compress(json.dumps(payload, separators=(",", ":")).encode(), mtime=0)
 
 
+def expanded(data: bytes) -> bytes:
+    """The bytes of one gzip member, of bounded size; ValueError with a fault's code for anything else."""
+    if len(data) > COMPRESSED:
+        raise ValueError("too_large")
+    unzip = zlib.decompressobj(31)
+    out = unzip.decompress(data, EXPANDED + 1)
+    if len(out) > EXPANDED:
+        raise ValueError("too_large")
+    if not unzip.eof:
+        raise ValueError("damaged")
+    if unzip.unused_data:
+        raise ValueError("trailing_data")
+    return out
+
+
+def files_of(data: bytes) -> list[tuple[str, bytes]]:
+    payload = json.loads(expanded(data))
+    if payload["version"] != VERSION:
+        raise ValueError("version")
+    found = payload["contract_files"]
+    if len(found) > FILES:
+        raise ValueError("too_many_files")
+    if any(len(f["bytes"]) > FILE for f in found):
+        raise ValueError("too_large")
+    return [(str(f["path"]["value"]), bytes(f["bytes"])) for f in found]
+
+
+#: Codes of a broken archive.
+FAULTS = ("damaged", "trailing_data", "version", "too_large", "too_many_files")
+
+
 def decode(archives: DataFrame) -> DataFrame:
     """archive, path, content, fault of each file of gzip JSON archives (path, content); a broken archive is one row with a fault."""
 
@@ -45,12 +77,9 @@ def decode(archives: DataFrame) -> DataFrame:
             rows = []
             for name, data in zip(b.path, b.content, strict=True):
                 try:
-                    payload = json.loads(gzip.decompress(data))
-                    if payload["version"] != VERSION:
-                        raise ValueError("version")
-                    rows += [(name, f["path"], base64.b64decode(f["content"], validate=True), None) for f in payload["files"]]
-                except (OSError, EOFError, ValueError, KeyError, TypeError) as e:
-                    rows.append((name, None, None, str(e) if str(e) == "version" else "damaged"))
+                    rows += [(name, p, c, None) for p, c in files_of(data)]
+                except (zlib.error, ValueError, KeyError, TypeError) as e:
+                    rows.append((name, None, None, str(e) if str(e) in FAULTS else "damaged"))
             yield pd.DataFrame(rows, columns=["archive", "path", "content", "fault"])
 
     out = archives.select("path", "content").mapInPandas(run, "archive string, path string, content binary, fault string")

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -53,7 +54,7 @@ def test_scan_and_check(spark, tree):
     assert {r.path: r.content is None for r in trees.selected(sources, wanted).collect()} == {"lib.rs": False, "none.rs": True}
 
 
-@pytest.mark.parametrize(("text", "fault"), [("a: 1\na: 2\n", "duplicate_key"), ("a: &x 1\nb: *x\n", "alias"), ("base: {}\n<<: {a: 1}\n", "merge_key"), ("", "empty_document"), ("contract_version: 2\nother: 1\n", "unknown_field"), ("contract_version: 1\n", "version"), ("a: [", "syntax"), ("contract_version: 2\nsketches:\n- {a: {}, b: {}}\n", "one_entry_map")])
+@pytest.mark.parametrize(("text", "fault"), [("a: 1\na: 2\n", "duplicate_key"), ("a: &x 1\nb: *x\n", "alias"), ("base: {}\n<<: {a: 1}\n", "merge_key"), ("", "empty_document"), ("contract_version: 2\nother: 1\n", "unknown_field"), ("contract_version: 1\n", "version"), ("a: [", "syntax"), ("contract_version: 2\nsketches:\n- {a: {}, b: {}}\n", "one_entry_map"), ("[" * 200 + "]" * 200, "quota"), ("---\na: 1\n" * 1100, "quota")])
 def test_strict_yaml(text, fault):
     assert documents.parse(text.encode())[-1]["fault"] == fault
 
@@ -65,6 +66,11 @@ def test_snapshots(spark, tmp_path):
     held = spark.createDataFrame([("x.gz", bytearray(one)), ("bad.gz", bytearray(b"no"))], "path string, content binary")
     got = {(r.archive, r.path): (bytes(r.content) if r.content is not None else None, r.fault) for r in snapshots.decode(held).collect()}
     assert got == {("x.gz", "a.yml"): (b"", None), ("x.gz", "b.yml"): (b"\xff\0", None), ("bad.gz", None): (None, "damaged")}
+    assert json.loads(gzip.decompress(one)) == {"version": 1, "contract_files": [{"path": {"value": "a.yml"}, "bytes": []}, {"path": {"value": "b.yml"}, "bytes": [255, 0]}]}
+    pack = lambda v: gzip.compress(json.dumps(v).encode())
+    bad = {"trail": one + b"x", "cut": one[:-4], "old": pack({"version": 2, "contract_files": []}), "shape": pack([1]), "byte": pack({"version": 1, "contract_files": [{"path": {"value": "a"}, "bytes": [256]}]}), "bomb": gzip.compress(b" " * (snapshots.EXPANDED + 1)), "path": pack({"version": 1, "contract_files": [{"path": {"value": "../a"}, "bytes": []}]})}
+    faults = {r.archive: r.fault for r in snapshots.decode(spark.createDataFrame([(n, bytearray(d)) for n, d in bad.items()], "path string, content binary")).collect()}
+    assert faults == {"trail": "trailing_data", "cut": "damaged", "old": "version", "shape": "damaged", "byte": "damaged", "bomb": "too_large", "path": "path"}
     snapshots.write(files, f"{tmp_path}/s")
     assert snapshots.read(spark, f"{tmp_path}/s").count() == 2
     with pytest.raises(Exception, match="exist"):
