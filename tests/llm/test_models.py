@@ -242,3 +242,47 @@ def test_word_list_grows_with_the_vocabulary():
     hashes = np.arange(40_000, dtype=np.uint64)
     voc = recurrent.Vocabulary(hashes, np.arange(40_000)[::-1] + 1, 7, np.zeros(recurrent.KINDS), np.zeros(recurrent.KINDS))
     assert voc.classes == 200 and sorted(voc.ids) == list(range(1, 40_001))
+
+
+def plain_grams(text):
+    """Hashed n-grams of one text, one at a time."""
+    s, out, m = [0, 0] + [ord(c) if c.isalpha() else 0 for c in text.lower()] + [0, 0], collections.Counter(), 1 << 32
+    for two, one, here in zip(s, s[1:], s[2:], strict=False):
+        pair = here * 0x9E3779B1 + one * 0x85EBCA77
+        for code, there in ((here * 0x9E3779B1, here), (pair % m ^ 0x27D4EB2F, here or one), ((pair + two * 0xC2B2AE3D) % m ^ 0x165667B1, one)):
+            code %= m
+            if there:
+                out[(code ^ code >> 15) * 0x2C1B3C6D % m >> 19] += 1
+    return out
+
+
+def test_languages_equal_a_plain_version(spark, docs):
+    model = langid.fit(docs, learnable("doc_id", 4, 2))
+    teach = [x for x in made() if not held(x[0], 4, 2)]
+    frequency = collections.Counter(d for _, t, *_ in teach for d in plain_grams(t))
+    idf = [math.log((1 + len(teach)) / (1 + frequency[d])) + 0.1 for d in range(langid.DIMS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    rows = {r.doc_id: r for r in langid.identified(docs, model, prefix="p_").collect()}
+    for i, text, *_ in made()[:40]:
+        grams = plain_grams(text)
+        x = {d: (1 + math.log(n)) * idf[d] for d, n in grams.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        cosine = [sum(v * float(c[d]) for d, v in x.items()) / size for c in model.centroids]
+        best = max(range(len(cosine)), key=lambda k: cosine[k])
+        level = max(k for k, n in enumerate(langid.LEVELS) if len(grams) >= n)
+        assert rows[i].p_lang_pred == model.langs[model.of[best]] and abs(rows[i].p_score - cosine[best]) < 1e-4
+        assert rows[i].p_rejected == (cosine[best] < model.least[level, best])
+
+
+def test_quality_scores_equal_all_pairs(spark, docs):
+    machine = quality.fit(docs, docs.select("doc_id", "quality"), learnable("doc_id", 5, 0))
+    rows = {r.doc_id: r.score for r in quality.scored(docs, machine).collect()}
+    for i, text, *_, size in made()[:4]:
+        ends, slots, stats = quality.Features().of([text.encode()], np.array([float(size)]))
+        assert len(slots) == len(set(text.split())) and stats[0][0] == np.float32(math.log1p(len(text.encode())))
+        x = [(int(s), 1 / math.sqrt(len(slots))) for s in slots]
+        x += [(quality.WORDS + k, float(v)) for k, v in enumerate(np.clip((stats[0] - machine.mean) / machine.deviation, -6, 6))]
+        z = machine.w0 + sum(float(machine.w[a]) * v for a, v in x) + sum(float(machine.v[a] @ machine.v[b]) * v * w for k, (a, v) in enumerate(x) for b, w in x[k + 1 :])
+        assert abs(1 / (1 + math.exp(-z)) - rows[i]) < 1e-3
+    one = docs.where("quality = 1 OR quality IS NULL")
+    assert {round(r.score, 6) for r in quality.scored(docs, quality.fit(one, one.select("doc_id", "quality"), F.lit(True))).collect()} == {1.0}
