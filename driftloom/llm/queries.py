@@ -16,6 +16,7 @@ from driftloom.llm.line_dedup import line_report
 from driftloom.llm.mixing import mixed
 from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
+from driftloom.llm.pieces import encoded as pieces_encoded
 from driftloom.llm.quality import fit as fit_quality
 from driftloom.llm.quality import scored
 from driftloom.llm.recurrent import likelihoods
@@ -76,6 +77,13 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), held_out("_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces_encoded(docs, tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -186,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_language_model": op10_language_model,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 SQL: dict[str, str] = {
