@@ -20,6 +20,7 @@ from driftloom.llm.pieces import encoded as pieces_encoded
 from driftloom.llm.quality import fit as fit_quality
 from driftloom.llm.quality import scored
 from driftloom.llm.recurrent import likelihoods
+from driftloom.llm.runs import periodic_runs
 from driftloom.llm.toxicity import fit as fit_toxicity
 from driftloom.llm.toxicity import scored as toxicity
 
@@ -77,6 +78,29 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), held_out("_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """Texts of one document in ten, by the checksum of the id, with their words from some place on replaced by a repeated stretch; the others as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words, n, a = F.col("_words"), F.size("_words"), F.col("_first")
+    p = 1 + F.floor((n - a) / (3 + F.col("_g") % 8)).cast("int")
+    stretch = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, F.col("_p")), F.ceil((n - a) / F.col("_p")).cast("int"))), F.lit(1), n - a)
+    found = docs.withColumn("_g", F.floor(h / 10)).withColumn("_words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    found = found.withColumn("_first", F.when(n > 0, F.col("_g") % n).cast("int")).withColumn("_p", F.when(n > 0, p))
+    changed = F.concat_ws(" ", F.when(a > 0, F.slice(words, F.lit(1), a)).otherwise(F.array().cast("array<string>")), stretch)
+    return found.select("doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeating(table(spark, sf_dir, "documents").select("doc_id", "text")), times=4, least=6)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -194,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_language_model": op10_language_model,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_sentencepiece": op13_sentencepiece,
 }
 
