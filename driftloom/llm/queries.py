@@ -17,6 +17,7 @@ from driftloom.llm.mixing import mixed
 from driftloom.llm.neighbours import nearest
 from driftloom.llm.ngram_join import near_groups
 from driftloom.llm.pieces import encoded as pieces_encoded
+from driftloom.llm.prefix_trie import rebuilt, trie, turns_of
 from driftloom.llm.quality import fit as fit_quality
 from driftloom.llm.quality import scored
 from driftloom.llm.recurrent import likelihoods
@@ -78,6 +79,10 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), held_out("_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie(rebuilt(turns_of(table(spark, sf_dir, "conversations"))))
+
+
 def repeating(docs: DataFrame) -> DataFrame:
     """Texts of one document in ten, by the checksum of the id, with their words from some place on replaced by a repeated stretch; the others as they are."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -207,6 +212,38 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM c
+), b AS (
+  SELECT h.conv_id, list_concat(coalesce(f.own[:h.h], []), h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN c f ON f.conv_id = h.conv_id - h.conv_id % 100
+), p AS (
+  SELECT conv_id, len(turns) AS size, unnest(range(len(turns) + 1)) AS depth, turns FROM b
+), m AS (
+  SELECT conv_id, size, depth, CASE WHEN depth = 0 THEN 0 ELSE length(turns[depth].t) END AS n, md5(turns[:depth]::VARCHAR || depth) AS node,
+         CASE WHEN depth > 0 THEN md5(turns[:depth - 1]::VARCHAR || (depth - 1)) END AS above FROM p
+), t AS (
+  SELECT node, any_value(above) AS above, any_value(depth) AS depth, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM m GROUP BY node
+), k AS (
+  SELECT t.*, a.conv_id AS parent_conv_id, (SELECT count(*) FROM t x WHERE x.above = t.node) AS n_children
+  FROM t LEFT JOIN t a ON a.node = t.above
+), u AS (
+  SELECT DISTINCT a.node AS top, d.node FROM m a JOIN m d ON a.conv_id = d.conv_id AND a.depth <= d.depth
+)
+SELECT k.conv_id, k.depth, k.parent_conv_id, k.n_convs, k.n_children, (count(*) FILTER (x.n_children = 0))::BIGINT AS n_leaves,
+       sum((x.n_convs - 1) * x.n)::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN u ON u.top = k.node JOIN k x ON x.node = u.node
+GROUP BY ALL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language_id": op2_language_id,
@@ -218,6 +255,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_quality": op9_quality,
     "op10_language_model": op10_language_model,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_sentencepiece": op13_sentencepiece,
 }
@@ -228,4 +266,5 @@ SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op8_nearest": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
