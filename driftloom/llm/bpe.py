@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import Hasher, chunks, free, unclashing
+from driftloom.llm.common import Hasher, as_texts, chunks, free, unclashing
 
 #: Ids of encoded pieces that a task remembers (a full memory is emptied); bytes of pieces that are encoded together.
 MEMORY, LONGEST = 4_000_000, 64
@@ -531,7 +531,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "tex
         encoder = Encoder(Vocabulary(ranks.value), pattern)  # of this task alone: later stages need the worker's memory
         for b in batches:
             counts, ids, back = [], [], []
-            texts = [t or "" for t in b.column(at).to_pylist()]
+            texts = as_texts(b.column(at))
             for first, last in chunks(texts, GROUP):
                 found, bounds = encoder.encode_all(texts[first:last])
                 written, name_at = encoder.names.join(found)

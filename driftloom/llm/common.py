@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import driftloom
 
-# Executors needn't have this package installed: its functions travel with the tasks.
+# Executors needn't have this package installed: its functions travel with the tasks, and its models as bytes (see carried).
 cloudpickle.register_pickle_by_value(driftloom)
 
 #: Bytes that separate words in the contracts of these operators: space, and tab to carriage return.
@@ -36,6 +36,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
+class Carried:
+    """A broadcast of bytes; ``value`` is what they hold, made once for each task."""
+
+    def __init__(self, sent: Broadcast) -> None:
+        self.sent, self.made = sent, None
+
+    @property
+    def value(self):
+        if self.made is None:
+            self.made = cloudpickle.loads(self.sent.value)
+        return self.made
+
+    def unpersist(self) -> None:
+        self.sent.unpersist()
+
+    def __getstate__(self) -> dict:
+        return {"sent": self.sent, "made": None}
+
+
+def carried(spark: SparkSession, value: object) -> Carried:
+    """value as a broadcast that executors without this package can read: its classes travel within it, by value."""
+    return Carried(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -115,6 +139,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def as_texts(column: pa.Array) -> list[str]:
+    """Texts of a string column; null counts as empty, bytes that aren't UTF-8 as U+FFFD."""
+    return [b.decode("utf-8", "replace") for b in as_bytes(column)]
+
+
 def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about ``size`` bytes together."""
     first, total = 0, 0

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import free, unclashing
+from driftloom.llm.common import as_texts, carried, free, unclashing
 
 #: Hashed n-grams; centroids of a language; rows of each language that k-means sees, about; its rounds.
 DIMS, CLUSTERS, SAMPLE, ROUNDS = 8192, 3, 600, 8
@@ -89,7 +89,7 @@ def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def grouped(column: pa.Array) -> Iterator[list[str]]:
-    texts = [t or "" for t in column.to_pylist()]
+    texts = as_texts(column)
     first, total = 0, 0
     for k, t in enumerate(texts):
         total += len(t)
@@ -219,7 +219,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", prefix: st
     kept = docs.columns
     names = [f"{prefix}{n}" for n in ("lang_pred", "score", "rejected")]
     unclashing(docs, *names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = carried(docs.sparkSession, model)
     rows, at = docs.select("*", F.col(text_col).cast("string").alias(*free(docs, "_text"))), len(docs.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

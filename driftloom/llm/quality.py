@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, folded, free, labelled, unclashing, written
+from driftloom.llm.common import CHUNK, Hasher, as_bytes, carried, chunks, folded, free, labelled, unclashing, written
 
 #: Slots for words; factors; labelled rows that teach, about; passes over them.
 WORDS, FACTORS, SAMPLE, EPOCHS = 1 << 16, 8, 12_000, 12
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, machine: Machine, text_col: str = "text", size_col:
     """Every row with all its columns and its score (behind ``prefix``). Nothing is shuffled; the machine's size is fixed."""
     name, kept = f"{prefix}score", docs.columns
     unclashing(docs, name)
-    shared, at = docs.sparkSession.sparkContext.broadcast(machine), len(kept)
+    shared, at = carried(docs.sparkSession, machine), len(kept)
     text, size = free(docs, "_text", "_size")
     rows = docs.select("*", F.col(text_col).cast("string").alias(text), F.col(size_col).cast("double").alias(size))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, Words, as_bytes, chunks, written
+from driftloom.llm.common import CHUNK, Hasher, Words, as_bytes, carried, chunks, written
 
 #: Words predicted one by one and classes of these, at least (both grow with the vocabulary); forms of the others.
 SHORT, CLASSES, KINDS = 1000, 32, 36
@@ -358,7 +358,7 @@ def taught(lessons: DataFrame, unit: Unit, tokens: int) -> int:
     tasks = min(groups, max(TASKS, spark.sparkContext.defaultParallelism))
     total = 0
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast(unit)
+        shared = carried(spark, unit)
 
         def learn(batches: Iterable[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             start = shared.value.flat()
@@ -435,7 +435,7 @@ def likelihoods(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     by_hash = np.argsort(h)
     table = spark.sparkContext.broadcast((h[by_hash], c[by_hash]))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = carried(spark, vocabulary)
 
     def encoded(hasher: Hasher, texts: list[bytes], voc: Vocabulary):
         w = hasher.words([t.lower() for t in texts])
@@ -455,7 +455,7 @@ def likelihoods(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     if n:
         slot = F.xxhash64(F.col("_id").cast("string"), F.lit(5)).alias("_slot")
         taught(written(teach.select(slot, "_text").mapInArrow(lessons, "_slot long, _ids binary")), unit, n)
-    ready = spark.sparkContext.broadcast(unit)
+    ready = carried(spark, unit)
     whole = np.log10(n + v + 1.0)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ The score comes from words and their beginnings (features hashed to 64 bits). Ea
 the log ratio of its document frequencies in toxic and other labelled texts, where that differs from 0
 by ``SURE`` standard errors. A word's weight is its largest; a text's evidence is the number, the
 summed weight and the share of its weighted words, in the text as it stands and in restored words; a
-logistic regression turns that into the score. It is fitted on evidence by weights from the other half of
+logistic regression turns that into the score. It is fitted on evidence by weights from the other nine tenths of
 the sample, so that no text judges itself. The sample is at most about ``SAMPLE`` labelled rows.
 
 Null and empty texts, and texts without a word, get the score of no evidence. Rows without a label,
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import CHUNK, Hasher, as_bytes, chunks, free, labelled, unclashing
+from driftloom.llm.common import CHUNK, Hasher, as_bytes, carried, chunks, free, labelled, unclashing
 
 #: Letters that a sign may stand for.
 RESEMBLES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -39,7 +39,7 @@ SEPARATORS = " .-_*"
 #: log-probabilities of the channel: a sign for a letter, a sign for itself, a repeated letter dropped or kept, a separator dropped.
 SIGN, ITSELF, DROPPED, KEPT, CLOSED = log(0.3), log(0.002), log(0.5), log(0.2), log(0.5)
 SYMBOLS = 64  # of the character model: 0 the gap, a-z, other letters by hash
-SAMPLE, SURE, SUPPORT = 20_000, 3.5, 3  # labelled rows, standard errors, fewest toxic texts with a feature
+SAMPLE, SURE, SUPPORT, FOLDS = 20_000, 3.5, 3, 10  # labelled rows, standard errors, fewest toxic texts with a feature, parts of the sample
 LENGTHS = (4, 5, 6, 7, 8, 10)  # bytes of a word's beginning that are features
 #: Restored stretches remembered by a task, and the longest that is.
 MEMORY, LONGEST = 100_000, 200
@@ -288,17 +288,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
     spark = docs.sparkSession
     own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     chars = character_model(own.where(learn))
-    shared = spark.sparkContext.broadcast(chars)
-    half = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(2)).cast("int")
-    sample = labelled(own, labels, label_col, learn, bound, id_col).select("_text", "_label", half.alias("_half"))
+    shared = carried(spark, chars)
+    fold = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(11)), F.lit(FOLDS)).cast("int")
+    sample = labelled(own, labels, label_col, learn, bound, id_col).select("_text", "_label", fold.alias("_fold"))
 
     def counted(only: np.ndarray | None):
-        """A mapInArrow function: document frequencies of features by half; of all features, or of the sorted ``only``."""
+        """A mapInArrow function: document frequencies of features by fold; of all features, or of the sorted ``only``."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             evidence, wanted = Evidence(Decoder(shared.value)), only.value if only is not None else None
             for b in batches:
-                texts, halves = as_bytes(b.column(0)), b.column(1).to_numpy()
+                texts, folds = as_bytes(b.column(0)), b.column(1).to_numpy()
                 pairs = []
                 for first, last in chunks(texts, CHUNK):
                     kinds, of, _ = evidence.features(texts[first:last], evidence.restored(texts[first:last]))
@@ -309,41 +309,43 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "tox
                         hit = wanted[at] == h if len(wanted) else np.zeros(len(h), bool)
                         h, d = h[hit], d[hit]
                     each = np.unique(np.stack([h, d.astype(np.uint64)], axis=1), axis=0)
-                    pairs.append(np.stack([each[:, 0], halves[first + each[:, 1].astype(int)].astype(np.uint64)], axis=1))
+                    pairs.append(np.stack([each[:, 0], folds[first + each[:, 1].astype(int)].astype(np.uint64)], axis=1))
                 names, n = np.unique(np.concatenate(pairs), axis=0, return_counts=True) if pairs else (np.zeros((0, 2), np.uint64), [])
-                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].view(np.int64), pa.int64()), pa.array(names[:, 1].astype(np.int32), pa.int32()), pa.array(n, pa.int64())], ["_name", "_half", "_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[:, 0].view(np.int64), pa.int64()), pa.array(names[:, 1].astype(np.int32), pa.int32()), pa.array(n, pa.int64())], ["_name", "_fold", "_n"])
 
         return run
 
-    sums = [F.sum(F.when(F.col("_half") == k, F.col("_n")).otherwise(0)).alias(f"_{k}") for k in (0, 1)]
-    toxic = sample.where("_label = 1").select("_text", "_half").mapInArrow(counted(None), "_name long, _half int, _n long").groupBy("_name").agg(*sums).where(F.col("_0") + F.col("_1") >= SUPPORT)
-    seen = {r._name: (r._0, r._1) for r in toxic.collect()}  # bounded by the sample
+    sums = [F.sum(F.when(F.col("_fold") == k, F.col("_n")).otherwise(0)).alias(f"_{k}") for k in range(FOLDS)]
+    toxic = sample.where("_label = 1").select("_text", "_fold").mapInArrow(counted(None), "_name long, _fold int, _n long").groupBy("_name").agg(*sums).where(F.expr(" + ".join(f"_{k}" for k in range(FOLDS))) >= SUPPORT)
+    seen = {r._name: r[1:] for r in toxic.collect()}  # bounded by the sample
     names = np.sort(np.array(list(seen), np.int64).view(np.uint64))
-    t = np.array([seen[int(x)] for x in names.view(np.int64)], float).reshape(-1, 2)
+    t = np.array([seen[int(x)] for x in names.view(np.int64)], float).reshape(-1, FOLDS)
     o = np.zeros_like(t)
     wanted = spark.sparkContext.broadcast(names)
-    for r in sample.where("_label = 0").select("_text", "_half").mapInArrow(counted(wanted), "_name long, _half int, _n long").groupBy("_name").agg(*sums).collect():
-        o[np.searchsorted(names, np.uint64(r._name & (2**64 - 1)))] = (r._0, r._1)
-    sizes = {(r._label, r._half): r.n for r in sample.groupBy("_label", "_half").agg(F.count("*").alias("n")).collect()}
+    for r in sample.where("_label = 0").select("_text", "_fold").mapInArrow(counted(wanted), "_name long, _fold int, _n long").groupBy("_name").agg(*sums).collect():
+        o[np.searchsorted(names, np.uint64(r._name & (2**64 - 1)))] = r[1:]
+    sizes = {(r._label, r._fold): r.n for r in sample.groupBy("_label", "_fold").agg(F.count("*").alias("n")).collect()}
     n = lambda label, h: sizes.get((label, h), 0)
-    by_half = [weights_of(t[:, 1 - h], o[:, 1 - h], n(1, 1 - h), n(0, 1 - h)) for h in (0, 1)]  # for texts of half h: from the other
-    weights = weights_of(t.sum(axis=1), o.sum(axis=1), n(1, 0) + n(1, 1), n(0, 0) + n(0, 1))
-    cross = spark.sparkContext.broadcast((names, by_half))
+    every = [sum(n(label, h) for h in range(FOLDS)) for label in (0, 1)]
+    whole = t.sum(axis=1), o.sum(axis=1)
+    by_fold = [weights_of(whole[0] - t[:, h], whole[1] - o[:, h], every[1] - n(1, h), every[0] - n(0, h)) for h in range(FOLDS)]  # for texts of fold h: from the others
+    weights = weights_of(*whole, every[1], every[0])
+    cross = spark.sparkContext.broadcast((names, by_fold))
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence, (known, each) = Evidence(Decoder(shared.value)), cross.value
         for b in batches:
-            texts, halves = as_bytes(b.column(0)), b.column(2).to_numpy()
+            texts, folds = as_bytes(b.column(0)), b.column(2).to_numpy()
             x = np.zeros((len(texts), 7))
-            for h in (0, 1):
-                rows = np.flatnonzero(halves == h)
+            for h in range(FOLDS):
+                rows = np.flatnonzero(folds == h)
                 mine = [texts[r] for r in rows]
                 keep = each[h] > 0
                 for first, last in chunks(mine, CHUNK):
                     x[rows[first:last]] = evidence.weigh(mine[first:last], known[keep], each[h][keep], evidence.restored(mine[first:last]))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["_label", "_x"])
 
-    rows = sample.select("_text", "_label", "_half").mapInArrow(judged, "_label int, _x array<double>").collect()  # bounded by the sample
+    rows = sample.select("_text", "_label", "_fold").mapInArrow(judged, "_label int, _x array<double>").collect()  # bounded by the sample
     rows.sort()
     y = np.array([r._label for r in rows], float)
     if len(y) < 2 or y.min() == y.max():
@@ -358,7 +360,7 @@ def scored(docs: DataFrame, score: Score, text_col: str = "text", prefix: str =
     """Every row with all its columns, its score and its restored stretches (names behind ``prefix``). Nothing is shuffled."""
     names, kept = [f"{prefix}score", f"{prefix}restored"], docs.columns
     unclashing(docs, *names)
-    shared, at = docs.sparkSession.sparkContext.broadcast(score), len(kept)
+    shared, at = carried(docs.sparkSession, score), len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
