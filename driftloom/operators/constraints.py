@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.paths import ascii_lower
+from driftloom.sources.stages import staged
 
 
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
@@ -62,6 +63,29 @@ def over_quota(usage: DataFrame, limits: dict[str, int]) -> DataFrame:
     return usage.select(F.explode(pairs).alias("_x")).select("_x.*").withColumn("exceeded", F.col("observed") > F.col("quota"))
 
 
+def first_crossings(rows: DataFrame, ceilings: dict[str, int], *order: str, each: int = 100_000) -> DataFrame:
+    """resource, the columns of ``order``, observed, quota: for each amount column with a ceiling, the first row in that order at which the running sum exceeds it.
+
+    Amounts aren't negative; null counts as 0. A resource that stays below its ceiling has no row. ``order`` should
+    tell all rows apart; of rows that it doesn't, any may be named. The running sum needs no window over all rows:
+    rows are dealt by ranges of the order, each range adds up its amounts, and only the range in which a ceiling is
+    crossed is scanned row by row, from the sum of the ranges before it. Totals are one row a range.
+    """
+    kept = rows.select(*order, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ceilings])
+    parts = max(1, -(-rows.count() // each))
+    dealt = staged(kept.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in ceilings])
+    pairs = F.array(*[F.struct(F.lit(c).alias("resource"), F.col(c).alias("_sum"), F.lit(q).cast("long").alias("quota")) for c, q in ceilings.items()])
+    upto = Window.partitionBy("resource").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = totals.select("_part", F.explode(pairs).alias("_x")).select("_part", "_x.*").withColumn("_upto", F.sum("_sum").over(upto))
+    crossed = ranges.where((F.col("_upto") > F.col("quota")) & (F.col("_upto") - F.col("_sum") <= F.col("quota"))).select("_part", "resource", "quota", (F.col("_upto") - F.col("_sum")).alias("_before"))
+    amount = F.coalesce(*[F.when(F.col("resource") == c, F.col(c)) for c in ceilings])
+    running = F.col("_before") + F.sum(amount).over(Window.partitionBy("resource").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    scanned = dealt.join(crossed, "_part").select("resource", *order, "quota", running.alias("observed")).where("observed > quota")
+    first = scanned.groupBy("resource").agg(F.min(F.struct(F.col("observed"), *order)).alias("_x"), F.first("quota").alias("quota"))
+    return first.select("resource", *[F.col(f"_x.{c}").alias(c) for c in order], "_x.observed", "quota")
+
+
 def field_faults(items: DataFrame, rules: DataFrame) -> DataFrame:
     """item_id, field, fault of items (item_id, kind, fields array<string>) against rules (kind, field, presence: required or forbidden)."""
     met = items.join(rules, "kind").withColumn("_there", F.array_contains("fields", F.col("field")))

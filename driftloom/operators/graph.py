@@ -11,7 +11,7 @@ from driftloom.sources.stages import staged
 
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """root, node, depth, path (names joined by slashes) of everything below the roots; a node that repeats on its own path ends there.
+    """root, node, depth, path (names joined by slashes), seen (the same names as an array) of everything below the roots; a node that repeats on its own path ends there.
 
     Each round is one join of the last round's rows, staged, until none are left: a chain may be of any length.
     The visited nodes travel with each row.
@@ -24,21 +24,22 @@ def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
         if step.isEmpty():
             break
         out.append(step)
-    return reduce(DataFrame.unionByName, out).select("root", "node", "depth", F.array_join("_seen", "/").alias("path"))
+    return reduce(DataFrame.unionByName, out).select("root", "node", "depth", F.array_join("_seen", "/").alias("path"), F.col("_seen").alias("seen"))
 
 
 def cycles(edges: DataFrame, walk: DataFrame) -> DataFrame:
-    """Edges that lead back to a node above their parent."""
-    on_path = walk.select(F.col("node").alias("parent"), F.split("path", "/").alias("_visited"))
+    """Edges that lead back to a node above their parent, or to it. Names may hold any characters."""
+    on_path = walk.select(F.col("node").alias("parent"), F.col("seen").alias("_visited"))
     return edges.join(on_path, "parent").where(F.array_contains("_visited", F.col("child"))).select("parent", "child").distinct()
 
 
 def wanted(nodes: DataFrame, required: DataFrame) -> DataFrame:
-    """Nodes (path) that are a required path, above one, or below one."""
+    """Nodes (path) that are a required path, above one, or below one. path: names joined by slashes, or an array of names that may hold slashes."""
+    whole = dict(nodes.dtypes)["path"].startswith("array")
+    tops = lambda c: F.transform(F.sequence(F.lit(1), F.size(c if whole else F.split(c, "/"))), lambda k: F.slice(c, F.lit(1), k) if whole else F.array_join(F.slice(F.split(c, "/"), F.lit(1), k), "/"))
     need = required.select(F.col("path").alias("_need")).distinct()
-    split = lambda c: F.split(c, "/")
-    above = need.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(split("_need"))), lambda k: F.array_join(F.slice(split("_need"), 1, k), "/"))).alias("path")).distinct()
-    below = nodes.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(split("path"))), lambda k: F.array_join(F.slice(split("path"), 1, k), "/"))).alias("_need")).join(need, "_need", "left_semi").select("path")
+    above = need.select(F.explode(tops(F.col("_need"))).alias("path")).distinct()
+    below = nodes.select("path", F.explode(tops(F.col("path"))).alias("_need")).join(need, "_need", "left_semi").select("path")
     return nodes.join(above.unionByName(below).distinct(), "path", "left_semi")
 
 

@@ -16,19 +16,34 @@ from pyspark.sql import functions as F
 SHAPE = "path string, modules array<string>, pos int, kind string, name string, visibility string, declaration string, fault string"
 #: Keywords of item heads and the kinds that they declare.
 KINDS = {"fn": "function", "struct": "struct", "enum": "enum", "union": "union", "trait": "trait", "type": "type_alias", "const": "constant", "static": "static", "mod": "module", "use": "reexport", "impl": "impl", "macro_rules": "macro", "extern": "extern_crate"}
-SKIP = re.compile(r'//[^\n]*|/\*.*?\*/|b?r(#*)".*?"\1|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\'', re.S)
-HEAD = re.compile(r"\s*(?:#!?\[[^\]]*\]\s*)*(pub(?:\s*\([^)]*\))?\s+)?((?:(?:default|const|async|unsafe|extern\s*\"[^\"]*\")\s+)*?)(fn|struct|enum|union|trait|type|const|static|mod|use|impl|macro_rules|extern)\b(?:\s*!)?\s*", re.S)
-
-
-def blank(m: re.Match) -> str:
-    return " " if m[0].startswith("/") else '""' if '"' in m[0] else "' '"
+SKIP = re.compile(r'//[^\n]*|/\*|extern\s*"[^"]*"|b?r(#*)".*?"\1|b?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\[^\n][^\'\n]*)\'', re.S)
+HEAD = re.compile(r"\s*(?:#!?\[[^\]]*\]\s*)*(pub(?:\s*\([^)]*\))?\s+)?((?:(?:default|const|async|unsafe|extern(?:\s*\"[^\"]*\")?)\s+)*)(fn|struct|enum|union|trait|type|const(?=\s+\w+\s*:)|static(?=\s+(?:mut\s+)?\w+\s*:)|mod|use|impl|macro_rules|extern(?=\s+crate\b))\b(?:\s*!)?\s*", re.S)
+EDGE, REST = re.compile(r"/\*|\*/"), re.compile(r"\s*")
+
+
+def blanked(text: str) -> str:
+    """The text with comments as a space and literals without their contents; the ABI of an extern stays. ValueError if a comment doesn't end."""
+    out, at = [], 0
+    while m := SKIP.search(text, at):
+        out.append(text[at : m.start()])
+        at = m.end()
+        if m[0] == "/*":
+            depth = 1
+            while depth:
+                edge = EDGE.search(text, at)
+                if not edge:
+                    raise ValueError("unfinished comment")
+                depth += 1 if edge[0] == "/*" else -1
+                at = edge.end()
+        out.append(" " if m[0].startswith("/") else m[0] if m[0].startswith("extern") else '""' if '"' in m[0] else "' '")
+    return "".join([*out, text[at:]])
 
 
 def items(text: str, modules: tuple[str, ...] = ()) -> Iterator[tuple]:
     """(modules, kind, name, visibility, declaration without bodies of functions and modules, fault) in order."""
     at = 0
     while at < len(text):
-        if not text[at:].strip():
+        if REST.match(text, at).end() == len(text):
             return
         m = HEAD.match(text, at)
         if not m:
@@ -53,6 +68,8 @@ def items(text: str, modules: tuple[str, ...] = ()) -> Iterator[tuple]:
             yield (list(modules), None, None, None, None, "unbalanced brackets")
             return
         head = text[m.end() : body if body is not None else end]
+        if m[3] == "extern":
+            head = head.removeprefix("crate").lstrip()
         named = re.match(r"mut\s+(\w+)|(\w+)", head)
         name = " ".join(head.split()) if m[3] in ("impl", "use") else (named[1] or named[2]) if named else None
         visibility = " ".join((m[1] or "private").split())
@@ -87,9 +104,10 @@ def declared(sources: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(b.path, b.content, strict=True):
                 try:
-                    found = list(items(SKIP.sub(blank, (content or b"").decode("utf-8"))))
-                except UnicodeDecodeError:
-                    found = [([], None, None, None, None, "invalid UTF-8")]
+                    found = list(items(blanked((content or b"").decode("utf-8"))))
+                except (ValueError, RecursionError) as e:
+                    fault = "invalid UTF-8" if isinstance(e, UnicodeDecodeError) else "too deep" if isinstance(e, RecursionError) else str(e)
+                    found = [([], None, None, None, None, fault)]
                 rows += [(path, m, k, *rest) for k, (m, *rest) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "modules", "pos", "kind", "name", "visibility", "declaration", "fault"])
 

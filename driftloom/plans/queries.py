@@ -146,6 +146,19 @@ def quota_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return constraints.over_quota(usage, {"bytes": 512 << 20, "entries": 10_000, "largest": 64 << 20, "lines": 1_000_000})
 
 
+@query("""WITH d AS (SELECT doc_id, strlen(text) AS bytes, 1 AS entries, len(string_split(text, chr(10))) AS lines FROM documents),
+q AS (SELECT 'bytes' AS resource, sum(bytes) // 3 AS quota FROM d UNION ALL SELECT 'entries', 200 UNION ALL SELECT 'lines', sum(lines) // 2 FROM d UNION ALL SELECT 'none', sum(bytes) FROM d),
+r AS (SELECT doc_id, sum(bytes) OVER w AS bytes, sum(entries) OVER w AS entries, sum(lines) OVER w AS lines, sum(bytes) OVER w AS "none" FROM d WINDOW w AS (ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT doc_id, unnest([{'resource': 'bytes', 'observed': bytes}, {'resource': 'entries', 'observed': entries}, {'resource': 'lines', 'observed': lines}, {'resource': 'none', 'observed': "none"}], recursive := true) FROM r)
+SELECT x.resource, min(doc_id) AS doc_id, min(observed)::BIGINT AS observed, quota::BIGINT AS quota FROM x JOIN q ON x.resource = q.resource WHERE observed > quota GROUP BY x.resource, quota""")
+def quota_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("text").cast("long")
+    docs = load(spark, sf_dir, "documents").select("doc_id", size.alias("bytes"), F.lit(1).cast("long").alias("entries"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"), size.alias("none"))
+    whole = docs.agg(F.sum("bytes").alias("bytes"), F.sum("lines").alias("lines")).first()
+    ceilings = {"bytes": (whole.bytes or 0) // 3, "entries": 200, "lines": (whole.lines or 0) // 2, "none": whole.bytes or 0}
+    return constraints.first_crossings(docs, ceilings, "doc_id")
+
+
 @query(f"""WITH {SNIPPETS}, seeds AS (SELECT doc_id AS snippet_id, lines[3:4] AS fresh FROM l WHERE doc_id % 5 = 0 AND len(lines) >= 4),
 r AS (SELECT k.snippet_id, fresh IS NOT NULL AS linked, fresh IS NOT NULL AND fresh <> code AS changed, coalesce(fresh, code) AS c FROM k LEFT JOIN seeds USING (snippet_id))
 SELECT snippet_id, linked, changed, sha256(array_to_string(c, chr(10))) AS code_digest FROM r""")
@@ -443,7 +456,7 @@ UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey, 2, 'r' || n_regionkey ||
 
 @query(CLOSURE)
 def module_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(*hierarchy(spark, sf_dir))
+    return graph.closure(*hierarchy(spark, sf_dir)).drop("seen")
 
 
 @query(f"""WITH w AS ({CLOSURE}), need AS (SELECT path FROM w WHERE node IN ('n3', 's7'))
@@ -505,10 +518,10 @@ def seed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- contract rules ----------------------------------------------------------------------------------
 
 RULES = """
-l AS (SELECT *, CASE WHEN l_suppkey % 71 = 0 THEN 'dup' || l_suppkey ELSE l_orderkey || ':' || l_linenumber || ':' || l_partkey END AS sid, ['f0.rs', 'f1.rs', 'f2.txt', 'f3.rs'][l_partkey % 4 + 1] AS p, 'c' || l_orderkey % 100 AS cf FROM lineitem WHERE l_linenumber <= 3),
+l AS (SELECT *, CASE WHEN l_suppkey % 71 = 0 THEN 'dup' || l_suppkey ELSE l_orderkey || ':' || l_linenumber || ':' || l_partkey END AS sid, ['f0.rs', 'f1.rs', 'f2.txt', 'f3.rs'][l_partkey % 4 + 1] AS p, 'c' || l_orderkey % 100 AS cf FROM lineitem),
 d AS (SELECT 'c' || o_orderkey % 100 AS cf, o_orderkey AS di, CASE WHEN o_orderkey % 97 = 0 THEN ' ' ELSE 'src' END AS root, ['f0.rs', 'f1.rs', CASE WHEN o_orderkey % 50 = 0 THEN 'f0.rs' ELSE 'f2.txt' END] AS files, CASE WHEN o_orderkey % 41 = 0 THEN 'version' END AS fault FROM orders),
 s AS (SELECT sid, cf, l_orderkey AS di, p, CASE WHEN l_partkey % 29 = 0 THEN 0 ELSE 1 END AS lines, 's' || l_linenumber AS linked, l_returnflag AS kind FROM l),
-g AS (SELECT CASE WHEN l_partkey % 31 = 0 THEN 's1' ELSE 's' || l_linenumber END AS label, cf, l_orderkey AS di, CASE WHEN l_suppkey % 19 <> 0 THEN sid || CASE WHEN l_suppkey % 23 = 0 THEN '?' ELSE '' END END AS sketch, CASE WHEN l_suppkey % 37 = 0 THEN 'f0.rs' ELSE p END AS file, CASE WHEN l_suppkey % 43 = 0 THEN 'z' ELSE l_returnflag END AS kind FROM l WHERE l_quantity > 10),
+g AS (SELECT CASE WHEN l_partkey % 31 = 0 THEN 's1' ELSE 's' || l_linenumber END AS label, cf, l_orderkey AS di, CASE WHEN l_suppkey % 19 <> 0 THEN sid || CASE WHEN l_suppkey % 23 = 0 THEN '?' ELSE '' END END AS sketch, CASE WHEN l_suppkey % 37 = 0 THEN 'f0.rs' ELSE p END AS file, CASE WHEN l_suppkey % 43 = 0 THEN 'z' ELSE l_returnflag END AS kind FROM l),
 f AS (SELECT DISTINCT cf, di, unnest(files) AS file FROM d WHERE fault IS NULL),
 m AS (SELECT s.*, g.label, g.file, g.kind AS gk FROM g JOIN s ON g.cf = s.cf AND g.di = s.di AND g.sketch = s.sid),
 v AS (
@@ -533,13 +546,13 @@ def rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     place = lambda k: [F.concat(F.lit("c"), c(k) % 100).alias("contract_file"), c(k).alias("document_index")]
     files = F.array(F.lit("f0.rs"), F.lit("f1.rs"), F.when(c("o_orderkey") % 50 == 0, "f0.rs").otherwise("f2.txt"))
     docs = o.select(*place("o_orderkey"), F.when(c("o_orderkey") % 97 == 0, " ").otherwise("src").alias("root"), files.alias("files"), F.when(c("o_orderkey") % 41 == 0, "version").alias("fault"))
-    lines = load(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    lines = load(spark, sf_dir, "lineitem")
     sid = F.when(c("l_suppkey") % 71 == 0, F.concat(F.lit("dup"), "l_suppkey")).otherwise(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey"))
     path = F.element_at(F.array(*[F.lit(x) for x in ("f0.rs", "f1.rs", "f2.txt", "f3.rs")]), (c("l_partkey") % 4 + 1).cast("int"))
     own = F.concat(F.lit("s"), "l_linenumber")
     sketches = lines.select(sid.alias("snippet_id"), *place("l_orderkey"), path.alias("path"), F.when(c("l_partkey") % 29 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("x"))).alias("code"), own.alias("linked_signature"), c("l_returnflag").alias("signature_type"))
     named = F.when(c("l_suppkey") % 19 != 0, F.concat(sid, F.when(c("l_suppkey") % 23 == 0, "?").otherwise("")))
-    given = lines.where("l_quantity > 10").select(
+    given = lines.select(
         F.when(c("l_partkey") % 31 == 0, "s1").otherwise(own).alias("label"), *place("l_orderkey"), named.alias("sketch"),
         F.when(c("l_suppkey") % 37 == 0, "f0.rs").otherwise(path).alias("file"), F.when(c("l_suppkey") % 43 == 0, "z").otherwise(c("l_returnflag")).alias("signature_type"),
     )
@@ -597,10 +610,11 @@ def document_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(c("o_orderkey").alias("document_index"), signatures.scoped_id(F.concat(F.lit("c"), c("o_orderkey") % 7), c("o_orderkey"), c("o_orderstatus")).alias("scoped"), context.alias("context"))
 
 
-@query("SELECT doc_id, CASE WHEN 3 + doc_id % 40 <= strlen(text) THEN substr(text, 4, (doc_id % 40)::INTEGER) END AS slice FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("SELECT doc_id, CASE WHEN 3 + doc_id % 40 <= strlen(text) THEN lower(substr(hex(encode(text)), 7, 2 * (doc_id % 40)::INTEGER)) END AS slice FROM documents")
 def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return docs.select("doc_id", signatures.text_slice(F.col("text"), F.lit(3), (3 + F.col("doc_id") % 40).cast("int")).alias("slice"))
+    text = contents.text_of(F.encode("text", "UTF-8"))
+    piece = signatures.text_slice(text, F.lit(3), (3 + F.col("doc_id") % 40).cast("int"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(contents.bytes_of(piece))).alias("slice"))
 
 
 @query(f"""WITH {SNIPPETS}, seeds AS (SELECT doc_id AS snippet_id, lines[3:4] AS fresh FROM l WHERE doc_id % 5 = 0 AND len(lines) >= 4),

@@ -19,7 +19,7 @@ def entries(text: str | None) -> list[tuple]:
     """(path, content) pairs of one catalog in order, equal keys included; None if it isn't one."""
     try:
         found = json.loads(text or "", object_pairs_hook=list)
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested too deeply
         return None
     if (text or "").lstrip().startswith("["):
         found = [tuple(dict(x).get(k) for k in ("path", "content")) if isinstance(x, list) and len(x) == 2 else (None, None) for x in found]

@@ -19,6 +19,7 @@ from driftloom.functions.paths import root_documents
 #: Fields of a document, and of an entry below a label.
 ROOT_FIELDS = ("contract_version", "root", "files", "extraction", "signatures", "sketches")
 SKETCH_FIELDS = ("id", "file", "linked_signature", "signature_type", "normalization", "occurrence", "code")
+OCCURRENCES = ("at_least_one", "exactly_one")
 #: Most documents, nodes and levels of one stream.
 DOCUMENTS, NODES, DEPTH = 1024, 1_000_000, 128
 SHAPE = (
@@ -46,6 +47,8 @@ def parse(content: bytes) -> list[dict]:
             return node
 
         def construct_mapping(self, node, deep=False):
+            if not all(isinstance(k, yaml.ScalarNode) for k, _ in node.value):
+                raise ValueError("shape")
             keys = [k.value for k, _ in node.value]
             if "<<" in keys:
                 raise ValueError("merge_key")
@@ -58,14 +61,21 @@ def parse(content: bytes) -> list[dict]:
 
     Strict.add_implicit_resolver("tag:yaml.org,2002:bool", re.compile("^(?:true|false)$"), list("tf"))
 
+    def typed(value, kind):
+        if value is not None and (not isinstance(value, kind) or kind is int and isinstance(value, bool)):
+            raise ValueError("shape")
+        return value
+
     def labelled(items, known):
-        for item in items or []:
+        for item in typed(items, list) or []:
             if not isinstance(item, dict) or len(item) != 1:
                 raise ValueError("one_entry_map")
             (label, body), = item.items()
-            if known and isinstance(body, dict) and set(body) - set(known):
+            if known and set(typed(body, dict) or ()) - set(known):
                 raise ValueError("unknown_field")
-            yield str(label), body or {}
+            if (typed(body, dict) or {}).get("occurrence") not in (None, *OCCURRENCES):
+                raise ValueError("shape")
+            yield typed(label, str), body or {}
 
     out: list[dict] = []
     blank = {"version": None, "root": None, "files": None, "signatures": None, "sketches": None}
@@ -79,17 +89,18 @@ def parse(content: bytes) -> list[dict]:
                     raise ValueError("empty_document")
                 if set(doc) - set(ROOT_FIELDS):
                     raise ValueError("unknown_field")
-                text = lambda b, k: None if b.get(k) is None else str(b[k])
+                text = lambda b, k: typed(b.get(k), str)
+                version, files = typed(doc.get("contract_version"), int), typed(doc.get("files"), list) or []
                 out.append({
-                    "document_index": index, "version": doc.get("contract_version"), "root": text(doc, "root"), "files": [str(x) for x in doc.get("files") or []],
+                    "document_index": index, "version": version, "root": text(doc, "root"), "files": [text({"": x}, "") for x in files],
                     "signatures": [{"label": label, **{k: text(b, k) for k in ("sketch", "type", "file")}} for label, b in labelled(doc.get("signatures"), None)],
                     "sketches": [{"label": label, **{k: text(b, k) for k in ("id", "file", "linked_signature", "signature_type", "occurrence", "code")}} for label, b in labelled(doc.get("sketches"), SKETCH_FIELDS)],
-                    "fault": None if doc.get("contract_version") == 2 else "version",
+                    "fault": None if version == 2 else "version",
                 })
             except (ValueError, TypeError, AttributeError) as e:
                 out.append({"document_index": index, **blank, "fault": str(e) if str(e) in ("empty_document", "unknown_field", "one_entry_map") else "shape"})
-    except (yaml.YAMLError, UnicodeDecodeError, ValueError) as e:
-        out.append({"document_index": len(out), **blank, "fault": str(e) if str(e) in ("alias", "merge_key", "duplicate_key", "quota") else "syntax"})
+    except (yaml.YAMLError, UnicodeDecodeError, ValueError, RecursionError) as e:
+        out.append({"document_index": len(out), **blank, "fault": str(e) if str(e) in ("alias", "merge_key", "duplicate_key", "quota", "shape") else "syntax"})
     return out or [{"document_index": 0, **blank, "fault": "empty_document"}]
 
 

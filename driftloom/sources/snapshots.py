@@ -62,11 +62,13 @@ def files_of(data: bytes) -> list[tuple[str, bytes]]:
         raise ValueError("too_many_files")
     if any(len(f["bytes"]) > FILE for f in found):
         raise ValueError("too_large")
+    if len({str(f["path"]["value"]) for f in found}) != len(found):
+        raise ValueError("duplicate_path")
     return [(str(f["path"]["value"]), bytes(f["bytes"])) for f in found]
 
 
 #: Codes of a broken archive.
-FAULTS = ("damaged", "trailing_data", "version", "too_large", "too_many_files")
+FAULTS = ("damaged", "trailing_data", "version", "too_large", "too_many_files", "duplicate_path")
 
 
 def decode(archives: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def decode(archives: DataFrame) -> DataFrame:
             for name, data in zip(b.path, b.content, strict=True):
                 try:
                     rows += [(name, p, c, None) for p, c in files_of(data)]
-                except (zlib.error, ValueError, KeyError, TypeError) as e:
+                except (zlib.error, ValueError, KeyError, TypeError, RecursionError) as e:
                     rows.append((name, None, None, str(e) if str(e) in FAULTS else "damaged"))
             yield pd.DataFrame(rows, columns=["archive", "path", "content", "fault"])
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import constraints, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
@@ -192,3 +193,69 @@ def test_names_bytes_and_orders(spark):
     assert {r.path: (r.content, r.changed) for r in signatures.rewritten(docs).collect()} == {"a": ("o", False), "b": ("f", True), "c": ("o", False)}
     seeds = spark.createDataFrame([("b", 0, "1"), ("a", 1, "1"), ("a", 0, "2")], "contract_file string, document_index int, snippet_id string")
     assert [tuple(r) for r in signatures.ordered_seeds(seeds).collect()] == [("a", 0, "2"), ("a", 1, "1"), ("b", 0, "1")]
+
+
+def test_line_offsets_of_long_and_repeated_files(spark):
+    long = spark.range(1).select(F.lit("l").alias("path"), F.array_join(F.array_repeat(F.lit("ab"), 300_000), "\n").alias("text"))
+    found = positions.line_offsets(long)
+    assert found.count() == 300_000 and found.where("first <> 3 * (line - 1) OR bytes <> 2").isEmpty()
+    twice = positions.line_offsets(spark.createDataFrame([("a", "x\n\nyz"), ("a", "x\n\nyz"), ("b", ""), ("c", None)], "path string, text string"))
+    assert sorted(map(tuple, twice.collect())) == sorted(2 * [("a", 1, 0, 1), ("a", 2, 2, 0), ("a", 3, 3, 2)] + [("b", 1, 0, 0)])
+
+
+def test_cycles_of_file_paths(spark):
+    edges = spark.createDataFrame([("src/a.rs", "src/b.rs"), ("src/b.rs", "src/a.rs"), ("src/b.rs", "src/c/d.rs"), ("src/c/d.rs", "src/c/d.rs")], "parent string, child string")
+    walk = graph.closure(spark.createDataFrame([("src/a.rs",)], "node string"), edges)
+    assert {tuple(r) for r in graph.cycles(edges, walk).select("parent", "child").collect()} == {("src/b.rs", "src/a.rs"), ("src/c/d.rs", "src/c/d.rs")}
+    nodes = walk.select(F.col("seen").alias("path"))
+    assert {r.path[-1] for r in graph.wanted(nodes, nodes.where(F.element_at("path", -1) == "src/b.rs")).collect()} == {"src/a.rs", "src/b.rs", "src/c/d.rs"}
+
+
+@pytest.mark.parametrize("each", [1, 3, 1000])
+def test_first_crossings(spark, each):
+    r = random.Random(each)
+    rows = [(f"p{k:03}", k % 3, r.choice([0, 1, 5, None]), r.randrange(40)) for k in range(40)]
+    want = {}
+    for name, at, ceiling in [("a", 2, 20), ("b", 3, 150), ("never", 3, 10**9), ("once", 3, 0)]:
+        total = 0
+        for row in sorted(rows):
+            total += row[at] or 0
+            if total > ceiling:
+                want[name] = (*row[:2], total, ceiling)
+                break
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "path string, part int, a long, b long").withColumns({"never": F.col("b"), "once": F.col("b")})
+    got = constraints.first_crossings(df, {"a": 20, "b": 150, "never": 10**9, "once": 0}, "path", "part", each=each)
+    assert {x.resource: tuple(x)[1:] for x in got.collect()} == want
+    assert constraints.first_crossings(df.limit(0), {"a": 20}, "path").count() == 0
+
+
+HEADS = {
+    "pub const fn f() -> u8 { 1 }": ("function", "f"),
+    "const unsafe fn f() {}": ("function", "f"),
+    'extern "C" fn f(x: u8) {}': ("function", "f"),
+    'pub unsafe extern "system" fn f() {}': ("function", "f"),
+    "extern fn f() {}": ("function", "f"),
+    "async fn f() {}": ("function", "f"),
+    "const X: u8 = { 1 };": ("constant", "X"),
+    "const _: () = ();": ("constant", "_"),
+    "static mut X: [u8; 2] = [1, 2];": ("static", "X"),
+    "extern crate alloc;": ("extern_crate", "alloc"),
+    "/* a /* nested */ comment */ struct T;": ("struct", "T"),
+    "union U { a: u8 }": ("union", "U"),
+    "type T = u8;": ("type_alias", "T"),
+    "macro_rules! m { () => {} }": ("macro", "m"),
+}
+
+
+def test_no_item_vanishes(spark):
+    files = {f"f{k}.rs": head + " pub struct S;" for k, head in enumerate(HEADS)}
+    files |= {"foreign.rs": 'extern "C" { fn g(); } pub struct S;', "open.rs": "/* /* */ struct S;", "bad.rs": "const f() {} struct S;", "deep.rs": "mod a {" * 3000 + "}" * 3000}
+    found = items.declared(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")).collect()
+    per = {p: [(r.kind, r.name) for r in sorted((x for x in found if x.path == p), key=lambda x: x.pos)] for p in files}
+    assert {p: x for p, x in per.items() if p[1:2].isdigit()} == {f"f{k}.rs": [want, ("struct", "S")] for k, want in enumerate(HEADS.values())}
+    assert {r.path for r in found if r.fault} == {"foreign.rs", "open.rs", "bad.rs", "deep.rs"}
+    member = items.declared(spark.createDataFrame([("a.rs", bytearray(b"impl P { pub const fn new() -> Self { P } const N: u8 = 1; }"))], "path string, content binary")).collect()
+    assert [(r.kind, r.name, r.fault) for r in member] == [("impl", "P", None), ("associated_function", "impl P::new", None), ("associated_constant", "impl P::N", None)]
+    two = [r.declaration for r in found if r.path in ("f2.rs", "f3.rs") and r.name == "f"]
+    assert any('"C"' in d for d in two) and any('"system"' in d for d in two)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.plans.check import Refused, check_signatures, check_sketches, contract_violations, inventory_of
-from driftloom.sources import documents, snapshots, trees
+from driftloom.sources import catalogs, documents, snapshots, trees
 from driftloom.streaming import checks
 
 CONTRACT = """contract_version: 2
@@ -130,3 +130,31 @@ def test_changed_members_are_mismatched(spark):
     assert check_signatures(inventory_of(files(old)), files(old.replace(b"{ a }", b"{ 1 }"))).count() == 0
     with pytest.raises(Refused):
         inventory_of(files(b"impl P {"))
+
+
+def test_documents_are_strict(spark):
+    good = b"contract_version: 2\nroot: src\nfiles: [a.rs]\nsignatures:\n- f: {sketch: s, type: fn, file: a.rs, owned: {x: 1}}\nsketches:\n- f: {id: s, file: a.rs, code: x}\n"
+    cases = {
+        "good": (good, None),
+        "files": (good.replace(b"[a.rs]", b"abc"), "shape"),
+        "number": (good.replace(b"[a.rs]", b"[1]"), "shape"),
+        "version": (good.replace(b": 2", b": 2.0"), "shape"),
+        "occurrence": (good.replace(b"code: x", b"code: x, occurrence: many"), "shape"),
+        "code": (good.replace(b"code: x", b"code: [x]"), "shape"),
+        "root": (good.replace(b"root: src", b"root: {a: b}"), "shape"),
+        "body": (good.replace(b"{id: s, file: a.rs, code: x}", b"text"), "shape"),
+        "key": (good + b"? [a, b]\n: c\n", "shape"),
+        "deep": (b"[" * 5000 + b"]" * 5000, "quota"),
+    }
+    rows = documents.documents(spark.createDataFrame([(f"{n}.yml", bytearray(d)) for n, (d, _) in cases.items()], "path string, content binary")).collect()
+    assert {r.contract_file[:-4]: r.fault for r in rows} == {n: f for n, (_, f) in cases.items()}
+
+
+def test_deep_json_and_repeated_paths_are_faults(spark):
+    deep = "[" * 200_000
+    assert [r.fault for r in catalogs.json_catalog(spark.createDataFrame([("a", deep)], "name string, text string")).collect()] == ["syntax"]
+    file = {"path": {"value": "a.rs"}, "bytes": [1]}
+    twice = json.dumps({"version": snapshots.VERSION, "contract_files": [file, file]}).encode()
+    bad = {"deep": deep.encode(), "twice": twice}
+    rows = snapshots.decode(spark.createDataFrame([(n, bytearray(gzip.compress(d))) for n, d in bad.items()], "path string, content binary")).collect()
+    assert {r.archive: r.fault for r in rows} == {"deep": "damaged", "twice": "duplicate_path"}
