@@ -5,13 +5,13 @@ an order of the words or under the reverse order, a root that is the longest Lyn
 so the next smaller suffix of each place, under both orders, gives all runs: the distance to it is the
 period, and how far the two suffixes match tells where the run ends.
 
-Next smaller suffixes are found from right to left along the chain of smaller and smaller suffixes. No
-suffix tree, suffix array or hash is used: what two suffixes have in common follows from matches known
-before. Along the chain a match shorter or longer than the known one of the next link settles the
-comparison without reading a word; otherwise reading goes on where the match ended. And if both places
-come to a pair that was compared before (a place and its next or previous smaller suffix), the known
-match is taken over. A repeated root is such a pair, so a run is read about once, however often its root
-repeats.
+Next smaller suffixes are found from left to right: a stack holds the places that wait for one, and each new
+place is compared with its top until a smaller suffix waits there. No suffix tree, suffix array or hash is
+used: what two suffixes have in common follows from matches known before. Down the stack, a match shorter or
+longer than the one known between the two upper entries settles the comparison without reading a word. Else
+the match that reached furthest is used: its two sides read alike as far as it goes, so a pair behind its
+right side takes over what its copy behind the left side, compared before, has in common. Only from there
+are words read, and a word that agrees beyond that furthest place moves it on.
 
 Words that a stretch holds fewer times than the least exponent lie in no run of it; stretches are cut
 there first, which loses and changes no run.
@@ -37,38 +37,41 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 def lyndon(s: list[int]) -> tuple[list[int], list[int]]:
     """(where each place's next smaller suffix begins, len(s) if none; how many words the two suffixes share)."""
     n = len(s)
-    after, ahead = [n] * (n + 1), [0] * (n + 1)  # next smaller suffix, words shared with it
-    before, behind = [-1] * (n + 1), [0] * (n + 1)  # the place whose previous smaller suffix this is, words shared with it
-    for i in range(n - 1, -1, -1):
-        j, same = i + 1, 0
-        read = j < n
+    after, ahead = [n] * n, [0] * n  # next smaller suffix, words shared with it
+    before, behind = [-1] * n, [0] * n  # previous smaller suffix, words shared with it
+    left = right = end = 0  # the match that reached furthest: s[right:end] reads as s[left:] does
+    for r in range(1, n):
+        k, same, known = r - 1, 0, 0  # k's and r's shared words, at least; k's and the place's above k on the stack
         while True:
-            if read:
-                apart = j - i
-                x, y = i + same, j + same
+            if same == known:
+                if r < end:
+                    copy = r - right + left
+                    upper = k - right + left if k >= right else k
+                    if upper == copy:
+                        same = end - r
+                    elif after[upper] == copy:
+                        same = max(same, min(ahead[upper], end - r))
+                    elif before[copy] == upper:
+                        same = max(same, min(behind[copy], end - r))
+                y = r + same
+                x = k + same
                 while y < n and s[x] == s[y]:
-                    if x > i:
-                        if after[x] == y:
-                            x += ahead[x]
-                            break
-                        if before[y] == x:
-                            x += behind[y]
-                            break
                     x += 1
-                    y = x + apart
-                same = x - i
-            end = j + same
-            if end >= n or s[i + same] > s[end]:
+                    y += 1
+                same = y - r
+                if y > end:
+                    left, right, end = k, r, y
+                smaller = y < n and s[x] < s[y]
+            else:
+                smaller = same > known  # k turned smaller than the place above it before r differed
+                same = min(same, known)
+            if smaller:
+                before[r], behind[r] = k, same
                 break
-            before[j], behind[j] = i, same
-            known, j = ahead[j], after[j]
-            if j == n:
-                same = 0
+            after[k], ahead[k] = r, same
+            known, k = behind[k], before[k]
+            if k < 0:
                 break
-            read = same == known
-            if same > known:
-                same = known
-        after[i], ahead[i] = j, same
     return after, ahead
 
 
