@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.operators.graph import jumps
 from driftloom.sources.stages import staged
 
 
@@ -26,22 +27,31 @@ def resolve(names: DataFrame, declared: DataFrame, imports: DataFrame) -> DataFr
     """names (module, name) with target (module of the declaration) or a fault: unresolved, ambiguous or import_cycle.
 
     A name is declared in its module, or comes from the module that an import (module, name, source, source_name)
-    leads to, and so on: one join a round over the names that are still open, however long their chains.
-    A declaration wins over an import. A walk ends where it meets a place that its name has been to.
+    leads to, and so on. A declaration wins over an import. Where one import leads on, chains of any length are
+    walked by doubled steps (``graph.jumps``); a round of joins is needed only for each place in a row where
+    several imports lead on. A walk ends where it comes back to such a place.
     """
-    places = declared.select(F.col("module").alias("at"), F.col("name").alias("as_name")).distinct()
-    leads = imports.select(F.col("module").alias("at"), F.col("name").alias("as_name"), F.col("source").alias("_at"), F.col("source_name").alias("_as")).distinct()
-    here = F.concat_ws("::", "at", "as_name")
+    place = lambda module, name: F.struct(F.col(module).alias("module"), F.col(name).alias("name"))
     asked = staged(names.select("module", "name").distinct())
-    step = asked.withColumn("at", F.col("module")).withColumn("as_name", F.col("name")).withColumn("_seen", F.array(here))
+    places = staged(declared.select(place("module", "name").alias("at")).distinct())
+    leads = imports.select(place("module", "name").alias("at"), place("source", "source_name").alias("to")).distinct().join(places, "at", "left_anti")
+    leads = staged(leads.join(leads.groupBy("at").agg((F.count("*") > 1).alias("_forks")), "at"))
+    ways = staged(jumps(leads.where("NOT _forks").select("at", "to")).select("at", "end", (F.col("kind") != "ended").alias("_endless")))
+    forks = leads.where("_forks").select(F.col("at").alias("_from"), F.col("to").alias("_to"))
+
+    def led(rows: DataFrame) -> DataFrame:
+        """Rows at the ends of their chains."""
+        out = rows.join(ways, "at", "left").withColumn("at", F.coalesce("end", "at")).withColumn("_cycle", F.coalesce("_endless", F.lit(False)))
+        return staged(out.drop("end", "_endless"))
+
+    step = led(asked.withColumn("at", place("module", "name")).withColumn("_seen", F.array().cast("array<struct<module: string, name: string>>")))
     ends = [asked.where("false").select("module", "name", F.lit(None).cast("string").alias("_target"), F.lit(False).alias("_cycle"))]
     while True:
-        found = step.join(places, ["at", "as_name"], "left_semi").select("module", "name", here.alias("_target"), F.lit(False).alias("_cycle"))
-        there = F.concat_ws("::", "_at", "_as")
-        onward = staged(step.join(places, ["at", "as_name"], "left_anti").join(leads, ["at", "as_name"]).withColumn("_round", F.array_contains("_seen", there)))
-        back = onward.where("_round").select("module", "name", F.lit(None).cast("string").alias("_target"), F.lit(True).alias("_cycle"))
-        ends += [staged(found), back]
-        step = onward.where("NOT _round").select("module", "name", F.col("_at").alias("at"), F.col("_as").alias("as_name"), F.array_append("_seen", there).alias("_seen"))
+        back = F.array_contains("_seen", F.col("at"))
+        ends.append(step.join(places, "at", "left_semi").where("NOT _cycle").select("module", "name", F.concat_ws("::", "at.module", "at.name").alias("_target"), F.lit(False).alias("_cycle")))
+        ends.append(step.where(F.col("_cycle") | back).select("module", "name", F.lit(None).cast("string").alias("_target"), F.lit(True).alias("_cycle")))
+        onward = step.where(~F.col("_cycle") & ~back).join(forks, F.col("at") == F.col("_from"))
+        step = led(onward.select("module", "name", F.col("_to").alias("at"), F.array_append("_seen", F.col("at")).alias("_seen")))
         if step.isEmpty():
             break
     per = asked.join(reduce(DataFrame.unionByName, ends), ["module", "name"], "left").groupBy("module", "name").agg(F.collect_set("_target").alias("_t"), F.coalesce(F.bool_or("_cycle"), F.lit(False)).alias("_c"))

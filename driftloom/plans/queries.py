@@ -670,3 +670,19 @@ def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     imports = lead(F.lit(True), k - 1).unionByName(lead(k % 7 == 0, k - 3)).unionByName(lead(k % 13 == 0, k))
     names = parts.select(module(k).alias("module"), F.lit("x").alias("name"))
     return links.resolve(names, parts.where(k % 10 == 0).select(module(k).alias("module"), F.lit("x").alias("name")), imports)
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS child, CASE WHEN p_partkey % 1500 = 501 THEN p_partkey + 400 WHEN p_partkey % 1500 = 1001 THEN p_partkey - 250 WHEN p_partkey % 7 = 0 AND p_partkey % 500 > 2 THEN p_partkey - 2 ELSE p_partkey - 1 END AS parent FROM part WHERE p_partkey % 1500 <> 1
+UNION SELECT p_partkey, p_partkey - 7 FROM part WHERE p_partkey % 500 = 490),
+s AS (SELECT child FROM e GROUP BY child HAVING count(*) > 1), o AS (SELECT * FROM e WHERE child NOT IN (SELECT child FROM s)),
+w AS (SELECT DISTINCT parent AS node, parent AS top, 0::BIGINT AS depth FROM o WHERE parent NOT IN (SELECT child FROM o) UNION ALL SELECT o.child, w.top, w.depth + 1 FROM w JOIN o ON o.parent = w.node),
+c AS (SELECT child AS node FROM o WHERE child % 1500 = 501 AND child NOT IN (SELECT node FROM w) UNION SELECT o.parent FROM c JOIN o ON o.child = c.node),
+x AS (SELECT o.child AS node, w.top, w.depth, CASE WHEN o.child IN (SELECT node FROM c) THEN 'on_cycle' WHEN w.node IS NULL THEN 'below_cycle' WHEN w.top IN (SELECT child FROM s) THEN 'below_several_parents' END AS fault FROM o LEFT JOIN w ON w.node = o.child)
+SELECT node, CASE WHEN fault IS NULL THEN top END AS top, CASE WHEN fault IS NULL THEN depth END AS depth, fault FROM x UNION ALL SELECT child, NULL, NULL, 'several_parents' FROM s""")
+def module_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of hundreds of modules: every third block of 500 hangs in a circle, the next one below it."""
+    k, n = F.col("p_partkey"), 1500
+    parent = F.when(k % n == 501, k + 400).when(k % n == 1001, k - 250).when((k % 7 == 0) & (k % 500 > 2), k - 2).otherwise(k - 1)
+    parts = load(spark, sf_dir, "part")
+    second = parts.where(k % 500 == 490).select((k - 7).alias("parent"), k.alias("child"))
+    return graph.ancestry(parts.where(k % n != 1).select(parent.alias("parent"), k.alias("child")).unionByName(second))

@@ -259,3 +259,53 @@ def test_no_item_vanishes(spark):
     assert [(r.kind, r.name, r.fault) for r in member] == [("impl", "P", None), ("associated_function", "impl P::new", None), ("associated_constant", "impl P::N", None)]
     two = [r.declaration for r in found if r.path in ("f2.rs", "f3.rs") and r.name == "f"]
     assert any('"C"' in d for d in two) and any('"system"' in d for d in two)
+
+
+def plain_walk(to, at):
+    seen = [at]
+    while seen[-1] in to and len(seen) <= len(to) + 1:
+        seen.append(to[seen[-1]])
+        if seen[-1] == at:
+            return None, None, "on_cycle"
+    return (seen[-1], len(seen) - 1, "ended") if seen[-1] not in to else (None, None, "to_cycle")
+
+
+def test_jumps_equal_walks_step_by_step(spark, monkeypatch):
+    rounds = []
+    real = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: rounds.append(1) or real(df))
+    r = random.Random(4)
+    to = {f"src/chain/{k}.rs": f"src/chain/{k + 1}.rs" for k in range(2000)}
+    to |= {f"src/ring/{k}.rs": f"src/ring/{(k + 1) % 500}.rs" for k in range(500)} | {"hang.rs": "src/ring/7.rs", "self.rs": "self.rs"}
+    to |= {f"r{k}": f"r{r.randrange(400)}" for k in range(300)}
+    found = graph.jumps(spark.createDataFrame(list(to.items()), "at string, to string")).collect()
+    assert {x.at: (x.end, x.hops, x.kind) for x in found} == {at: plain_walk(to, at) for at in to} and len(found) == len(to)
+    assert len(rounds) < 20
+    assert graph.jumps(spark.createDataFrame([(None, "a"), ("a", None)], "at string, to string")).count() == 0
+
+
+def test_ancestry(spark):
+    edges = [("a", "b"), ("a", "b"), ("b", "c"), ("x", "y"), ("z", "y"), ("y", "w"), ("p", "q"), ("q", "p"), ("q", "o")]
+    got = {x.node: (x.top, x.depth, x.fault) for x in graph.ancestry(spark.createDataFrame(edges, "parent string, child string")).collect()}
+    assert got == {"b": ("a", 1, None), "c": ("a", 2, None), "y": (None, None, "several_parents"), "w": (None, None, "below_several_parents"), "p": (None, None, "on_cycle"), "q": (None, None, "on_cycle"), "o": (None, None, "below_cycle")}
+
+
+def test_names_through_forks_and_chains_equal_plain_walks(spark):
+    r = random.Random(9)
+    leads = {(f"m{r.randrange(60)}", f"m{r.randrange(60)}") for _ in range(60)}
+    homes = {f"m{k}" for k in range(0, 60, 9)}
+
+    def plain(at, seen):
+        if at in homes:
+            return {at}, False
+        if at in seen:
+            return set(), True
+        got = [plain(b, seen | {at}) for a, b in leads if a == at]
+        return set().union(*(t for t, _ in got)), any(c for _, c in got)
+
+    want = {}
+    for k in range(60):
+        t, c = plain(f"m{k}", frozenset())
+        want[f"m{k}"] = (f"{min(t)}::x" if len(t) == 1 else None, "ambiguous" if len(t) > 1 else None if t else "import_cycle" if c else "unresolved")
+    rows = links.resolve(*(spark.createDataFrame(x, s) for x, s in (([(f"m{k}", "x") for k in range(60)], "module string, name string"), ([(h, "x") for h in homes], "module string, name string"), ([(a, "x", b, "x") for a, b in leads], "module string, name string, source string, source_name string"))))
+    assert {x.module: (x.target, x.fault) for x in rows.collect()} == want and {f for _, f in want.values()} >= {None, "unresolved", "import_cycle"}
