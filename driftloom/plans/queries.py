@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.functions import contents, paths
-from driftloom.operators import constraints, graph, inventory, links, matching, passages, positions, reconcile, signatures, snippets, violations
+from driftloom.operators import constraints, exports, graph, inventory, links, matching, passages, positions, reconcile, signatures, snippets, violations
 from driftloom.sources import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -686,3 +686,21 @@ def module_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "part")
     second = parts.where(k % 500 == 490).select((k - 7).alias("parent"), k.alias("child"))
     return graph.ancestry(parts.where(k % n != 1).select(parent.alias("parent"), k.alias("child")).unionByName(second))
+
+
+@query("""WITH RECURSIVE d AS (SELECT p_partkey % 90 AS module, p_type AS name, min(p_partkey) AS item FROM part GROUP BY ALL),
+x AS (SELECT p_partkey * 7 % 90 AS module, 'alias ' || p_partkey AS name, p_partkey % 90 + 1 AS source, p_type AS source_name, false AS whole FROM part WHERE p_partkey % 13 = 0
+UNION SELECT p_partkey * 7 % 90, p_type, p_partkey % 90, p_type, false FROM part WHERE p_partkey % 17 = 0
+UNION SELECT s_suppkey, '', s_suppkey // 2, '', true FROM supplier UNION SELECT s_suppkey, '', s_suppkey - 1, '', true FROM supplier WHERE s_suppkey % 25 = 0 UNION SELECT s_suppkey, '', s_suppkey * 2, '', true FROM supplier WHERE s_suppkey % 11 = 0),
+f AS (SELECT module, name FROM d UNION SELECT module, name FROM x WHERE NOT whole),
+w AS (SELECT * FROM d UNION SELECT x.module, CASE WHEN x.whole THEN w.name ELSE x.name END, w.item FROM w JOIN x ON x.source = w.module AND (x.whole OR x.source_name = w.name) LEFT JOIN f ON x.whole AND f.module = x.module AND f.name = w.name WHERE f.name IS NULL),
+g AS (SELECT module, name, min(item) AS low, max(item) AS high FROM w GROUP BY ALL)
+SELECT module, name, CASE WHEN low = high THEN low END AS item, f.name IS NOT NULL AS explicit, CASE WHEN low IS NULL THEN 'unresolved' WHEN low <> high THEN 'conflict' END AS fault FROM g FULL JOIN f USING (module, name)""")
+def export_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are items of 90 modules that take names from each other; suppliers are modules that take whole modules, in circles too."""
+    parts, k, s = load(spark, sf_dir, "part"), F.col("p_partkey"), F.col("s_suppkey")
+    declared = parts.groupBy((k % 90).alias("module"), F.col("p_type").alias("name")).agg(F.min(k).alias("item"))
+    single = lambda where, name, source: parts.where(where).select((k * 7 % 90).alias("module"), name.alias("name"), source.alias("source"), F.col("p_type").alias("source_name"), F.lit(False).alias("glob"))
+    whole = lambda where, source: load(spark, sf_dir, "supplier").where(where).select(s.alias("module"), F.lit("").alias("name"), source.cast("long").alias("source"), F.lit("").alias("source_name"), F.lit(True).alias("glob"))
+    taken = single(k % 13 == 0, F.concat(F.lit("alias "), k), k % 90 + 1).unionByName(single(k % 17 == 0, F.col("p_type"), k % 90))
+    return exports.expanded(declared, taken.unionByName(whole(F.lit(True), F.floor(s / 2))).unionByName(whole(s % 25 == 0, s - 1)).unionByName(whole(s % 11 == 0, s * 2)))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import constraints, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
+from driftloom.operators import constraints, exports, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
 
 
 def test_windows_both_ways_equal_plain_python(spark):
@@ -309,3 +309,25 @@ def test_names_through_forks_and_chains_equal_plain_walks(spark):
         want[f"m{k}"] = (f"{min(t)}::x" if len(t) == 1 else None, "ambiguous" if len(t) > 1 else None if t else "import_cycle" if c else "unresolved")
     rows = links.resolve(*(spark.createDataFrame(x, s) for x, s in (([(f"m{k}", "x") for k in range(60)], "module string, name string"), ([(h, "x") for h in homes], "module string, name string"), ([(a, "x", b, "x") for a, b in leads], "module string, name string, source string, source_name string"))))
     assert {x.module: (x.target, x.fault) for x in rows.collect()} == want and {f for _, f in want.values()} >= {None, "unresolved", "import_cycle"}
+
+
+def test_exports_equal_a_plain_fixpoint(spark):
+    r = random.Random(12)
+    declared = [(f"m{r.randrange(12)}", r.choice("abcd"), k) for k in range(14)]
+    taken = [(f"m{r.randrange(12)}", r.choice("abcde"), f"m{r.randrange(13)}", r.choice("abcde"), False) for _ in range(14)]
+    taken += [(f"m{r.randrange(12)}", None, f"m{r.randrange(12)}", None, True) for _ in range(12)] + [("m1", None, "m2", None, True), ("m2", None, "m1", None, True), ("s", "z", "s", "z", False)]
+    fixed = {(m, n) for m, n, _ in declared} | {(m, n) for m, n, _, _, g in taken if not g}
+    held = set(declared)
+    while True:
+        more = {(m, n, i) for m, n, s, t, g in taken if not g for a, b, i in held if (a, b) == (s, t)}
+        more |= {(m, b, i) for m, _, s, _, g in taken if g for a, b, i in held if a == s and (m, b) not in fixed}
+        if more <= held:
+            break
+        held |= more
+    want = {}
+    for at in fixed | {x[:2] for x in held}:
+        items = {i for m, n, i in held if (m, n) == at}
+        want[at] = (min(items) if len(items) == 1 else None, at in fixed, "conflict" if len(items) > 1 else None if items else "unresolved")
+    got = exports.expanded(spark.createDataFrame(declared, "module string, name string, item long"), spark.createDataFrame(taken, "module string, name string, source string, source_name string, glob boolean"))
+    assert {(x.module, x.name): (x.item, x.explicit, x.fault) for x in got.collect()} == want
+    assert {(e, f) for _, e, f in want.values()} >= {(True, None), (False, None), (True, "conflict"), (False, "conflict"), (True, "unresolved")}
