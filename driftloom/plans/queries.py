@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from driftloom.functions import contents, paths
 from driftloom.operators import constraints, exports, graph, inventory, links, matching, passages, positions, reconcile, signatures, snippets, violations
-from driftloom.sources import reports
+from driftloom.sources import indexed, reports
+from driftloom.sources.stages import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -704,3 +706,15 @@ def export_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = lambda where, source: load(spark, sf_dir, "supplier").where(where).select(s.alias("module"), F.lit("").alias("name"), source.cast("long").alias("source"), F.lit("").alias("source_name"), F.lit(True).alias("glob"))
     taken = single(k % 13 == 0, F.concat(F.lit("alias "), k), k % 90 + 1).unionByName(single(k % 17 == 0, F.col("p_type"), k % 90))
     return exports.expanded(declared, taken.unionByName(whole(F.lit(True), F.floor(s / 2))).unionByName(whole(s % 25 == 0, s - 1)).unionByName(whole(s % 11 == 0, s * 2)))
+
+
+@query(f"""WITH {EXPECTED}, c AS (SELECT CASE WHEN o % 3001 = 3 THEN entry_id || 'x' ELSE entry_id END AS entry_id, CASE WHEN o % 1999 = 2 THEN sha256(digest) ELSE digest END AS digest FROM (SELECT *, split_part(entry_id, ':', 1)::BIGINT AS o FROM e) WHERE o % 2503 <> 1)
+SELECT entry_id, CASE WHEN c.digest IS NULL THEN 'missing' WHEN e.digest IS NULL THEN 'extra' ELSE 'mismatched' END AS kind, e.digest AS expected_digest, c.digest AS actual_digest FROM e FULL JOIN c USING (entry_id) WHERE e.digest IS DISTINCT FROM c.digest""")
+def indexed_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored inventories of all line items, few of which differ."""
+    at, o = f"{shared_folder(spark)}/driftloom/{uuid.uuid4().hex}", F.split("entry_id", ":")[0].cast("long")
+    before = expected(spark, sf_dir)
+    after = before.where(o % 2503 != 1).withColumn("digest", F.when(o % 1999 == 2, F.sha2("digest", 256)).otherwise(F.col("digest"))).withColumn("entry_id", F.when(o % 3001 == 3, F.concat("entry_id", F.lit("x"))).otherwise(F.col("entry_id")))
+    indexed.write(before, f"{at}/before")
+    indexed.write(after, f"{at}/after")
+    return indexed.differences(spark, f"{at}/before", f"{at}/after")

@@ -1,5 +1,6 @@
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,27 @@ def test_deep_json_and_repeated_paths_are_faults(spark):
     bad = {"deep": deep.encode(), "twice": twice}
     rows = snapshots.decode(spark.createDataFrame([(n, bytearray(gzip.compress(d))) for n, d in bad.items()], "path string, content binary")).collect()
     assert {r.archive: r.fault for r in rows} == {"deep": "damaged", "twice": "duplicate_path"}
+
+
+def test_indexed_inventories_are_compared_by_changed_buckets(spark, tmp_path):
+    from driftloom.sources import indexed
+
+    old = {f"e{k}": f"d{k % 7}" for k in range(3000)}
+    new = {**{k: d for k, d in old.items() if k != "e5"}, "e77": "other", "new": "d1"}
+    side = lambda x, name, **more: indexed.write(spark.createDataFrame(list(x.items()), "entry_id string, digest string"), f"{tmp_path}/{name}", **more)
+    side(old, "old")
+    side(new, "new")
+    side({}, "none")
+    changed = indexed.changed_buckets(spark, f"{tmp_path}/old", f"{tmp_path}/new")
+    assert 1 <= len(changed) <= 3 and all(len(b) == 3 for b in changed)
+    found = indexed.differences(spark, f"{tmp_path}/old", f"{tmp_path}/new")
+    assert {tuple(r) for r in found.collect()} == {("e5", "missing", "d5", None), ("e77", "mismatched", "d0", "other"), ("new", "extra", None, "d1")}
+    assert len(set(re.findall(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(b", found._jdf.queryExecution().executedPlan().toString()))) == 2  # both sides
+    assert indexed.changed_buckets(spark, f"{tmp_path}/old", f"{tmp_path}/old") == [] and indexed.differences(spark, f"{tmp_path}/old", f"{tmp_path}/old").count() == 0
+    assert indexed.differences(spark, f"{tmp_path}/none", f"{tmp_path}/new").where("kind = 'extra'").count() == len(new)
+    for rows in ([("a", "x"), ("a", "y")], [(None, "x")], [("a", None)]):
+        with pytest.raises(ValueError):
+            indexed.write(spark.createDataFrame(rows, "entry_id string, digest string"), f"{tmp_path}/bad{len(rows)}{rows[0]}")
+    side(old, "fine", bucket=1)
+    with pytest.raises(ValueError):
+        indexed.changed_buckets(spark, f"{tmp_path}/old", f"{tmp_path}/fine")
