@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.operators import constraints, exports, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
+from driftloom.sources.stages import staged
 
 
 def test_windows_both_ways_equal_plain_python(spark):
@@ -331,3 +332,20 @@ def test_exports_equal_a_plain_fixpoint(spark):
     got = exports.expanded(spark.createDataFrame(declared, "module string, name string, item long"), spark.createDataFrame(taken, "module string, name string, source string, source_name string, glob boolean"))
     assert {(x.module, x.name): (x.item, x.explicit, x.fault) for x in got.collect()} == want
     assert {(e, f) for _, e, f in want.values()} >= {(True, None), (False, None), (True, "conflict"), (False, "conflict"), (True, "unresolved")}
+
+
+def test_exports_through_modules_without_names_are_not_staged_by_name(spark, monkeypatch):
+    wrote = []
+
+    def counted(df):
+        out = staged(df)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(exports, "staged", counted)
+    declared = spark.range(40).selectExpr("'top' AS module", "'n' || id AS name", "id AS item")
+    taken = spark.range(30).selectExpr("'p' || id AS module", "CAST(NULL AS string) AS name", "CASE WHEN id = 0 THEN 'top' WHEN id < 6 THEN 'p' || (id - 1) ELSE 'p5' END AS source", "CAST(NULL AS string) AS source_name", "true AS glob")
+    turn = spark.createDataFrame([("p1", None, "p4", None, True)], taken.schema)
+    got = exports.expanded(declared, taken.unionByName(turn))
+    assert {(x.module, x.name, x.item, x.explicit, x.fault) for x in got.collect()} == {(m, f"n{k}", k, m == "top", None) for m in ("top", *(f"p{i}" for i in range(30))) for k in range(40)}
+    assert sum(wrote) < 40 * 30
