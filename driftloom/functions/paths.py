@@ -33,7 +33,8 @@ def ascii_lower(text: Column) -> Column:
 def id_fault(name: Column) -> Column:
     """Null for a good identifier, else the first rule it breaks: empty, surrounding_whitespace, too_long, control_character."""
     return (
-        F.when(name.isNull() | (name == ""), "empty")
+        F.when(name.rlike("\\A[!-~]{1,256}\\z"), F.lit(None).cast("string"))  # most names: no white space or control character to look for
+        .when(name.isNull() | (name == ""), "empty")
         .when(name.rlike(f"^{WHITE}|{WHITE}$"), "surrounding_whitespace")
         .when(F.octet_length(name) > 256, "too_long")
         .when(name.rlike("[\\x00-\\x1f\\x7f-\\x{9f}]"), "control_character")

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.paths import id_fault
 from driftloom.operators.constraints import duplicates
+from driftloom.sources.stages import staged
 
 PLACE = ("contract_file", "document_index")
 #: All codes, in the order in which they are reported.
@@ -28,56 +29,71 @@ def row(rows: DataFrame, code, name: str | None) -> DataFrame:
     return rows.select((F.lit(code) if isinstance(code, str) else code).alias("code"), (F.col(name) if name else F.lit(None)).cast("string").alias("name"), *PLACE)
 
 
-def of_documents(documents: DataFrame) -> list[DataFrame]:
-    return [
-        row(documents.where("fault IS NOT NULL"), F.col("fault"), None),
-        row(documents.where("fault IS NULL AND (root IS NULL OR trim(root) = '')"), "blank_root", None),
-        row(documents.where("fault IS NULL AND size(files) <> size(array_distinct(files))"), "duplicate_file", None),
-    ]
+def each(rows: DataFrame, name: str | None, *rules: tuple[str | Column, Column]) -> DataFrame:
+    """A row for each rule (code, broken) that a row breaks by itself, in one pass over the rows."""
+    broken = F.array_compact(F.array(*[F.when(at, F.lit(code) if isinstance(code, str) else code) for code, at in rules]))
+    return row(rows.withColumn("_codes", broken).where(F.size("_codes") > 0).withColumn("_code", F.explode("_codes")), F.col("_code"), name)
+
+
+def of_documents(documents: DataFrame) -> DataFrame:
+    fine, root = F.col("fault").isNull(), F.col("root")
+    return each(documents, None, (F.col("fault"), ~fine), ("blank_root", fine & (root.isNull() | (F.trim(root) == ""))), ("duplicate_file", fine & (F.size("files") != F.size(F.array_distinct("files")))))
 
 
 def listed(documents: DataFrame) -> DataFrame:
-    return documents.where("fault IS NULL").select(*PLACE, F.explode("files").alias("path")).distinct()
+    """Files of documents; those of documents with one name may come twice."""
+    return documents.where("fault IS NULL").select(*PLACE, F.explode(F.array_distinct("files")).alias("path"))
+
+
+def twice(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key another row has too. Only hashes of all keys are shuffled, then the rows of hashes that came twice."""
+    at = F.xxhash64(key).alias("_at")
+    again = staged(rows.groupBy(at).agg(F.count("*").alias("_n")).where("_n > 1").select("_at"))
+    near = rows.withColumn("_at", at).join(again, "_at", "left_semi").drop("_at")
+    return near.join(duplicates(near, key).select(key), key, "left_semi")
 
 
-def of_sketches(documents: DataFrame, sketches: DataFrame) -> list[DataFrame]:
-    twice = duplicates(sketches, "snippet_id").select("snippet_id")
+def unlisted(documents: DataFrame, sketches: DataFrame, signatures: DataFrame | None) -> DataFrame:
+    """Sketches and signatures whose file their document doesn't list, met with the lists in one join."""
+    names = lambda df, name, path, code: df.select(*PLACE, F.col(path).alias("path"), F.col(name).cast("string").alias("name"), F.lit(code).alias("_code"))
+    rows = names(sketches, "snippet_id", "path", "unlisted_file")
+    if signatures is not None:
+        rows = rows.unionByName(names(signatures, "label", "file", "unlisted_signature_file"))
+    return row(rows.join(listed(documents), [*PLACE, "path"], "left_anti"), F.col("_code"), "name")
+
+
+def of_sketches(sketches: DataFrame) -> list[DataFrame]:
     return [
-        row(sketches.where(id_fault(F.col("snippet_id").cast("string")).isNotNull()), "invalid_id", "snippet_id"),
-        row(sketches.join(twice, "snippet_id", "left_semi"), "duplicate_sketch", "snippet_id"),
-        row(sketches.join(listed(documents), [*PLACE, "path"], "left_anti"), "unlisted_file", "snippet_id"),
-        row(sketches.where(F.size("code") == 0), "empty_code", "snippet_id"),
+        each(sketches, "snippet_id", ("invalid_id", id_fault(F.col("snippet_id").cast("string")).isNotNull()), ("empty_code", F.size("code") == 0)),
+        row(twice(sketches.select("snippet_id", *PLACE), "snippet_id"), "duplicate_sketch", "snippet_id"),
     ]
 
 
-def of_signatures(documents: DataFrame, signatures: DataFrame) -> list[DataFrame]:
-    files = listed(documents).withColumnRenamed("path", "file")
-    twice = duplicates(signatures, *PLACE, "label").select(*PLACE, "label")
+def of_signatures(signatures: DataFrame) -> list[DataFrame]:
+    keys = [*PLACE, "label"]
+    counted = signatures.select(*keys).dropna().withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     return [
-        row(signatures.join(twice, [*PLACE, "label"], "left_semi"), "duplicate_label", "label"),
-        row(signatures.join(files, [*PLACE, "file"], "left_anti"), "unlisted_signature_file", "label"),
-        row(signatures.where("file IS NULL OR NOT endswith(file, '.rs')"), "not_rust", "label"),
+        each(signatures, "label", ("not_rust", F.col("file").isNull() | ~F.endswith("file", F.lit(".rs")))),
+        row(counted.where("_n > 1"), "duplicate_label", "label"),
     ]
 
 
-def of_links(sketches: DataFrame, signatures: DataFrame) -> list[DataFrame]:
-    """A signature names its sketch, which names the signature back: in one document, of one file and type; a sketch that no signature names is an orphan."""
-    links = signatures.where("sketch IS NOT NULL").select(*PLACE, F.col("sketch").alias("snippet_id"), "label", F.col("file").alias("_file"), F.col("signature_type").alias("_type"))
+def of_links(sketches: DataFrame, signatures: DataFrame) -> DataFrame:
+    """A signature names its sketch, which names the signature back: in one document, of one file and type; a sketch that no signature names is an orphan. One full join finds all."""
     keys = [*PLACE, "snippet_id"]
-    met = links.join(sketches.select(*keys, "path", "linked_signature", "signature_type"), keys)
-    fault = F.when(~F.col("_file").eqNullSafe(F.col("path")), "file_mismatch").when(~F.col("label").eqNullSafe(F.col("linked_signature")), "label_mismatch").when(~F.col("_type").eqNullSafe(F.col("signature_type")), "type_mismatch")
-    return [
-        row(links.join(sketches.select(keys), keys, "left_anti"), "dangling_link", "label"),
-        row(sketches.join(links.select(keys), keys, "left_anti"), "orphan_sketch", "snippet_id"),
-        row(met.withColumn("_fault", fault).where("_fault IS NOT NULL"), F.col("_fault"), "snippet_id"),
-    ]
+    links = signatures.where("sketch IS NOT NULL").select(*PLACE, F.col("sketch").alias("snippet_id"), "label", F.col("file").alias("_file"), F.col("signature_type").alias("_type"), F.lit(True).alias("_named"))
+    both = links.join(sketches.select(*keys, "path", "linked_signature", "signature_type", F.lit(True).alias("_there")), keys, "full")
+    fault = F.when(F.col("_there").isNull(), "dangling_link").when(F.col("_named").isNull(), "orphan_sketch")
+    fault = fault.when(~F.col("_file").eqNullSafe(F.col("path")), "file_mismatch").when(~F.col("label").eqNullSafe(F.col("linked_signature")), "label_mismatch").when(~F.col("_type").eqNullSafe(F.col("signature_type")), "type_mismatch")
+    name = F.when(F.col("_there").isNull(), F.col("label")).otherwise(F.col("snippet_id").cast("string"))
+    return row(both.withColumns({"_fault": fault, "_name": name}).where("_fault IS NOT NULL"), F.col("_fault"), "_name")
 
 
 def violations(documents: DataFrame, sketches: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """code, name, contract_file, document_index of every broken rule; links are checked where signatures are given."""
-    parts = of_documents(documents) + of_sketches(documents, sketches)
+    parts = [of_documents(documents), *of_sketches(sketches), unlisted(documents, sketches, signatures)]
     if signatures is not None:
-        parts += of_signatures(documents, signatures) + of_links(sketches, signatures)
+        parts += [*of_signatures(signatures), of_links(sketches, signatures)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.operators import constraints, exports, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets
+from driftloom.operators import constraints, exports, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets, violations
 from driftloom.sources.stages import staged
 
 
@@ -349,3 +349,17 @@ def test_exports_through_modules_without_names_are_not_staged_by_name(spark, mon
     got = exports.expanded(declared, taken.unionByName(turn))
     assert {(x.module, x.name, x.item, x.explicit, x.fault) for x in got.collect()} == {(m, f"n{k}", k, m == "top", None) for m in ("top", *(f"p{i}" for i in range(30))) for k in range(40)}
     assert sum(wrote) < 40 * 30
+
+
+def test_contract_rules_take_few_passes(spark):
+    documents = spark.createDataFrame([("c", 0, "src", ["f.rs", "f.rs"], None), ("c", 1, " ", ["g.rs"], None), ("c", 2, "src", [], "version")], "contract_file string, document_index long, root string, files array<string>, fault string")
+    sketches = spark.createDataFrame([("a", "c", 0, "f.rs", ["x"], "l", "fn"), ("a", "c", 1, "f.rs", [], "l", "fn"), (None, "c", 1, "g.rs", ["x"], "l", "fn"), (None, "c", 1, "g.rs", ["x"], "l", "fn"), ("b\n", "c", 0, "f.rs", ["x"], "k", "fn")],
+                                     "snippet_id string, contract_file string, document_index long, path string, code array<string>, linked_signature string, signature_type string")
+    signatures = spark.createDataFrame([("l", "c", 0, "a", "fn", "f.rs"), ("l", "c", 0, "a", "type", "f.rs"), (None, "c", 1, None, "fn", None), (None, "c", 1, "none", "fn", "g.rs")], "label string, contract_file string, document_index long, sketch string, signature_type string, file string")
+    broken = violations.violations(documents, sketches, signatures)
+    nothing = [("orphan_sketch", None, 1), ("invalid_id", None, 1)] * 2
+    assert sorted(((x.code, x.name, x.document_index) for x in broken.collect()), key=str) == sorted([
+        ("duplicate_file", None, 0), ("blank_root", None, 1), ("version", None, 2), ("duplicate_sketch", "a", 0), ("duplicate_sketch", "a", 1), ("unlisted_file", "a", 1), ("empty_code", "a", 1), ("invalid_id", "b\n", 0),
+        ("duplicate_label", "l", 0), ("duplicate_label", "l", 0), ("not_rust", None, 1), ("unlisted_signature_file", None, 1), ("dangling_link", None, 1), ("type_mismatch", "a", 0), ("orphan_sketch", "a", 1), ("orphan_sketch", "b\n", 0), *nothing], key=str)
+    plan = broken._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 12  # each is a pass over the rows of one kind
