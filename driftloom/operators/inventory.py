@@ -8,13 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.digests import DOMAIN, digest, frame, framed, joined, optional
+from driftloom.functions.digests import DOMAIN, digest, frame, framed, joined, optional, packed, unpacked
+from driftloom.sources.stages import staged
 
 
 def group_digests(entries: DataFrame, domain: str = DOMAIN) -> DataFrame:
     """group_id, shape: digest of a group's (semantic_id, digest) pairs in order. Only a group's own rows meet in one place."""
-    pairs = F.transform(F.sort_array(F.collect_list(F.struct("semantic_id", "digest"))), lambda x: F.concat(frame(x["semantic_id"]), frame(x["digest"])))
-    return entries.groupBy("group_id").agg(pairs.alias("_frames")).select("group_id", digest(F.concat(framed(f"{domain}:group"), framed("source_shape"), joined(F.col("_frames")))).alias("shape"))
+    sent = entries.select("group_id", "semantic_id", packed(F.col("digest").cast("string")).alias("_d")).groupBy("group_id").agg(F.collect_list(F.struct("semantic_id", "_d")).alias("_x"))
+    pairs = F.transform("_x", lambda x: F.struct(x["semantic_id"].alias("s"), unpacked(x["_d"]).alias("d")))
+    frames = F.transform(F.sort_array(pairs), lambda x: F.concat(frame(x["s"]), frame(x["d"])))
+    return sent.select("group_id", frames.alias("_frames")).select("group_id", digest(F.concat(framed(f"{domain}:group"), framed("source_shape"), joined(F.col("_frames")))).alias("shape"))
 
 
 def contract_digest(shape: Column, extraction: Column, metadata: Column, domain: str = DOMAIN) -> Column:
@@ -52,25 +55,33 @@ def merged(entries: DataFrame) -> DataFrame:
     return seen.where("_g > 1 OR _d > 1").select("entry_id", F.when(F.col("_g") > 1, "duplicate_group").otherwise("duplicate_digest").alias("fault"))
 
 
-def compared(expected: DataFrame, actual: DataFrame, domain: str = DOMAIN) -> DataFrame:
-    """key, kind (missing, mismatched, extra), expected_shape, actual_shape.
+def differing(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """key, kind (missing, mismatched, extra), _theirs: the actual group that the key is compared with.
 
     A group's first failing entry, in entry order, decides its kind. An extra entry is keyed by the
     expected group of the entry that its own group names, else by its own group; keys that failed stay as they are.
     """
-    e = expected.select("entry_id", F.col("group_id").alias("e_group"), F.col("digest").alias("e_digest"))
-    a = actual.select("entry_id", F.col("group_id").alias("a_group"), F.col("digest").alias("a_digest"))
-    both = e.join(a, "entry_id", "full_outer")
-    failing = both.where(F.col("e_digest").isNotNull() & (F.col("a_digest").isNull() | (F.col("e_digest") != F.col("a_digest"))))
-    first = failing.groupBy("e_group").agg(F.min(F.struct("entry_id", "a_digest", "a_group")).alias("_f"))
-    shapes = lambda df, name: group_digests(df, domain).select(F.col("group_id").alias(f"_{name}"), F.col("shape").alias(f"{name}_shape"))
-    gone = F.col("_f.a_digest").isNull()
+    sent = packed(F.col("digest").cast("string"))
+    e = expected.select("entry_id", F.col("group_id").alias("e_group"), sent.alias("e_digest"))
+    a = actual.select("entry_id", F.col("group_id").alias("a_group"), sent.alias("a_digest"))
+    extra = F.col("e_digest").isNull()
+    apart = e.join(a, "entry_id", "full_outer").where(extra | F.col("a_digest").isNull() | (F.col("e_digest") != F.col("a_digest")))
+    # read three times below: staged, so that all entries meet once
+    apart = staged(apart.select("entry_id", "e_group", "a_group", extra.alias("extra"), F.col("a_digest").isNotNull().alias("there")))
+    first = apart.where("NOT extra").groupBy("e_group").agg(F.min(F.struct("entry_id", "there", "a_group")).alias("_f"))
+    gone = ~F.col("_f.there")
     kinds = first.select(F.col("e_group").alias("key"), F.when(gone, "missing").otherwise("mismatched").alias("kind"), F.when(~gone, F.col("_f.a_group")).alias("_theirs"))
-    extra = both.where(F.col("e_digest").isNull()).select("a_group").distinct()
+    extra = apart.where("extra").select("a_group").distinct()
     peer = expected.select(F.col("entry_id").alias("a_group"), F.col("group_id").alias("_label"))
     keyed = extra.join(peer, "a_group", "left").select(F.coalesce("_label", "a_group").alias("key"), F.col("a_group").alias("_theirs"))
     keyed = keyed.groupBy("key").agg(F.min("_theirs").alias("_theirs")).join(kinds, "key", "left_anti").select("key", F.lit("extra").alias("kind"), "_theirs")
-    out = kinds.unionByName(keyed).join(shapes(expected, "expected"), F.col("key") == F.col("_expected"), "left").join(shapes(actual, "actual"), F.col("_theirs") == F.col("_actual"), "left")
+    return kinds.unionByName(keyed)
+
+
+def compared(expected: DataFrame, actual: DataFrame, domain: str = DOMAIN) -> DataFrame:
+    """key, kind (missing, mismatched, extra), expected_shape, actual_shape of the groups that differ."""
+    shapes = lambda df, name: group_digests(df, domain).select(F.col("group_id").alias(f"_{name}"), F.col("shape").alias(f"{name}_shape"))
+    out = differing(expected, actual).join(shapes(expected, "expected"), F.col("key") == F.col("_expected"), "left").join(shapes(actual, "actual"), F.col("_theirs") == F.col("_actual"), "left")
     return out.select("key", "kind", F.when(F.col("kind") != "extra", F.col("expected_shape")).alias("expected_shape"), "actual_shape")
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from driftloom.functions import digests
 from driftloom.operators import constraints, exports, generate, graph, inventory, items, links, matching, passages, positions, reconcile, signatures, snippets, violations
 from driftloom.sources.stages import staged
 
@@ -363,3 +364,14 @@ def test_contract_rules_take_few_passes(spark):
         ("duplicate_label", "l", 0), ("duplicate_label", "l", 0), ("not_rust", None, 1), ("unlisted_signature_file", None, 1), ("dangling_link", None, 1), ("type_mismatch", "a", 0), ("orphan_sketch", "a", 1), ("orphan_sketch", "b\n", 0), *nothing], key=str)
     plan = broken._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") <= 12  # each is a pass over the rows of one kind
+
+
+def test_inventory_entries_meet_once_and_travel_packed(spark):
+    texts = ["", "ab", "AB", "abc", "0g", "é", "a" * 64, None]
+    pack = spark.createDataFrame([(x,) for x in texts], "x string").select("x", digests.packed(F.col("x")).alias("p")).select("x", digests.unpacked(F.col("p")).alias("y"), F.length("p").alias("n")).collect()
+    assert [x.y for x in pack] == texts and [x.n for x in pack if x.x == "a" * 64] == [33]
+    rows = lambda x: spark.createDataFrame(x, "entry_id string, semantic_id string, group_id string, digest string")
+    expected, actual = rows([("e1", "s", "g1", "ab"), ("e2", "s", "g2", "AB"), ("e3", "s", "g3", "ab")]), rows([("e1", "s", "h1", "ab"), ("e2", "s", "h2", "ab"), ("e4", "s", "e3", "ab")])
+    found = inventory.compared(expected, actual)
+    assert {(x.key, x.kind) for x in found.collect()} == {("g2", "mismatched"), ("g3", "missing")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3  # the peers of extra entries and both sides' shapes: the entries' own join is staged
