@@ -45,7 +45,7 @@ def jumps(steps: DataFrame) -> DataFrame:
     places, length = walks.count(), 1
     while length <= places:
         known = walks.select(F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("ended").alias("_ended"))
-        on = walks.where("NOT ended").join(known, F.col("to") == F.col("_at"), "left")
+        on = walks.where("NOT ended").join(known.hint("merge"), F.col("to") == F.col("_at"), "left")  # small files hold many steps: nothing is broadcast through the driver
         on = on.select("at", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.coalesce("_ended", F.lit(True)).alias("ended"))
         walks = staged(walks.where("ended").unionByName(on))
         length *= 2
@@ -53,7 +53,7 @@ def jumps(steps: DataFrame) -> DataFrame:
             break
     lost = walks.where("NOT ended")  # longer than there are places: each is on a cycle by now, and each place of a cycle is some walk's
     on_cycle = lost.select(F.col("to").alias("at")).distinct().withColumn("_on", F.lit(True))
-    turning = lost.join(on_cycle, "at", "left").select("at", F.lit(None).cast(dict(steps.dtypes)["to"]).alias("end"), F.lit(None).cast("long").alias("hops"), F.when(F.col("_on"), "on_cycle").otherwise("to_cycle").alias("kind"))
+    turning = lost.join(on_cycle.hint("merge"), "at", "left").select("at", F.lit(None).cast(dict(steps.dtypes)["to"]).alias("end"), F.lit(None).cast("long").alias("hops"), F.when(F.col("_on"), "on_cycle").otherwise("to_cycle").alias("kind"))
     return walks.where("ended").select("at", F.col("to").alias("end"), "hops", F.lit("ended").alias("kind")).unionByName(turning)
 
 
@@ -66,7 +66,7 @@ def ancestry(edges: DataFrame) -> DataFrame:
     ways = staged(ways)
     several = ways.where("_several").select(F.col("child").alias("node"))
     found = jumps(ways.where("NOT _several").select(F.col("child").alias("at"), F.col("parent").alias("to")))
-    found = found.join(several.select(F.col("node").alias("end"), F.lit(True).alias("_split")), "end", "left")
+    found = found.join(several.select(F.col("node").alias("end"), F.lit(True).alias("_split")).hint("merge"), "end", "left")
     fault = F.when(F.col("kind") == "on_cycle", "on_cycle").when(F.col("kind") == "to_cycle", "below_cycle").when(F.col("_split"), "below_several_parents")
     rows = found.withColumn("fault", fault).select(F.col("at").alias("node"), F.when(F.col("fault").isNull(), F.col("end")).alias("top"), F.when(F.col("fault").isNull(), F.col("hops")).alias("depth"), "fault")
     kind = dict(edges.dtypes)["parent"]

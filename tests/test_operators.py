@@ -375,3 +375,11 @@ def test_inventory_entries_meet_once_and_travel_packed(spark):
     found = inventory.compared(expected, actual)
     assert {(x.key, x.kind) for x in found.collect()} == {("g2", "mismatched"), ("g3", "missing")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3  # the peers of extra entries and both sides' shapes: the entries' own join is staged
+
+
+def test_walks_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "staged", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), staged(df))[1])
+    found = graph.ancestry(spark.range(1, 40).selectExpr("id - 1 AS parent", "id AS child"))
+    assert {(x.node, x.top, x.depth) for x in found.collect()} == {(k, 0, k) for k in range(1, 40)}
+    assert len(seen) > 3 and not any("Broadcast" in x for x in [*seen, found._jdf.queryExecution().executedPlan().toString()])
