@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.functions.digests import digest, frame, joined
+from driftloom.functions.digests import digest, frame, joined, packed, unpacked
 
 #: Hexadecimal characters of an id's hash that name its bucket (a folder of files) and its leaf (rows that are digested together).
 BUCKET, LEAF = 2, 4
@@ -23,10 +23,14 @@ def write(entries: DataFrame, at: str, bucket: int = BUCKET, leaf: int = LEAF) -
     spark, key = entries.sparkSession, F.sha2(F.coalesce(F.col("entry_id").cast("string"), F.lit("")), 256)
     placed = entries.withColumn("bucket", F.concat(F.lit("b"), F.left(key, F.lit(bucket))))  # the letter keeps it text in names of folders
     placed.limit(0).write.mode("errorifexists").parquet(f"{at}/columns")
-    placed.repartition("bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{at}/rows")
-    pair = F.struct(F.col("entry_id").cast("string").alias("k"), "digest")
+    text = dict(entries.dtypes)["digest"] == "string"  # such digests travel as bytes, half the size
+    small, whole = (packed, unpacked) if text else (lambda c: c, lambda c: c)
+    placed = placed.withColumn("digest", small(F.col("digest"))).repartition("bucket").withColumn("digest", whole(F.col("digest")))
+    placed.write.mode("errorifexists").option("compression", "zstd").partitionBy("bucket").parquet(f"{at}/rows")
+    pair = F.struct(F.col("entry_id").cast("string").alias("k"), small(F.col("digest")).alias("digest"))
     leaves = rows(spark, at).groupBy("bucket", F.left(key, F.lit(leaf)).alias("leaf")).agg(
-        F.count("*").alias("rows"), F.countDistinct("entry_id").alias("ids"), F.count("digest").alias("digests"), F.sort_array(F.collect_list(pair)).alias("_x"))
+        F.count("*").alias("rows"), F.countDistinct("entry_id").alias("ids"), F.count("digest").alias("digests"), F.collect_list(pair).alias("_x"))
+    leaves = leaves.withColumn("_x", F.sort_array(F.transform("_x", lambda x: F.struct(x["k"].alias("k"), whole(x["digest"]).alias("digest")))))
     each = leaves.select("bucket", "leaf", "rows", "ids", "digests", digest(joined(F.transform("_x", lambda x: F.concat(frame(x["k"]), frame(x["digest"]))))).alias("_d"))
     index = each.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.sum("ids").alias("ids"), F.sum("digests").alias("digests"), F.sort_array(F.collect_list(F.struct("leaf", "_d"))).alias("_all"))
     index = index.select("bucket", "rows", ((F.col("ids") == F.col("rows")) & (F.col("digests") == F.col("rows"))).alias("sound"), digest(joined(F.transform("_all", lambda x: F.concat(frame(x["leaf"]), frame(x["_d"]))))).alias("digest"))
@@ -61,6 +65,9 @@ def differences(spark: SparkSession, expected: str, actual: str) -> DataFrame:
     """entry_id, kind (missing, extra, mismatched), expected_digest, actual_digest. Only files of changed buckets are read."""
     buckets = changed_buckets(spark, expected, actual)
     side = lambda at, name: rows(spark, at).where(F.col("bucket").isin(buckets)).select("entry_id", F.col("digest").alias(name))
-    both = side(expected, "expected_digest").join(side(actual, "actual_digest"), "entry_id", "full")
+    text = dict(rows(spark, expected).dtypes)["digest"] == dict(rows(spark, actual).dtypes)["digest"] == "string"
+    names = ("expected_digest", "actual_digest")
+    sent = lambda at, name: side(at, name).withColumn(name, packed(F.col(name)) if text else F.col(name))
+    both = sent(expected, names[0]).join(sent(actual, names[1]), "entry_id", "full")
     kind = F.when(F.col("actual_digest").isNull(), "missing").when(F.col("expected_digest").isNull(), "extra").when(F.col("expected_digest") != F.col("actual_digest"), "mismatched")
-    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("entry_id", "kind", "expected_digest", "actual_digest")
+    return both.withColumn("kind", kind).where("kind IS NOT NULL").select("entry_id", "kind", *[(unpacked(F.col(n)) if text else F.col(n)).alias(n) for n in names])
