@@ -95,6 +95,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def exponentials(logits: np.ndarray, small: bool) -> np.ndarray:
+    """The log of the sum of each row's exponentials. The logits are overwritten. small: none is out of range."""
+    if small:
+        return np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
+    most = logits.max(axis=1, keepdims=True)
+    logits -= most
+    return most[:, 0] + np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def shares(e: np.ndarray, small: bool) -> None:
+    """The softmax of each row, in place. small: no logit is out of range."""
+    if not small:
+        e -= e.max(axis=1, keepdims=True)
+    np.exp(e, out=e)
+    e *= (1 / (e @ np.ones(e.shape[1], e.dtype)))[:, None]
+
+
 class Unit:
     """Parameters: g, each token's input to the gates; u, the state's; c, cb: classes; o, ob: words within their classes."""
 
@@ -119,17 +136,32 @@ class Unit:
             self.rooms[name] = np.empty(size, kind)
         return self.rooms[name][:size].reshape(shape)
 
-    def step(self, ids: np.ndarray, h: np.ndarray):
+    def move(self, x: np.ndarray, a: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The next states into out, from the tokens' inputs x, the states h and their products a; the gates and new values too."""
         n = UNITS
-        x, a = self.p["g"][ids], h @ self.p["u"]
-        gates = x[:, : 2 * n] + a[:, : 2 * n]
+        np.add(x[:, : 2 * n], a[:, : 2 * n], out=gates)
         np.negative(gates, out=gates)
         np.exp(np.minimum(gates, 30, out=gates), out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        r, z = gates[:, :n], gates[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-        return new + z * (h - new), r, z, new, a[:, 2 * n :]
+        np.multiply(gates[:, :n], a[:, 2 * n :], out=new)
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= gates[:, n:]
+        out += new
+        return out
+
+    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after these tokens, the gates and the new values."""
+        x, a = self.p["g"][ids], h @ self.p["u"]
+        gates, new = np.empty((len(h), 2 * UNITS), a.dtype), np.empty_like(a[:, :UNITS])
+        return self.move(x, a, h, gates, new, np.empty_like(new)), gates, new
+
+    def small(self, h: np.ndarray) -> bool:
+        """Whether no logit of these states can be so large or low that its exponential leaves the range of floats."""
+        p, most = self.p, max(1.0, float(np.abs(h).max(initial=0)))
+        return all(float((np.abs(w).sum(axis=k) * most + np.abs(b)).max(initial=0)) < 80 for w, k, b in ((p["c"], 0, p["cb"]), (p["o"], 1, p["ob"])))
 
     def classes_of(self, targets: np.ndarray) -> np.ndarray:
         words = self.v.words
@@ -138,12 +170,13 @@ class Unit:
     def log_probability(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log of P(class) and, for words of the short list, P(word | class)."""
         out = np.empty(len(targets))
-        cls = self.classes_of(targets)
+        cls, small = self.classes_of(targets), self.small(h)
         for s in range(0, len(targets), ROWS):
             rows = slice(s, s + ROWS)
-            logits = h[rows] @ self.p["c"] + self.p["cb"]
-            own = logits[np.arange(len(logits)), cls[rows]]
-            out[rows] = own - np.log(np.exp(np.minimum(logits, 80, out=logits), out=logits).sum(axis=1))
+            logits = h[rows] @ self.p["c"]
+            logits += self.p["cb"]
+            own, total = logits[np.arange(len(logits)), cls[rows]], exponentials(logits, small)
+            out[rows] = own - total
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.v.classes + 1))
         inside = order[: ends[-1]]
@@ -151,68 +184,84 @@ class Unit:
         for k, m in enumerate(self.members):
             rows = slice(ends[k], ends[k + 1])
             if ends[k] < ends[k + 1] and m.stop - m.start > 1:
-                logits = h[rows] @ self.p["o"][m].T + self.p["ob"][m]
-                own = logits[np.arange(len(logits)), own_place[rows] - m.start]
-                more[rows] = own - np.log(np.exp(np.minimum(logits, 80, out=logits), out=logits).sum(axis=1))
+                logits = h[rows] @ self.p["o"][m].T
+                logits += self.p["ob"][m]
+                own, total = logits[np.arange(len(logits)), own_place[rows] - m.start], exponentials(logits, small)
+                more[rows] = own - total
         out[inside] += more
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, counts: np.ndarray, h: np.ndarray):
         """One window of lanes (time x lanes): loss, gradients, and the state to carry. fresh: a text begins; counts: a token is there."""
-        p, n, lanes = self.p, UNITS, inputs.shape[1]
-        grads = {k: np.zeros_like(x) for k, x in p.items() if k not in ("u", "c", "cb")}
+        p, n, lanes, long = self.p, UNITS, inputs.shape[1], len(inputs)
+        grads = {k: np.zeros_like(x) for k, x in p.items() if k != "u"}
         kind = p["u"].dtype
-        before, r, z, new, an, hs = (self.room(x, len(inputs), lanes, n) for x in ("before", "r", "z", "new", "an", "hs"))
-        for t in range(len(inputs)):
+        before, new, hs, dn = (self.room(x, long, lanes, n) for x in ("before", "new", "hs", "dn"))
+        x, a, gates = self.room("x", long, lanes, 3 * n), self.room("a", long, lanes, 3 * n), self.room("gates", long, lanes, 2 * n)
+        np.take(p["g"], inputs, axis=0, out=x, mode="clip")
+        r, z, an, begins = gates[:, :, :n], gates[:, :, n:], a[:, :, 2 * n :], fresh.any(axis=1)
+        for t in range(long):
             before[t] = h
-            before[t][fresh[t]] = 0
-            hs[t], r[t], z[t], new[t], an[t] = self.step(inputs[t], before[t])
-            h = hs[t]
+            if begins[t]:
+                before[t][fresh[t]] = 0
+            np.matmul(before[t], p["u"], out=a[t])
+            h = self.move(x[t], a[t], before[t], gates[t], new[t], hs[t])
         flat, live, hs = targets.ravel(), counts.ravel(), hs.reshape(-1, n)
-        total = self.v.classes + KINDS
-        cls, dh = np.where(live, self.classes_of(flat), total), self.room("dh", *hs.shape)
-        grads["c"], grads["cb"], loss = np.zeros_like(p["c"]), np.zeros_like(p["cb"]), 0.0
+        total, small, whole = self.v.classes + KINDS, self.small(hs), bool(live.all())
+        cls, dh, ones = np.where(live, self.classes_of(flat), total), self.room("dh", *hs.shape), np.ones(max(ROWS, len(flat)), kind)
+        place, chances = np.arange(len(flat)), np.ones(len(flat), kind)
         for s in range(0, len(flat), ROWS):
             rows = slice(s, s + ROWS)
-            e = hs[rows] @ p["c"] + p["cb"]
-            e -= e.max(axis=1, keepdims=True)
-            np.exp(e, out=e)
-            e /= e.sum(axis=1, keepdims=True)
-            there = np.flatnonzero(live[rows])
+            e = self.room("e", len(flat[rows]), total)
+            np.matmul(hs[rows], p["c"], out=e)
+            e += p["cb"]
+            shares(e, small)
+            there = place[: len(e)] if whole else np.flatnonzero(live[rows])
             own = cls[rows][there]
-            loss -= float(np.log(e[there, own] + 1e-12).sum())
+            chances[rows][there] = e[there, own]
             e[there, own] -= 1
-            e[~live[rows]] = 0
+            if not whole:
+                e[~live[rows]] = 0
             grads["c"] += hs[rows].T @ e
-            grads["cb"] += e.sum(axis=0)
-            dh[rows] = e @ p["c"].T
+            grads["cb"] += ones[: len(e)] @ e
+            np.matmul(e, p["c"].T, out=dh[rows])
+        loss = -float(np.log(chances + 1e-12).sum())
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.v.classes + 1))
+        ends = np.searchsorted(cls[order], np.arange(self.v.classes + 1)).tolist()
         inside = order[: ends[-1]]
-        mine, own_place, dmine = hs[inside], flat[inside], np.zeros((len(inside), n), kind)
+        mine, own_place, dmine, chances = hs[inside], flat[inside], np.zeros((len(inside), n), kind), np.ones(len(inside), kind)
         for k, m in enumerate(self.members):
             if ends[k] < ends[k + 1] and m.stop - m.start > 1:
-                rows = slice(ends[k], ends[k + 1])
-                e = mine[rows] @ p["o"][m].T + p["ob"][m]
-                e -= e.max(axis=1, keepdims=True)
-                np.exp(e, out=e)
-                e /= e.sum(axis=1, keepdims=True)
-                own = (np.arange(len(e)), own_place[rows] - m.start)
-                loss -= float(np.log(e[own] + 1e-12).sum())
+                rows, o = slice(ends[k], ends[k + 1]), p["o"][m]
+                states = mine[rows]
+                e = states @ o.T
+                e += p["ob"][m]
+                shares(e, small)
+                own = (place[: len(e)], own_place[rows] - m.start)
+                chances[rows] = e[own]
                 e[own] -= 1
-                grads["o"][m], grads["ob"][m] = e.T @ mine[rows], e.sum(axis=0)
-                dmine[rows] = e @ p["o"][m]
+                np.matmul(e.T, states, out=grads["o"][m])
+                np.matmul(ones[: len(e)], e, out=grads["ob"][m])
+                np.matmul(e, o, out=dmine[rows])
+        loss -= float(np.log(chances + 1e-12).sum())
         dh[inside] += dmine
-        dh = dh.reshape(len(inputs), lanes, n)
-        gx, da = self.room("gx", len(inputs), lanes, 3 * n), self.room("da", len(inputs), lanes, 3 * n)
-        carried, back = np.zeros_like(h), np.ascontiguousarray(p["u"].T)
-        for t in range(len(inputs) - 1, -1, -1):
+        dh = dh.reshape(long, lanes, n)
+        # what doesn't depend on later tokens, for all of the window at once
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), an * r * (1 - r)
+        gx, da = x, self.room("da", long, lanes, 3 * n)  # x isn't needed any more
+        carried, back = np.zeros_like(hs[:lanes]), np.ascontiguousarray(p["u"].T)
+        for t in range(long - 1, -1, -1):
             d = dh[t] + carried
-            dnew = d * (1 - z[t]) * (1 - new[t] * new[t])
-            gx[t, :, :n], gx[t, :, n : 2 * n], gx[t, :, 2 * n :] = dnew * an[t] * r[t] * (1 - r[t]), d * (before[t] - new[t]) * z[t] * (1 - z[t]), dnew
-            da[t, :, : 2 * n], da[t, :, 2 * n :] = gx[t, :, : 2 * n], dnew * r[t]
-            carried = d * z[t] + da[t] @ back
-            carried[fresh[t]] = 0
+            np.multiply(d, by_new[t], out=dn[t])
+            np.multiply(dn[t], by_r[t], out=da[t, :, :n])
+            np.multiply(d, by_z[t], out=da[t, :, n : 2 * n])
+            np.multiply(dn[t], r[t], out=da[t, :, 2 * n :])
+            np.matmul(da[t], back, out=carried)
+            d *= z[t]
+            carried += d
+            if begins[t]:
+                carried[fresh[t]] = 0
+        gx[:, :, : 2 * n], gx[:, :, 2 * n :] = da[:, :, : 2 * n], dn
         grads["u"] = before.reshape(-1, n).T @ da.reshape(-1, 3 * n)
         order = np.argsort(inputs.ravel(), kind="stable")
         tokens = inputs.ravel()[order]
@@ -221,7 +270,7 @@ class Unit:
             some = tokens[s : s + ROWS]
             starts = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
             grads["g"][some[starts]] += np.add.reduceat(gx[order[s : s + ROWS]], starts, axis=0)
-        return loss, int(live.sum()), grads, h
+        return loss, int(live.sum()), grads, h.copy()
 
     def train(self, texts: list[np.ndarray], seed: int = 3, done: float = 0.0, share: float = 1.0) -> int:
         """Truncated backpropagation with Adam over texts (ids that end with the end), each read once. Returns the tokens.
@@ -256,14 +305,19 @@ class Unit:
             _, live, grads, h = self.gradients(inputs[window], ids[window], fresh[window], there[window], h[:n])
             tokens, count = tokens + live, count + 1
             rate = RATE * max(0.05, 1 - done - share * (s + long) / filled[0])
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / max(1, live)
+            size = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / max(1, live)
             for k, g in grads.items():
                 g *= np.float32(min(1.0, 1.0 / max(size, 1e-9)) / max(1, live))
                 m = moments[k]
-                m[0] += np.float32(0.1) * (g - m[0])
+                move = self.room("move", *g.shape)
+                m[0] += np.multiply(np.subtract(g, m[0], out=move), np.float32(0.1), out=move)
                 g *= g
-                m[1] += np.float32(0.01) * (g - m[1])
-                self.p[k] -= np.float32(rate / (1 - 0.9**count)) * m[0] / (np.sqrt(m[1] * np.float32(1 / (1 - 0.99**count))) + np.float32(1e-8))
+                g -= m[1]
+                g *= np.float32(0.01)
+                m[1] += g
+                np.sqrt(np.multiply(m[1], np.float32(1 / (1 - 0.99**count)), out=g), out=g)
+                g += np.float32(1e-8)
+                self.p[k] -= np.multiply(np.divide(m[0], g, out=move), np.float32(rate / (1 - 0.9**count)), out=move)
             for k in range(0, 3 * UNITS, UNITS):
                 gate = self.p["u"][:, k : k + UNITS]
                 gate *= np.float32(min(1.0, STRETCH / max(1e-9, np.linalg.norm(gate, 2))))
@@ -468,7 +522,8 @@ def likelihoods(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         def out() -> pa.RecordBatch:
             model = unit.score(found) / np.log(10) if found else np.zeros(0)
             cat = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0)
-            lists = lambda k: pa.array([x for p in parts for x in p[k]], pa.list_(pa.int64()))
+            bounds = np.cumsum(np.r_[0, cat(6)]).astype(np.int32)
+            lists = lambda k: pa.ListArray.from_arrays(pa.array(bounds), pa.array(cat(k).astype(np.int64)))
             return pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(names), pa.array(cat(0).astype(np.int64)), pa.array(cat(1).astype(np.int64)), pa.array(cat(2), pa.float64()), pa.array(model + cat(3), pa.float64()), lists(4), lists(5)],
                 ["_id", "_tokens", "_known", "_base", "_model", "_words", "_times"],
@@ -488,10 +543,11 @@ def likelihoods(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 base, known_ = sums(logs[at[hit]] - whole, hit) + end, np.bincount(of[hit], minlength=last - first) + (ends > 0)
                 inside = sums(logs[at[tail]] - voc.tail_total[kind[tail]], tail)
                 rare = np.flatnonzero(~hit)
-                key = np.stack([of[rare].astype(np.uint64), hashes[rare], kind[rare].astype(np.uint64)], axis=1)
-                key, times = np.unique(key, axis=0, return_counts=True)
-                bounds = np.searchsorted(key[:, 0], np.arange(last - first + 1))
-                parts.append((np.diff(w.of) + 1, known_, base, inside, [key[a:z, 1].view(np.int64) for a, z in zip(bounds[:-1], bounds[1:], strict=True)], [(key[a:z, 2].astype(np.int64) << 40 | times[a:z]) for a, z in zip(bounds[:-1], bounds[1:], strict=True)]))
+                rare = rare[np.lexsort((hashes[rare], of[rare]))]
+                word, text = hashes[rare], of[rare]
+                starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (text[1:] != text[:-1])]) if len(rare) else rare
+                times = np.diff(np.r_[starts, len(rare)])
+                parts.append((np.diff(w.of) + 1, known_, base, inside, word[starts].view(np.int64), kind[rare[starts]].astype(np.int64) << 40 | times, np.bincount(text[starts], minlength=last - first)))
             gathered += sum(len(x) for x in found[-len(texts) :]) if texts else 0
             if gathered >= GATHERED:
                 yield out()

@@ -178,6 +178,22 @@ def test_probabilities_add_up(docs):
     assert abs(np.exp(u.log_probability(h, np.arange(voc.words + recurrent.KINDS))).sum() - 1) < 1e-4
 
 
+def test_logits_out_of_range():
+    """Window by window, logits whose exponentials leave the range of floats take another way; both give log-probabilities."""
+    r = np.random.default_rng(3)
+    voc = recurrent.Vocabulary(np.arange(100, dtype=np.uint64), r.integers(1, 50, 100), 7, r.integers(0, 90, recurrent.KINDS), r.integers(0, 40, recurrent.KINDS))
+    u = recurrent.Unit(voc)
+    h, every = np.zeros((voc.words + recurrent.KINDS, recurrent.UNITS), np.float32), np.arange(voc.words + recurrent.KINDS)
+    assert u.small(h)
+    plain = u.log_probability(h, every)
+    for shift in (300, -300):
+        u.p["cb"][:], u.p["ob"][:] = shift, shift
+        assert not u.small(h) and np.allclose(u.log_probability(h, every), plain, atol=1e-4)
+        ids, there = r.integers(0, voc.words, (4, 3)), np.ones((4, 3), bool)
+        loss, _, grads, _ = u.gradients(ids, ids, ~there, there, np.zeros((3, recurrent.UNITS), np.float32))
+        assert math.isclose(loss, -plain[ids].sum(), rel_tol=1e-4) and all(np.isfinite(g).all() for g in grads.values())
+
+
 def test_a_text_scores_alike_alone_and_among_others():
     r = np.random.default_rng(3)
     voc = recurrent.Vocabulary(np.arange(100, dtype=np.uint64), r.integers(1, 50, 100), 7, r.integers(0, 90, recurrent.KINDS), r.integers(0, 40, recurrent.KINDS))
