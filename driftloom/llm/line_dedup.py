@@ -34,6 +34,8 @@ from driftloom.llm.common import free, written
 COUNTERS, FILTER, HOT = 1 << 18, 1 << 16, 100_000
 #: Earliest lines of a word that others meet first; lines of a block of a word that many lines still share after that.
 EARLIEST, BLOCK = 16, 500
+#: Most words of a line whose sketch has 64 bits instead of 128.
+SHORT = 48
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,13 +90,17 @@ def need(a: Column, b: Column) -> Column:
 
 
 def sketched(sets: DataFrame) -> DataFrame:
-    """With _s1 and _s2, a sketch of 128 bits: the parity of the words of _set that fall on each, for one half of the words and the other."""
+    """With _s1 and _s2, a sketch of 128 bits: the parity of the words of _set that fall on each, for one half of the words and the other. Short lines have the sum of both in _s1 and 0 in _s2."""
+    none = F.lit(0).cast("long")
 
-    def half(mine) -> Column:
-        one = lambda h: shift_left(F.shiftright(mine(h), 6).bitwiseAND(F.lit(1)), h.bitwiseAND(F.lit(63)))
-        return F.coalesce(F.aggregate("_set", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(one(h))), F.lit(0).cast("long"))
+    def parity(mine) -> Column:
+        one = lambda h: shift_left(mine(h), h.bitwiseAND(F.lit(63)))
+        return F.coalesce(F.aggregate("_set", none, lambda a, h: a.bitwiseXOR(one(h))), none)
 
-    return sets.select("*", half(lambda h: h).alias("_s1"), half(F.bitwise_not).alias("_s2"))
+    halves = [parity(lambda h, f=f: F.shiftright(f(h), 6).bitwiseAND(F.lit(1))) for f in (lambda h: h, F.bitwise_not)]
+    both = parity(lambda h: F.lit(1).cast("long"))
+    long = F.col("_n") > SHORT
+    return sets.select("*", F.when(long, halves[0]).otherwise(both).alias("_s1"), F.when(long, halves[1]).otherwise(none).alias("_s2"))
 
 
 def with_sets(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
@@ -111,7 +117,9 @@ def posted(sets: DataFrame, *carried: str) -> DataFrame:
 
 
 def apart() -> Column:
-    return F.bit_count(F.col("l._s1").bitwiseXOR(F.col("e._s1"))) + F.bit_count(F.col("l._s2").bitwiseXOR(F.col("e._s2")))
+    """The distance of the sketches of l and e: at most the size of their symmetric difference."""
+    one, two = (F.col(f"l.{x}").bitwiseXOR(F.col(f"e.{x}")) for x in ("_s1", "_s2"))
+    return F.when(F.least("l._n", "e._n") > SHORT, F.bit_count(one) + F.bit_count(two)).otherwise(F.bit_count(one.bitwiseXOR(two)))
 
 
 def near() -> Column:
@@ -186,8 +194,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed, removed (numbers of the lines that go, from 0, joined by commas) for every row."""
-    gone = repeated_lines(docs, id_col, text_col)
-    sizes = docs.select(F.col(id_col).cast("long").alias("_id"), F.size(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).cast("long").alias("n_lines"))
+    gone, text = repeated_lines(docs, id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    sizes = docs.select(F.col(id_col).cast("long").alias("_id"), (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     out = sizes.join(gone, "_id", "left")
     return out.select(F.col("_id").alias("doc_id"), "n_lines", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"), F.coalesce(F.array_join("_gone", ","), F.lit("")).alias("removed"))
 

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from driftloom.llm import line_dedup
 from driftloom.llm.line_dedup import line_report, without_repeated_lines
 
@@ -71,3 +73,17 @@ def test_many_lines_of_one_template(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(x.doc_id, int(n)) for x in line_report(df).collect() for n in x.removed.split(",") if n}
     assert got == brute(rows) and len(got) > 200
+
+
+def test_sketches_never_exceed_the_difference(spark):
+    """Of lines on both sides of the size from which sketches have 128 bits; those of short lines are narrow."""
+    r = random.Random(11)
+    rows = []
+    for k in range(120):
+        n = line_dedup.SHORT + r.randrange(-12, 13)
+        base = [r.getrandbits(63) for _ in range(n)] if k % 2 == 0 else [w if r.random() < 0.9 else r.getrandbits(63) for w in base] + [r.getrandbits(63) for _ in range(r.randrange(8))]
+        rows.append((k, len(base), sorted(base)))
+    few = line_dedup.sketched(spark.createDataFrame(rows, "k int, _n int, _set array<long>"))
+    assert all((x._s2 == 0) == (x._n <= line_dedup.SHORT) for x in few.collect())
+    pairs = few.alias("l").join(few.alias("e"), F.col("l.k") < F.col("e.k")).select(line_dedup.apart().alias("d"), "l._set", F.col("e._set").alias("other")).collect()
+    assert len(pairs) == 7140 and all(x.d <= len(set(x._set) ^ set(x.other)) for x in pairs)
