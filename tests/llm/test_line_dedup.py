@@ -87,3 +87,23 @@ def test_sketches_never_exceed_the_difference(spark):
     assert all((x._s2 == 0) == (x._n <= line_dedup.SHORT) for x in few.collect())
     pairs = few.alias("l").join(few.alias("e"), F.col("l.k") < F.col("e.k")).select(line_dedup.apart().alias("d"), "l._set", F.col("e._set").alias("other")).collect()
     assert len(pairs) == 7140 and all(x.d <= len(set(x._set) ^ set(x.other)) for x in pairs)
+
+
+def test_texts_are_read_once_after_the_postings(spark, tmp_path):
+    """What the last joins need, the numbers of lines too, comes from one reading, and lines are put in order without decimals."""
+    rows = [(None, "a b c d e\nx"), (-5, "a b c d e\n\nx"), (1, None), (2, "x\na  b c d f\na b c d e f"), (2, "x\na  b c d f\na b c d e f"), (3, "f e d c b a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents"))
+    report = line_report(spark.read.parquet(str(tmp_path / "documents")))
+    plan = report._jdf.queryExecution().optimizedPlan().toString() + report._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path) not in plan and "decimal" not in plan
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.removed) for r in report.collect()), key=repr)
+    assert got == sorted([(None, 2, 0, ""), (-5, 3, 0, ""), (1, 1, 0, ""), (2, 3, 2, "0,2"), (2, 3, 2, "0,2"), (3, 1, 1, "0")], key=repr)
+
+
+def test_packed_postings(spark):
+    """Sizes and places come back as they were."""
+    r = random.Random(5)
+    rows = [(k, n, r.randrange(n - (8 * n + 9) // 10 + 1), r.getrandbits(63), r.getrandbits(63)) for k in range(60) for n in [r.choice([1, 4, 9, 47, 48, 49, 60, 2**31 - 1])]]
+    wide = spark.createDataFrame(rows, "k int, _n int, _pos int, _s1 long, _s2 long")
+    back = line_dedup.packed(wide).select("k", *[c.alias(x) for c, x in zip(line_dedup.unpacked("_at"), ("n", "pos"))])
+    assert sorted(back.collect()) == sorted((k, n, pos) for k, n, pos, _, _ in rows)
