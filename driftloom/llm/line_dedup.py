@@ -68,28 +68,20 @@ def shift_left(value: Column, by: Column) -> Column:
     return F.call_function("shiftleft", value, by.cast("int"))
 
 
-def table_of(parts: DataFrame, size: int) -> Column:
-    """An array (from 1) of the long _value of each _slot below ``size``, 0 where there is none. Its size is fixed; tasks get it from a subquery."""
+def tabled(parts: DataFrame, size: int) -> DataFrame:
+    """One row with _table, an array of the long _value of each _slot below ``size``, 0 where there is none. Its size is fixed."""
     every = parts.sparkSession.range(size).select(F.col("id").cast("int").alias("_slot"))
     filled = every.join(parts, "_slot", "left").select(F.struct("_slot", F.coalesce("_value", F.lit(0)).cast("long").alias("_value")).alias("_x"))
-    return written(filled.agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_value"]).alias("_table"))).scalar()
+    return written(filled.agg(F.transform(F.sort_array(F.collect_list("_x")), lambda x: x["_value"]).alias("_table")))
 
 
-def rarity(docs: DataFrame, text_col: str) -> Column:
-    """A table of the hashed counters' classes over all words: log2 of the count against the mean, 4 bits each.
-
-    It is a literal, since functions over a line's words can't hold a subquery.
-    """
+def rarity(docs: DataFrame, text_col: str) -> DataFrame:
+    """One row with _classes: the hashed counters' classes over all words, log2 of the count against the mean, at bits 59 to 62, where ``ordered`` needs them."""
     words = docs.select(F.explode(F.split(F.replace(F.col(text_col).cast("string"), F.lit("\n"), F.lit(" ")), " ")).alias("_w")).where("_w <> ''")
     counts = written(words.groupBy(F.xxhash64("_w").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("_at")).agg(F.count("*").alias("_n")))
     mean = (counts.agg(F.sum("_n")).first()[0] or 1) / COUNTERS
     level = F.greatest(F.lit(0), F.least(F.lit(15), F.floor(F.log2(F.col("_n") / F.lit(mean))) + 6)).cast("long")
-    packed = counts.groupBy(F.shiftright("_at", 4).alias("_slot")).agg(F.bit_or(shift_left(level, F.col("_at").bitwiseAND(F.lit(15)) * 4)).alias("_value"))
-    table = ["0"] * COUNTERS
-    for r in packed.collect():
-        for k in range(16):
-            table[16 * r._slot + k] = str(r._value >> 4 * k & 15)
-    return F.split(F.lit(",".join(table)), ",").cast("array<bigint>")  # the optimiser folds this
+    return tabled(counts.select(F.col("_at").alias("_slot"), F.shiftleft(level, 59).alias("_value")), COUNTERS).withColumnRenamed("_table", "_classes")
 
 
 def ordered(line: Column, classes: Column) -> Column:
@@ -97,7 +89,7 @@ def ordered(line: Column, classes: Column) -> Column:
 
     def ranked(h: Column) -> Column:
         level = F.coalesce(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1))), F.lit(0).cast("long"))  # never null, so the array is sorted as plain longs
-        return F.shiftleft(level, 59).bitwiseOR(F.shiftrightunsigned(h, 5))
+        return level.bitwiseOR(F.shiftrightunsigned(h, 5))
 
     hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
     distinct = F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))  # before the ranks, so that the table of classes occurs once in a plan
@@ -122,10 +114,13 @@ def sketched(sets: DataFrame) -> DataFrame:
     return parts.select(*sets.columns, F.col("_both").bitwiseXOR(F.col("_s2")).alias("_s1"), "_s2")
 
 
-def with_sets(lines: DataFrame, classes: Column, *carried: str) -> DataFrame:
+def with_sets(lines: DataFrame, classes: DataFrame, *carried: str) -> DataFrame:
     """The carried columns, _set and _n."""
+    # a subquery may not stand inside a function over words, but beside it; the optimiser puts it in, so no row holds the table.
+    # As a literal the table would be in every text that Spark's driver makes of a plan, half a megabyte each time
+    lines = lines.select(*carried, "_line", classes.scalar().alias("_classes"))
     # coalesce: columns that can't be null get no null checks, which the optimiser would push below and so compute the sets again
-    sets = lines.select(*carried, F.coalesce(ordered(F.col("_line"), classes), F.array().cast("array<long>")).alias("_set"))
+    sets = lines.select(*carried, F.coalesce(ordered(F.col("_line"), F.col("_classes")), F.array().cast("array<long>")).alias("_set"))
     return sets.select("*", F.coalesce(F.size("_set"), F.lit(0)).alias("_n"))
 
 
@@ -171,7 +166,7 @@ def filter_of(rows: DataFrame, *cols: str) -> Column:
     slot = lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(FILTER - 1)).cast("int")
     bit = lambda h: shift_left(F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))
     marks = rows.select(F.explode(F.array(*[F.struct(slot(h).alias("_slot"), bit(h).alias("_bit")) for h in spots])).alias("_x"))
-    table = table_of(marks.groupBy("_x._slot").agg(F.bit_or("_x._bit").alias("_value")), FILTER)
+    table = tabled(marks.groupBy("_x._slot").agg(F.bit_or("_x._bit").alias("_value")), FILTER).scalar()  # tasks get it from a subquery
     passes = [F.element_at(table, slot(h) + 1).bitwiseAND(bit(h)) != 0 for h in spots]
     return passes[0] & passes[1]
 

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -107,3 +108,39 @@ def test_packed_postings(spark):
     wide = spark.createDataFrame(rows, "k int, _n int, _pos int, _s1 long, _s2 long")
     back = line_dedup.packed(wide).select("k", *[c.alias(x) for c, x in zip(line_dedup.unpacked("_at"), ("n", "pos"))])
     assert sorted(back.collect()) == sorted((k, n, pos) for k, n, pos, _, _ in rows)
+
+
+def test_the_table_of_classes_is_in_no_text_of_a_plan(spark, monkeypatch):
+    """Spark's driver makes a text of each plan, again after each stage; the table, of fixed size, comes from a subquery, and no row holds it."""
+    texts, optimised = [], []
+
+    def noted(df, keep=line_dedup.written):
+        texts.append(len(df._jdf.queryExecution().toString()))
+        optimised.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    rows = corpus(3)
+    got = {(r.doc_id, int(n)) for r in line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for n in r.removed.split(",") if n}
+    assert got == brute(rows)
+    assert max(texts) < 150_000
+    made = [x for p in optimised for x in p.split("\n") if "array_except" in x]
+    assert made and all("coalesce(scalar-subquery#" in x and "_classes#" not in x for x in made)
+
+
+def test_classes_of_words(spark, monkeypatch):
+    """Each counter's class is log2 of its count against the mean, from 0 to 15, and ranks come before hashes; without words all are 0."""
+    monkeypatch.setattr(line_dedup, "COUNTERS", 16)
+    words = ["a"] * 3000 + ["b"] * 200 + ["c"] * 9 + ["d"]
+    docs = spark.createDataFrame([(1, " ".join(words[:2000]) + "\n\n" + " ".join(words[2000:])), (2, None)], "doc_id long, text string")
+    at = {r.w: (r.h, r.h & 15) for r in spark.createDataFrame([(w,) for w in "abcd"], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    counts = [0] * 16
+    for w in words:
+        counts[at[w][1]] += 1
+    classes = [max(0, min(15, math.floor(math.log2(n / (len(words) / 16))) + 6)) if n else 0 for n in counts]
+    table = line_dedup.rarity(docs, "text")
+    assert [x >> 59 for x in table.first()._classes] == classes and len(set(classes)) > 2
+    lines = spark.createDataFrame([("a b c d a  b",), (" ",)], "_line string")
+    got = [r._set for r in line_dedup.with_sets(lines, table, "_line").orderBy(F.desc("_n")).collect()]
+    assert got == [sorted(classes[k] << 59 | (h % 2**64) >> 5 for h, k in at.values()), []]
+    assert line_dedup.rarity(docs.where("false"), "text").first()._classes == [0] * 16
